@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = f"file:///tmp/apexframe-checkpoints-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/apexframe/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/apexframe/{label}-{uuid.uuid4().hex}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

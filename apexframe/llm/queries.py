@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import op4_audio_features
 from .chat import OP3_SQL, op3_prefix_target_chat
+from .html_text import op9_host_suffix_text
 from .mixing import OP7_SQL, op7_waterfill_mix
+from .parity_join import OP8_SQL, op8_parity_sketch_join
 from .sharding import op1_hash_tree_shards
+from .warc import op2_warc_splittable
+
+QUERIES = (
+    op1_hash_tree_shards, op2_warc_splittable, op3_prefix_target_chat, op4_audio_features, op7_waterfill_mix, op8_parity_sketch_join,
+    op9_host_suffix_text,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hash_tree_shards, op3_prefix_target_chat, op7_waterfill_mix)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op7_waterfill_mix": OP7_SQL}
+    return {"op3_prefix_target_chat": OP3_SQL, "op7_waterfill_mix": OP7_SQL, "op8_parity_sketch_join": OP8_SQL}
