@@ -2,7 +2,7 @@
 
 Every benchmark item and every item-sized window of every document gets a 64-bit SimHash of its 5-word shingles (each
 occurrence counts, so repeated shingles weigh more). Item lengths are grouped in classes at most CLASS_RATIO wide; a
-document is cut into windows of each class's length at steps of a twelfth of it, and a document shorter than a window is
+document is cut into windows of each class's length at steps of an eighth of it, and a document shorter than a window is
 one window. A multi-index of BLOCKS 16-bit blocks finds all fingerprints within RADIUS: of the blocks of two such
 fingerprints one differs in RADIUS div BLOCKS bits at most, so each block's table lists the items for every value within
 that distance. What passes the full Hamming test is verified exactly: the weighted Jaccard similarity (sum of the lower
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import U64, pieces, shingle_hashes, table, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS, CLASS_RATIO, STEPS = 15, 4, 1.12, 12
+RADIUS, BLOCKS, CLASS_RATIO, STEPS = 15, 4, 1.12, 8
 SLICE_ITEMS, SLICE_BYTES = 1024, 4 << 20
 SEGMENT = 1 << 15
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, words long"
@@ -54,22 +54,24 @@ def shingle_runs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-def simhashes(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash of every window [start, end) of the shingle sequence; windows in order of their starts."""
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        lo = starts[done]
-        stop = max(done + 1, int(np.searchsorted(starts, lo + SEGMENT)))
-        hi = int(ends[done:stop].max())
-        bits = np.unpackbits(shingles[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        wide = np.int32 if (ends[done:stop] - starts[done:stop]).max() > 30_000 else np.int16
-        sums = np.zeros((hi - lo + 1, 64), wide)  # may wrap: only differences count
+def simhashes(shingles: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """SimHashes of lists of windows (starts, ends) of the shingle sequence, each list in order of its starts.
+
+    Running sums of the shingles' bits are built once for each segment of the sequence and serve all lists.
+    """
+    out = [np.empty(len(starts), np.uint64) for starts, _ in windows]
+    reach = max((int((ends - starts).max()) for starts, ends in windows if len(starts)), default=0)
+    wide = np.uint8 if reach < 256 else np.uint32  # sums may wrap: only differences count
+    for lo in range(0, len(shingles), SEGMENT):
+        bits = np.unpackbits(shingles[lo : lo + SEGMENT + reach].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((len(bits) + 1, 64), wide)
         np.cumsum(bits, axis=0, dtype=wide, out=sums[1:])
-        ones = sums[ends[done:stop] - lo] - sums[starts[done:stop] - lo]
-        half = ((ends - starts)[done:stop] // 2).astype(wide)
-        out[done:stop] = np.packbits(ones > half[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        done = stop
+        for prints, (starts, ends) in zip(out, windows, strict=True):
+            i, j = np.searchsorted(starts, (lo, lo + SEGMENT))
+            ones = sums[ends[i:j] - lo]
+            ones -= sums[starts[i:j] - lo]
+            half = ((ends[i:j] - starts[i:j]) // 2).astype(wide)
+            prints[i:j] = np.packbits(ones > half[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -124,7 +126,9 @@ def item_classes(items: list[tuple[int, str]]) -> list[ItemClass]:
         for i in part:
             values, counts = np.unique(shingles[start[i] : start[i + 1]], return_counts=True)
             one.append((items[i][0], values, counts, int(n[i])))
-        prints = np.concatenate([simhashes(shingles, start[i : i + 1], start[i + 1 : i + 2]) for i in part])
+        at = np.array(sorted(part))
+        prints = dict(zip(at.tolist(), simhashes(shingles, [(start[at], start[at + 1])])[0], strict=True))
+        prints = np.array([prints[i] for i in part], np.uint64)
         out.append(ItemClass(int(round((shortest + n[part[-1]]) / 2)), one, prints))
     return out
 
@@ -151,12 +155,11 @@ def weighted_jaccard(window: np.ndarray, values: np.ndarray, counts: np.ndarray)
 def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass]) -> dict[tuple[int, int, int], tuple[float, int, int]]:
     """Best (similarity, first shingle, shingles) by (document, class, item)."""
     best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
-    for c, cls in enumerate(classes):
-        step = max(1, cls.length // STEPS)
-        docs, begin, end = class_windows(start, cls.length, step)
-        if not len(docs):
-            continue
-        windows, found = cls.candidates(simhashes(shingles, begin, end))
+    steps = [max(1, cls.length // STEPS) for cls in classes]
+    cut = [class_windows(start, cls.length, step) for cls, step in zip(classes, steps, strict=True)]
+    prints = simhashes(shingles, [(begin, end) for _, begin, end in cut])
+    for c, (cls, step, (docs, begin, end)) in enumerate(zip(classes, steps, cut, strict=True)):
+        windows, found = cls.candidates(prints[c])
         tried = set()
         for w, i in zip(windows.tolist(), found.tolist(), strict=True):
             _, values, counts, n = cls.items[i]
