@@ -10,11 +10,11 @@ difference by D = (|A| + |B|) (den - num) / (den + num).
 * Pigeonhole join: sets that share a (band, block, parity) key are candidates. Empty blocks are not entered. The slack
   makes up for them; a set with more empty blocks than slack is entered again under another hash, and after four hashes
   its empty blocks are entered too, so no pair within D is ever missed.
-* Keys of up to GROUP sets give all their pairs. In larger groups every set is paired with the smallest one; once these
-  links are verified, sets of one component need no more links, and what is left of a group (sets of different
-  components) is compared block by block on packed bit sketches, in cells of CELL x CELL sets.
 * A packed bit sketch (a power of two of bits, foldable by XOR) gives a Hamming distance that never exceeds the symmetric
   difference: candidates beyond D fall out before any text moves. The rest is verified on the whole shingle sets.
+* In each key every set is first paired with two pivots, the smallest set and one drawn by hash, so pairs grow in proportion
+  to rows. Once these links are verified, sets of one component need no more links; groups that still hold different
+  components are compared across them on their packed sketches, in cells of CELL x CELL sets, and what is near is verified.
 
 Equal sets are one node from the start (64-bit fingerprint), so copies are never expanded into pairs.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import U64, materialize, mix64, pieces, shingle_hashes, table, word_hashes
 from .components import connected_components
 
-FIRST, RATIO, GROUP, CELL, SEEDS = 2, 1.35, 12, 1024, 4
+FIRST, RATIO, CELL, SEEDS = 2, 1.35, 1024, 4
 BROADCAST_ROWS = 500_000  # of 8-byte ids: 4 MB and hash overhead
 
 
@@ -91,7 +91,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def packed_sketch(s: np.ndarray) -> bytes:
-    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
     odd = np.bincount((mix64(s ^ U64(0x5851F42D4C957F2D)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -151,7 +151,7 @@ def _near(num: int, den: int, batches):
     """Keeps pairs whose sketches are no further apart than linked sets can be."""
     bands = Bands(num, den, FIRST)
     for b in batches:
-        keep, ham = [], []
+        keep = []
         a, c = b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist()
         for i, (x, y, n, k) in enumerate(zip(a, c, b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True)):
             if min(n, k) * den < max(n, k) * num:
@@ -161,9 +161,8 @@ def _near(num: int, den: int, batches):
             h = int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum())
             if h <= bands.distance(n, k):
                 keep.append(i)
-                ham.append(h)
         out = b.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b"), pa.array(ham, pa.int64())], ["a", "b", "ham"])
+        yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
 
 def _linked(size: int, num: int, den: int, batches):
@@ -178,24 +177,42 @@ def _linked(size: int, num: int, den: int, batches):
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
 
-def _cell(num: int, den: int, pdf):
-    """One cell of a large group: pairs of different components whose sketches are near. Rows of both sides of the cell."""
-    import pandas as pd
-
+def _cells(num: int, den: int, batches):
+    """Pairs of different components with near sketches, within each cell; rows come sorted by (key, i, j)."""
     bands = Bands(num, den, FIRST)
-    rows = pdf.sort_values(["side", "node"])
-    words = min(len(x) for x in rows["sketch"]) // 8
-    packed = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in rows["sketch"]])
-    n, comp, node, side = (rows[c].to_numpy() for c in ("n_shingles", "component", "node", "side"))
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    most = (n[:, None] + n[None, right]) * (bands.den - bands.num) // (bands.den + bands.num)
-    out = []
-    for i in left:
-        ham = np.bitwise_count(packed[i][None, :] ^ packed[right]).sum(axis=1)
-        for j in np.flatnonzero((ham <= most[i]) & (comp[right] != comp[i])):
-            out.append((int(min(node[i], node[right[j]])), int(max(node[i], node[right[j]])), int(ham[j])))
-    return pd.DataFrame(out, columns=["a", "b", "ham"]).astype("int64")
+
+    def near(rows: pa.Table, out: list):
+        comp, node, n, side = (rows.column(c).to_numpy() for c in ("component", "node", "n_shingles", "side"))
+        if comp.min() == comp.max():
+            return
+        raw = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        words = min(map(len, raw))
+        packed = np.stack([fold(x, words) for x in raw])
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(side))
+        for i in left:
+            to = right[(comp[right] != comp[i]) & (n[right] * den >= n[i] * num) & (n[i] * den >= n[right] * num)]
+            ham = np.bitwise_count(packed[i][None, :] ^ packed[to]).sum(axis=1)
+            to = to[ham <= (n[i] + n[to]) * (den - num) // (den + num)]
+            out += [(min(node[i], x), max(node[i], x)) for x in node[to]]
+
+    held = None
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if not rows.num_rows:
+            continue
+        key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out: list = []
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+            near(rows.slice(lo, hi - lo), out)
+        held = rows.slice(int(cuts[-1]) if len(cuts) else 0).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+    if held is not None and held.num_rows:
+        out = []
+        near(held, out)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -218,15 +235,15 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, num:
 
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) to (a, b, ham), those that the packed sketches leave."""
+    """The candidate pairs (a, b) that the packed sketches leave."""
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     wide = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    return wide.mapInArrow(partial(_near, num, den), "a long, b long, ham long")
+    return wide.mapInArrow(partial(_near, num, den), "a long, b long")
 
 
-def _rest_of_groups(large: DataFrame, nodes: DataFrame, components: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within large groups, compared in cells. large: (key, node)."""
-    labelled = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _rest_of_groups(kept: DataFrame, nodes: DataFrame, components: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share a key and have near sketches, compared in cells."""
+    labelled = kept.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("g")).where("c0 < c1")
     rows = labelled.join(mixed.select("key", "g"), "key")
     cells = F.ceil(F.col("g") / CELL).cast("int")
@@ -235,7 +252,8 @@ def _rest_of_groups(large: DataFrame, nodes: DataFrame, components: DataFrame, n
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.select("key", "node", "component", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), (F.col("slice") > F.col("other")).cast("int").alias("side"))
     rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    return rows.groupBy("key", "i", "j").applyInPandas(partial(_cell, num, den), "a long, b long, ham long")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(partial(_cells, num, den), "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -246,26 +264,16 @@ def similarity_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     nodes = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "parity-nodes")
 
     keys = docs.select("text").mapInArrow(partial(_keys, *args), "key long, node long").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
-    kept = keys.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"])
-    kept = materialize(kept.select("key", "node", "pivot"), "parity-keys")
-
-    sizes = kept.groupBy("key").agg(F.count("*").alias("g"))
-    small = kept.join(sizes.where(F.col("g").between(3, GROUP)), "key").where("node <> pivot")
-    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = kept.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    candidates = materialize(_sketched(stars.unionByName(pairs).distinct(), nodes, num, den), "parity-candidates")
-
-    # first the nearest candidate of each set, then whatever still joins different components
-    nearest = candidates.groupBy("b").agg(F.min_by("a", F.struct("ham", "a")).alias("a")).select("a", "b")
-    links = materialize(_verify(nearest, nodes, docs, *args), "parity-links")
-    comps = connected_components(links)
-    of = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    large = kept.join(sizes.where(F.col("g") > GROUP), "key", "left_semi").select("key", "node")
-    open_pairs = candidates.select("a", "b").unionByName(_rest_of_groups(large, nodes, comps, num, den).select("a", "b")).distinct()
-    open_pairs = open_pairs.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_pairs = materialize(open_pairs.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b"), "parity-open")
-    more = _verify(open_pairs, nodes, docs, *args)
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("key", "node")).alias("any"))
+    kept = keys.join(shared.where("first < last").drop("last").hint("shuffle_hash"), "key").dropDuplicates(["key", "node"])
+    kept = materialize(kept.select("key", "node", "first", "any"), "parity-keys")
+
+    stars = kept.select(F.explode(F.array("first", "any")).alias("pivot"), "node").where("pivot <> node")
+    stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    tried = materialize(_sketched(stars, nodes, num, den), "parity-stars")
+    links = materialize(_verify(tried, nodes, docs, *args), "parity-links")
+    rest = _rest_of_groups(kept, nodes, connected_components(links), num, den).join(tried, ["a", "b"], "left_anti")
+    more = _verify(materialize(rest, "parity-rest"), nodes, docs, *args)
     comps = connected_components(links.unionByName(more))
 
     reached = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
