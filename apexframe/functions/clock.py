@@ -135,7 +135,8 @@ def range_label(low: Column, high: Column) -> Column:
 def delta_label(delta: Column) -> Column:
     """Signed seconds, +0.00; empty for null."""
     hundredths = F.round(F.abs(delta) * 100).cast("long")
-    return F.coalesce(F.concat(F.when(delta < 0, "-").otherwise("+"), F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)), F.lit(""))
+    label = F.concat(F.when(delta < 0, "-").otherwise("+"), F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100))
+    return F.when(delta.isNotNull(), label).otherwise(F.lit(""))
 
 
 def delta_class(delta: Column) -> Column:

@@ -47,7 +47,7 @@ def cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 def line_side(x: Column, y: Column, line: tuple[float, float, float, float]) -> Column:
     """Cross product with the line: its sign is the side, its size over the line's length the distance."""
     x1, y1, x2, y2 = line
-    return cross(F.lit(x2 - x1), F.lit(y2 - y1), x - x1, y - y1)
+    return cross(x - x1, y - y1, F.lit(x2 - x1), F.lit(y2 - y1))
 
 
 def line_distance(x: Column, y: Column, line: tuple[float, float, float, float]) -> Column:
@@ -61,8 +61,8 @@ def step_crossing(x: Column, y: Column, x2: Column, y2: Column, line: tuple[floa
     dx, dy = x2 - x, y2 - y
     sx, sy = F.lit(bx - ax), F.lit(by - ay)
     denominator = cross(dx, dy, sx, sy)
-    t = cross(F.lit(ax) - x, F.lit(ay) - y, sx, sy) / denominator
-    u = cross(F.lit(ax) - x, F.lit(ay) - y, dx, dy) / denominator
+    t = F.try_divide(cross(F.lit(ax) - x, F.lit(ay) - y, sx, sy), denominator)
+    u = F.try_divide(cross(F.lit(ax) - x, F.lit(ay) - y, dx, dy), denominator)
     parallel = F.abs(denominator) <= F.hypot(dx, dy) * math.hypot(bx - ax, by - ay) * 1e-12
     return F.when(~parallel & (t >= 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 

@@ -57,7 +57,7 @@ def quadratic_fit(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame
     s = s.withColumns({"_c0": c0, "_c1": c1, "_c2": c2})
     residual = F.col("vv") - F.col("_c0") * t0 - F.col("_c1") * t1 - F.col("_c2") * t2
     total = F.col("vv") - t0 * t0 / n
-    return s.select(*keys, "n", (F.col("_c0") - F.col("_c1") * m + F.col("_c2") * m * m).alias("c"), (F.col("_c1") - 2 * F.col("_c2") * m).alias("b"), F.col("_c2").alias("a"), (1 - residual / total).alias("r2"))
+    return s.select(*keys, "n", (F.col("_c0") - F.col("_c1") * m + F.col("_c2") * m * m).alias("c"), (F.col("_c1") - 2 * F.col("_c2") * m).alias("b"), F.col("_c2").alias("a"), (1 - F.try_divide(residual, total)).alias("r2"))
 
 
 def integrate(samples: DataFrame, value: str, keys: list[str], key: str = KEY) -> DataFrame:

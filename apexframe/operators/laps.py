@@ -24,12 +24,13 @@ def crossings_by_segment(samples: DataFrame, line: Line, key: str = KEY) -> Data
 
 
 def crossings_by_sign(samples: DataFrame, line: Line, near: float = 20.0, min_gap: float = 30.0, key: str = KEY) -> DataFrame:
-    """(session, k, t_cross): where the side of the endless line changes near it, at least min_gap after the last one kept."""
+    """(session, k, t_cross): where the side of the endless line changes near it (on the line counts as one side),
+    at least min_gap after the last one kept."""
     x, y, w = F.col("x"), F.col("y"), by_time(key)
     rows = samples.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select(
         key, *ORDER, geo.line_side(x, y, line).alias("c"), (geo.line_distance(x, y, line) <= near).alias("near"))
     rows = rows.select("*", F.lag("c").over(w).alias("c0"), F.lag("near").over(w).alias("near0"), F.lag("t").over(w).alias("t0"))
-    found = rows.where("c0 * c < 0 AND (near OR near0)").select(key, (F.col("t0") + F.col("c0") / (F.col("c0") - F.col("c")) * (F.col("t") - F.col("t0"))).alias("t_cross"))
+    found = rows.where("(c0 >= 0) <> (c >= 0) AND (near OR near0)").select(key, (F.col("t0") + F.col("c0") / (F.col("c0") - F.col("c")) * (F.col("t") - F.col("t0"))).alias("t_cross"))
     return debounce(found, min_gap, key)
 
 

@@ -55,7 +55,7 @@ def beacon_report(beacons: DataFrame, details: DataFrame) -> DataFrame:
     gap = F.lead("t_cross").over(W.partitionBy("path").orderBy("k")) - F.col("t_cross")
     timed = beacons.withColumn("duration", gap)
     found = timed.groupBy("path").agg((F.count("*") + 1).cast("int").alias("total_laps"), F.min_by("k", "duration").alias("fastest_lap"), F.min("duration").alias("fastest_s"))
-    cut = F.floor(F.round(F.col("fastest_s") * 1000, 6)) / 1000  # whole milliseconds, cut off
+    cut = F.floor(F.col("fastest_s") * 1000) / 1000  # whole milliseconds, cut off
     stated = details.select("path", F.col("total_laps").alias("_n"), F.col("fastest_lap").alias("_k"), clock.seconds_of(F.col("fastest_time")).alias("_s"))
     agrees = (F.col("total_laps") == F.col("_n")) & (F.col("fastest_lap") == F.col("_k")) & (F.abs(cut - F.col("_s")) < 1e-6)
     return found.join(stated, "path", "left").select("path", "total_laps", "fastest_lap", "fastest_s", agrees.alias("agrees"))

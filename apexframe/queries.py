@@ -91,7 +91,7 @@ def crossings_segment(spark, sf):
   SELECT *, lag(x) OVER w AS x0, lag(t) OVER w AS t0 FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY t, seq)
 ), c AS (
   SELECT session_id, t0 + (0 - 102 * (x0 - 50)) / ((0 - 102 * (x0 - 50)) - (0 - 102 * (x - 50))) * (t - t0) AS t_cross FROM s
-  WHERE (x0 - 50) * (x - 50) < 0 AND (abs(x0 - 50) <= 20 OR abs(x - 50) <= 20)
+  WHERE (x0 - 50 >= 0) <> (x - 50 >= 0) AND (abs(x0 - 50) <= 20 OR abs(x - 50) <= 20)
 ), a AS (
   SELECT session_id, min(t_cross) AS t_cross FROM c GROUP BY 1
   UNION ALL SELECT a.session_id, min(c.t_cross) FROM a JOIN c ON c.session_id = a.session_id AND c.t_cross - a.t_cross >= 21600 GROUP BY a.session_id, a.t_cross

@@ -52,7 +52,7 @@ def _cells(line: Column, sep: str = ",") -> Column:
     """Cells of a CSV line, quotes removed."""
     cell = rf'(?:^|{sep})(?:"([^"]*)"|([^{sep}]*))'
     quoted, bare = F.regexp_extract_all(line, F.lit(cell), F.lit(1)), F.regexp_extract_all(line, F.lit(cell), F.lit(2))
-    return F.transform(F.zip_with(quoted, bare, lambda q, b: F.when(q != "", q).otherwise(b)), F.trim)
+    return F.zip_with(quoted, bare, lambda q, b: F.trim(F.when(q != "", q).otherwise(b)))
 
 
 def read_aim(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +93,7 @@ def read_excel_export(spark: SparkSession, paths: str) -> tuple[DataFrame, DataF
     top = lines.where("line_no = 0").select("session_id", F.transform(F.split("line", ";"), clock.clean_header).alias("names"), F.get(F.filter(F.split("line", ";"), lambda c: c.contains("UTC")), F.lit(0)).alias("utc"))
     clocks = top.select("session_id", clock.utc_clock(F.regexp_extract("utc", r"([^:]*)$", 1)).alias("utc_clock"))
     body = lines.where((F.col("line_no") > 0) & (F.regexp_replace("line", r"[;\s]", "") != "")).join(top.select("session_id", "names"), "session_id")
-    rows = body.select("session_id", F.col("line_no").cast("long").alias("seq"), F.posexplode(F.arrays_zip("names", F.transform(F.split("line", ";"), F.trim).alias("cells"))).alias("col_idx", "c"))
+    rows = body.select("session_id", F.col("line_no").cast("long").alias("seq"), F.posexplode(F.arrays_zip("names", F.transform(F.split("line", ";"), lambda x: F.trim(x)).alias("cells"))).alias("col_idx", "c"))
     rows = rows.select("session_id", "seq", "col_idx", F.col("c.names").alias("channel"), F.nullif(F.col("c.cells"), F.lit("")).alias("value"))
     full = rows.groupBy("session_id", "col_idx").agg(F.count("value").alias("_n")).where("_n > 0").drop("_n")
     return rows.join(full, ["session_id", "col_idx"], "left_semi"), clocks
@@ -126,8 +126,9 @@ def session_metadata(sessions: DataFrame) -> DataFrame:
     end = lambda i: at(F.size(folder) - i)
     aim = F.col("device") == "aim"
     meta = lambda k: F.coalesce(F.col("meta")[k], F.lit(""))
-    dates = [clock.first_decoded(t, clock.compact_date) for t in (file, folder)]
-    times = [clock.first_decoded(t, clock.time_token) for t in (file, folder)]
+    export = F.col("device") == "alfano_excel"  # only there file names count
+    dates = [F.when(export, clock.first_decoded(file, clock.compact_date)), clock.first_decoded(folder, clock.compact_date)]
+    times = [F.when(export, clock.first_decoded(file, clock.time_token)), clock.first_decoded(folder, clock.time_token)]
     return sessions.select(
         "session_id", "device",
         clock.first_filled(F.when(aim, meta("Racer")), F.when(aim, at(5)).otherwise(end(2))).alias("driver"),
