@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,25 +74,33 @@ def segments(classed: DataFrame) -> DataFrame:
     return out.select(TRACK, "segment", "kind", "points", label.alias("label"), mid["x"].alias("mid_x"), mid["y"].alias("mid_y"))
 
 
+def _closest(samples: DataFrame, side: DataFrame, square: Column, keys: list[str], **picks: Column) -> DataFrame:
+    """samples with aggregates over the rows of side at the least squared distance.
+
+    Two passes over the pairs, each one hash aggregation of doubles: first the least distance, then what lies at it. (One
+    pass by least struct would sort all pairs.) Pairs never leave their task; only samples are shuffled, by keys.
+    """
+    side = small(side)
+    least = samples.join(side, TRACK).groupBy(*keys).agg(F.min(square).alias("_m"))
+    at_least = samples.join(least, keys).join(side, TRACK).where(square == F.col("_m"))
+    return samples.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys)
+
+
 def nearest_segment(samples: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Samples (keys, track, x, y) with the segment of the nearest track point; ties go to the lowest segment."""
     near = points.select(TRACK, F.col("x").alias("_px"), F.col("y").alias("_py"), "segment")
-    pairs = samples.join(small(near), TRACK).withColumn("_d", (F.col("x") - F.col("_px")) ** 2 + (F.col("y") - F.col("_py")) ** 2)
-    best = pairs.groupBy(*keys).agg(F.min_by("segment", F.struct("_d", "segment")).alias("segment"))
-    return samples.join(best, keys)
+    square = (F.col("x") - F.col("_px")) ** 2 + (F.col("y") - F.col("_py")) ** 2
+    return _closest(samples, near, square, keys, segment=F.min("segment"))
 
 
 def project(samples: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples (keys, track, x, y) with `along`, the distance along the track of the nearest place on it, and `off`."""
-    pairs = samples.join(small(pieces), TRACK)
+    """Samples (keys, track, x, y) with `along`, the distance along the track of the nearest place on it (of the first
+    piece on ties), and `off`, the distance to it."""
     length = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
     share = F.when(length > 0, ((F.col("x") - F.col("x0")) * F.col("dx") + (F.col("y") - F.col("y0")) * F.col("dy")) / length).otherwise(0.0)
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    pairs = pairs.withColumn("_u", share)
-    d = (F.col("x0") + F.col("_u") * F.col("dx") - F.col("x")) ** 2 + (F.col("y0") + F.col("_u") * F.col("dy") - F.col("y")) ** 2
-    pairs = pairs.withColumn("_d", d)
-    best = pairs.groupBy(*keys).agg(F.min_by(F.col("cum_dist") + F.col("_u") * F.col("len"), F.struct("_d", "seg_idx")).alias("along"), F.sqrt(F.min("_d")).alias("off"))
-    return samples.join(best, keys)
+    square = (F.col("x0") + share * F.col("dx") - F.col("x")) ** 2 + (F.col("y0") + share * F.col("dy") - F.col("y")) ** 2
+    return _closest(samples, pieces, square, keys, along=F.min_by(F.col("cum_dist") + share * F.col("len"), "seg_idx"), off=F.sqrt(F.min(square)))
 
 
 def segment_stats(placed: DataFrame, speed: str = "gps_speed", key: str = "session_id") -> DataFrame:
