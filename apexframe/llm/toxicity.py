@@ -4,7 +4,7 @@ Inputs of a step: a word, as a hashed word embedding beside the mean of hashed e
 bytes, word ends marked), so that unseen forms of a known stem score too. Two GRUs read each window of WINDOW words in both
 directions, attention pools their states, a logistic unit scores the window. Windows follow each other at STRIDE words and
 overlap; every word of a text is in one, and a text scores as its worst window. Training is plain numpy (back-propagation
-through time, Adam) on the driver, on labelled rows up to a documented bound (TRAIN_ROWS of each class and TRAIN_WORDS words
+through time, Adam) in one task, on labelled rows up to a documented bound (TRAIN_ROWS of each class and TRAIN_WORDS words
 in all, picked by hash, whole texts of up to 8 * TRAIN_WORDS / (2 * TRAIN_ROWS) words); scoring runs in Arrow batches on the executors and covers all rows and whole texts.
 
 Defined results: null, empty and blank texts are one window without words and get the network's score for that; without any
@@ -293,24 +293,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int =
     longest = 8 * words // max(1, 2 * rows)  # longer texts are not in the sample
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     found = found.where(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")) < longest).select("doc_id", "toxic", "_ax_h", "text")
-    got = sorted(found.collect(), key=lambda r: (r["_ax_h"], r["doc_id"], r["text"]))
-    texts, ys, left = [], [], words
-    for r in got:
-        left -= r["text"].count(" ") + 1
-        if left < 0:
-            break
-        texts.append(r["text"])
-        ys.append(int(r["toxic"] == 1))
-    y = np.array(ys, np.float32)
-    if 0 < y.sum() < len(y):
-        return train(texts, y)
+    trained = found.repartition(1).mapInArrow(partial(_fit, words), "net binary").collect()
+    return pickle.loads(trained[0][0]) if trained else constant_network(0.0)
+
+
+def constant_network(share: float) -> dict:
+    """Scores everything by one share."""
     net = new_network()
-    share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
+    share = float(np.clip(share, 1e-6, 1 - 1e-6))
     net["out"] *= 0
     net["bias"][:] = np.log(share / (1 - share))
     return net
 
 
+def _fit(words: int, batches):
+    """The one task that trains: its rows are the bounded sample. Keeps the driver's memory free of texts."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_ax_h", "doc_id", "text", "toxic")), strict=True)]
+    texts, ys, left = [], [], words
+    for _, _, text, toxic in sorted(rows, key=lambda r: r[:3]):
+        left -= text.count(" ") + 1
+        if left < 0:
+            break
+        texts.append(text)
+        ys.append(int(toxic == 1))
+    y = np.array(ys, np.float32)
+    net = train(texts, y) if 0 < y.sum() < len(y) else constant_network(float(y.mean()) if len(y) else 0.0)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+
 def _score(sent, batches):
     net = pickle.loads(sent.value)
     for b in pieces(batches, "text", 4 << 20):
