@@ -9,13 +9,17 @@ nearest smaller value of such a node belongs to such a node again.
 
 1. Signatures: (hash function, minimum) keys with the packed place of the compact window, shuffled by key. Keys of a single
    text fall out.
-2. Interval join: in each key every text is paired with the smallest text there and with its predecessor, so pairs grow in
+2. Exact repeats: two equal stretches of MIN_SHINGLES shingles have equal minima under all hash functions, so only stretches
+   are looked at whose HASHES minima are all shared. These are hashed as a whole and grouped by that hash: a group seen in
+   two texts is a repeated passage of MIN_WORDS words in all its texts. No text is compared with another, so no pair is
+   left out however many texts share the keys, and a group costs in proportion to its rows.
+3. Near repeats, interval join: in each key every text is paired with the smallest text there and with its predecessor, so pairs grow in
    proportion to rows; pairs of texts supported by fewer than SUPPORT hash functions fall out. Within a pair, compact
    windows of about one diagonal are swept along the first text; stretches covered under SUPPORT functions are candidates.
-3. Verification on the whole texts: in a candidate, runs of shared shingles with gaps of at most GAP are passages if both
+4. Verification on the whole texts: in a candidate, runs of shared shingles with gaps of at most GAP are passages if both
    sides have MIN_SHINGLES shingles and their shingle sets a Jaccard similarity of at least 0.8; a run that fails is parted
    at its largest gap and both parts are tried.
-4. Classes: connected components of texts by verified passages.
+5. Classes: connected components of texts by exact and by verified passages.
 
 Equal texts are one node (64-bit fingerprint of the words), so copies are not expanded. Defined results: null, empty and
 short texts (under 50 words) have no passages and are their own class; passages repeated only within one text are not
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix64, pieces, shingle_hashes, table, word_hashes
+from .common import U64, _power_tables, materialize, mix64, pieces, shingle_hashes, table, word_hashes
 from .components import connected_components
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
@@ -258,12 +262,84 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
 
-def repeated_passages(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified passages between different texts: _PASSAGES, ends in words (one past the last)."""
+def shared_starts(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) starts of the stretches of MIN_SHINGLES whose minima under all hash functions are among the rows.
+
+    Under one function every stretch has one minimum, so a start counts once for each function.
+    """
+    left, centre, right = unpack_place(places)
+    lo, hi = np.maximum(left, centre - MIN_SHINGLES + 1), np.minimum(centre, right - MIN_SHINGLES + 1)
+    at, where = np.unique(np.concatenate((lo, hi + 1)), return_inverse=True)
+    step = np.bincount(where, np.repeat((1, -1), len(lo)), len(at))
+    whole = np.concatenate(([False], np.cumsum(step) > HASHES - 0.5, [False]))
+    edges = np.flatnonzero(whole[1:] != whole[:-1])
+    return [(int(at[i]), int(at[j]) - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _shared_starts(batches):
+    for b in batches:
+        nodes, los, his = [], [], []
+        cut = b.column("keys").offsets.to_numpy()
+        cut = cut - (cut[0] if len(cut) else 0)
+        keys, places = b.column("keys").flatten().to_numpy(), b.column("places").flatten().to_numpy()
+        for node, i, j in zip(b.column("node").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if found := shared_starts(keys[i:j], places[i:j]):
+                nodes.append(node)
+                los.append([x for x, _ in found])
+                his.append([y for _, y in found])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(los, pa.list_(pa.int64())), pa.array(his, pa.list_(pa.int64()))], ["node", "lo", "hi"])
+
+
+def stretch_hashes(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the MIN_SHINGLES shingles from each of the starts, order included."""
+    power, inverse = _power_tables(len(s) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s * power[: len(s)], dtype=np.uint64)))
+    return mix64((sums[starts + MIN_SHINGLES] - sums[starts]) * inverse[starts])
+
+
+def _stretches(batches):
+    """(stretch, node, start) of every stretch named by (node, lo, hi, text)."""
+    for b in pieces(batches, "text", 1 << 20):
+        hashes, nodes, starts = [], [], []
+        for node, lo, hi, s in zip(*(b.column(c).to_pylist() for c in ("node", "lo", "hi")), sequences(b.column("text")), strict=True):
+            at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi, strict=True)])
+            hashes.append(stretch_hashes(s, at).view(np.int64))
+            nodes.append(np.full(len(at), node, np.int64))
+            starts.append(at)
+        if hashes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, nodes, starts)], ["stretch", "node", "start"])
+
+
+def _runs(batches):
+    """(node, other, s, e) in words from (node, other, starts): starts that adjoin or overlap in words are one run."""
+    for b in batches:
+        rows = []
+        for node, other, starts in zip(*(b.column(c).to_pylist() for c in ("node", "other", "starts")), strict=True):
+            at = np.unique(np.array(starts, np.int64))
+            for run in np.split(at, np.flatnonzero(np.diff(at) > MIN_WORDS) + 1):
+                rows.append((node, other, int(run[0]), int(run[-1]) + MIN_WORDS))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["node", "other", "s", "e"])
+
+
+def exact_passages(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, other, s, e): the stretches of words that a text repeats exactly with others, and the smallest such text.
+
+    shared: (node, lo, hi). The smallest text has rows of itself.
+    """
+    rows = materialize(shared.join(texts, "node").select("node", "lo", "hi", "text").mapInArrow(_stretches, "stretch long, node long, start long"), "windows-stretches")
+    heads = rows.groupBy("stretch").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last").drop("last")
+    runs = rows.join(heads, "stretch").groupBy("node", "other").agg(F.collect_list("start").alias("starts"))
+    return runs.mapInArrow(_runs, "node long, other long, s long, e long")
+
+
+def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact passages (node, other, s, e) and verified near passages (_PASSAGES); ends in words (one past the last)."""
     rows = docs.select("text").mapInArrow(_signatures, "key long, node long, place long").repartition("key")
     # both branches read the same columns, so that they share one exchange and signatures are made once
     shared = rows.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("place").alias("p")).where("n0 < n1 AND p >= 0").select("key")
     kept = materialize(rows.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "node", "place"]), "windows-kept")
+    whole = kept.groupBy("node").agg(F.collect_list(F.struct("key", "place")).alias("e")).select("node", F.col("e.key").alias("keys"), F.col("e.place").alias("places"))
+    whole = materialize(whole.mapInArrow(_shared_starts, "node long, lo array<long>, hi array<long>"), "windows-shared")
     heads = kept.groupBy("key").agg(F.min(F.struct("node", "place")).alias("head"))
     before = F.lag(F.struct("node", "place")).over(W.partitionBy("key").orderBy("node", "place"))
     sided = kept.join(heads, "key").withColumn("before", before)
@@ -274,7 +350,7 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     evidence = evidence.where(enough).select("a", "b", F.col("e.key").alias("keys"), F.col("e.pa").alias("places_a"), F.col("e.pb").alias("places_b"))
     evidence = materialize(evidence, "windows-evidence")
 
-    ends = evidence.select(F.col("a").alias("node")).unionByName(evidence.select(F.col("b").alias("node"))).distinct()
+    ends = evidence.select(F.col("a").alias("node")).unionByName(evidence.select(F.col("b").alias("node"))).unionByName(whole.select("node")).distinct()
     needed = materialize(nodes.join(ends, "node").select(F.col("doc_id").alias("_ax_id")), "windows-needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
@@ -286,34 +362,35 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     texts = materialize(found.select("text").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
     wide = evidence.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return wide.select("a", "b", "keys", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
+    near = wide.select("a", "b", "keys", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
+    return exact_passages(whole, texts), near
 
 
 def passage_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, words, component_id, links, spans, repeated_words), one row a document.
 
-    links counts other texts with a verified passage in common; spans are stretches of words that occur in other
+    links counts the other texts of the class, by their fingerprints (copies of one text are one); spans are stretches of words that occur in other
     documents, merged; a text with copies is one span.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = materialize(docs.mapInArrow(_members, f"doc_id {kind}, shingles long, node long"), "windows-members")
     nodes = materialize(members.where(F.col("shingles") >= MIN_SHINGLES).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("shingles").alias("shingles"), F.count("*").alias("copies")), "windows-nodes")
-    found = materialize(repeated_passages(docs, nodes), "windows-passages")
-    comps = connected_components(found.select("a", "b"))
+    exact, found = repeated_passages(docs, nodes)
+    exact, found = materialize(exact, "windows-exact"), materialize(found, "windows-passages")
+    comps = connected_components(found.select("a", "b").unionByName(exact.select(F.col("other").alias("a"), F.col("node").alias("b"))))
     both = found.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionByName(
-        found.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_end").alias("e")))
-    links = both.groupBy("node").agg(F.countDistinct("other").alias("links"))
+        found.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_end").alias("e"))).unionByName(exact)
     seen = W.partitionBy("node").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
     starts = both.select("node", "s", "e").distinct().withColumn("new", (F.col("s") > F.coalesce(F.max("e").over(seen), F.lit(-1))).cast("int"))
     runs = starts.withColumn("run", F.sum("new").over(W.partitionBy("node").orderBy("s", "e").rowsBetween(W.unboundedPreceding, 0)))
     spans = runs.groupBy("node", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
     spans = spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
     told = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = told.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    told = told.join(smallest, "component").join(links, "node", "left").join(spans, "node", "left")
+    smallest = told.groupBy("component").agg(F.min("doc_id").alias("component_id"), (F.count("*") - 1).alias("links"))
+    told = told.join(smallest, "component").join(spans, "node", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start_word"), (F.col("shingles") + SHINGLE - 1).alias("end_word")))
-    told = told.select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))).alias("spans"))
+    told = told.select("node", "component_id", "links", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))).alias("spans"))
     out = members.withColumn("node", F.when(F.col("shingles") >= MIN_SHINGLES, F.col("node"))).join(told, "node", "left")
     empty = F.array().cast(spans.schema["spans"].dataType)
     out = out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("spans", empty).alias("spans"))

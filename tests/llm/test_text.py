@@ -157,6 +157,32 @@ def test_a_passage_in_many_documents_is_one_class(docs):
     assert {r["component_id"] for r in out} == {0} and all(r["repeated_words"] >= 70 for r in out)
 
 
+def test_exact_passages_of_frequent_lines(docs):
+    rng = random.Random(11)
+    word = lambda: f"z{rng.randrange(90_000)}"
+    rows, pairs = [], []
+    for _ in range(6):
+        lines = [[word() for _ in range(12)] for _ in range(5)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [[word() for _ in range(70)] + sum(lines, []) + [word() for _ in range(70)] for _ in range(2)]
+        rows += [[word() for _ in range(60)] + rng.choice(lines) + [word() for _ in range(60)] for _ in range(300)]
+    out = {r["doc_id"]: r for r in compact_windows.passage_classes(docs([(i, " ".join(t)) for i, t in enumerate(rows)])).collect()}
+    inside = lambda r: any(s["start_word"] <= 70 and s["end_word"] >= 130 for s in r["spans"])
+    assert [out[b]["component_id"] for _, b in pairs] == [a for a, _ in pairs]
+    assert all(inside(out[i]) and out[i]["links"] == 1 for p in pairs for i in p)
+    assert all(r["component_id"] == i and not r["spans"] and not r["links"] for i, r in out.items() if i not in sum(pairs, ()))
+
+
+def test_a_text_between_two_passages_keeps_both(docs):
+    rng = random.Random(12)
+    text = lambda n: [f"y{rng.randrange(90_000)}" for _ in range(n)]
+    p, q, r = text(60), text(60), text(60)
+    rows = [text(20) + p + text(30) + q, text(30) + q + text(20) + r, text(10) + r + text(40) + p]
+    out = sorted(compact_windows.passage_classes(docs([(i, " ".join(t)) for i, t in enumerate(rows)])).collect())
+    assert [x["component_id"] for x in out] == [0, 0, 0] and [x["links"] for x in out] == [2, 2, 2]
+    assert [[tuple(s) for s in x["spans"]] for x in out] == [[(20, 80), (110, 170)], [(30, 90), (110, 170)], [(10, 70), (110, 170)]]
+
+
 def best_windows(text, items):
     """By brute force: item to best weighted Jaccard of a window of its length."""
     w = words_of(text)
