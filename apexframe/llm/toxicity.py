@@ -1,6 +1,7 @@
 """Operator 6: toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a step: a word, as a hashed word embedding beside the mean of hashed embeddings of its character n-grams (3 to 5
+Inputs of a step: a word (of words over PART bytes, a part of PART bytes; parts follow each other at PART_STRIDE bytes and
+overlap, so every byte and every n-gram of a text is read), as a hashed word embedding beside the mean of hashed embeddings of its character n-grams (3 to 5
 bytes, word ends marked), so that unseen forms of a known stem score too. Two GRUs read each window of WINDOW words in both
 directions, attention pools their states, a logistic unit scores the window. Windows follow each other at STRIDE words and
 overlap; every word of a text is in one, and a text scores as its worst window. Training is plain numpy (back-propagation
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import _BASE, _BYTE_CODE, _FOLD, U64, mix64, pieces, table, utf8_buffers, word_hashes, word_spans
 
 WINDOW, STRIDE = 64, 48
+PART, PART_STRIDE = 64, 48  # bytes
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 14, 8, 16, 16
 NGRAMS = (3, 4, 5)
 TRAIN_ROWS, TRAIN_WORDS, STEPS, BATCH, RATE = 2500, 900_000, 260, 48, 0.008
@@ -35,15 +37,40 @@ THRESHOLD = 0.3
 # --- inputs -----------------------------------------------------------------------------------------------------------
 
 
+def word_parts(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+    """(hashes, starts, ends, first) with words over PART bytes in overlapping parts; others as they are. data: lower case."""
+    size = ends - starts
+    if not len(size) or size.max() <= PART:
+        return hashes, starts, ends, first
+    count = np.where(size > PART, -(-(size - PART) // PART_STRIDE) + 1, 1)
+    before = np.concatenate(([0], np.cumsum(count)))
+    word = np.repeat(np.arange(len(size)), count)
+    start = starts[word] + (np.arange(len(word)) - before[word]) * PART_STRIDE
+    end = np.minimum(start + PART, ends[word])
+    out = hashes[word]
+    cut = np.flatnonzero(count[word] > 1)
+    for lo in range(0, len(cut), 1 << 14):
+        k = cut[lo : lo + (1 << 14)]
+        at = start[k][:, None] + np.arange(PART)
+        codes = np.where(at < end[k][:, None], _BYTE_CODE[data[np.minimum(at, len(data) - 1)]], U64(0))
+        h = np.zeros(len(k), np.uint64)
+        for c in codes.T:
+            h = h * U64(_BASE) + c
+        out[k] = mix64(h)
+    return out, start, end, before[first]
+
+
 class Words:
-    """The distinct words of a batch of texts and where they stand."""
+    """The distinct words (and parts of long words) of a batch of texts and where they stand."""
 
     def __init__(self, column: pa.Array):
-        hashes, self.first = word_hashes(column)
-        self.hashes, at, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes, first = word_hashes(column)
         data, offsets = utf8_buffers(column)
         starts, ends, _ = word_spans(data, offsets)
-        self.data, self.starts, self.ends = _FOLD[data], starts[at], ends[at]
+        self.data = _FOLD[data]
+        hashes, starts, ends, self.first = word_parts(self.data, hashes, starts, ends, first)
+        self.hashes, at, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
+        self.starts, self.ends = starts[at], ends[at]
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -53,7 +80,7 @@ class Words:
 
     def char_rows(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of the character n-grams of words lo to hi - 1, and each word's first (n-grams of a word adjoin)."""
-        size = np.minimum(self.ends[lo:hi] - self.starts[lo:hi], 64)  # n-grams of the first 64 bytes stand for a word
+        size = self.ends[lo:hi] - self.starts[lo:hi]
         width = size + 2
         base = np.cumsum(width) - width
         total = int(width.sum())
@@ -292,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int =
         picked = part if picked is None else picked.unionByName(part)
     longest = 8 * words // max(1, 2 * rows)  # longer texts are not in the sample
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    found = found.where(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")) < longest).select("doc_id", "toxic", "_ax_h", "text")
+    found = found.where(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")) < longest).where(F.octet_length("text") < longest * PART_STRIDE).select("doc_id", "toxic", "_ax_h", "text")
     trained = found.repartition(1).mapInArrow(partial(_fit, words), "net binary").collect()
     return pickle.loads(trained[0][0]) if trained else constant_network(0.0)
 
@@ -311,7 +338,7 @@ def _fit(words: int, batches):
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_ax_h", "doc_id", "text", "toxic")), strict=True)]
     texts, ys, left = [], [], words
     for _, _, text, toxic in sorted(rows, key=lambda r: r[:3]):
-        left -= text.count(" ") + 1
+        left -= max(text.count(" ") + 1, len(text.encode()) // PART_STRIDE)  # parts of long words count as words
         if left < 0:
             break
         texts.append(text)

@@ -248,6 +248,24 @@ def test_windows_cover_every_word():
         assert covered == set(range(k)) and hi > lo
 
 
+def test_every_byte_of_long_words_is_read():
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefghij") for _ in range(1000))
+    for text in (long, "漢字仮名" * 90, "-".join(["some"] * 60), "x" * 65, "a b " + long + " c"):
+        raw = text.encode()
+        words = toxicity.Words(pa.array(["before", text, "after " + long[:64]]))
+        own = np.unique(words.ids[words.first[1] : words.first[2]])
+        seen = {bytes(words.data[words.starts[i] : words.ends[i]][k : k + 5]) for i in own for k in range(60)}
+        assert {raw[k : k + 5] for w in text.split(" ") for k in range(raw.index(w.encode()), raw.index(w.encode()) + len(w.encode()) - 4)} <= seen
+        rows, _ = words.char_rows(0, len(words))
+        assert len(rows) == sum(int(e - s) + 3 - n for s, e in zip(words.starts, words.ends, strict=True) for n in toxicity.NGRAMS if e - s + 2 >= n)
+    net = toxicity.new_network()
+    a, b = toxicity.score_texts(net, pa.array([long, long[:900] + "idiot" + long[905:]]))
+    parts = toxicity.Words(pa.array([long, long[:900] + "idiot" + long[905:]]))
+    both = [set(parts.ids[parts.first[i] : parts.first[i + 1]].tolist()) for i in (0, 1)]
+    assert a != b and len(both[0] & both[1]) >= 18 and both[0] != both[1]
+
+
 def test_gradients():
     net = {k: v.astype(np.float64) for k, v in toxicity.new_network().items()}
     words = toxicity.Words(pa.array(["bad words here " * 3, "a fine text " * 30, ""]))
