@@ -9,6 +9,11 @@ that distance. What passes the full Hamming test is verified exactly: the weight
 over sum of the higher shingle counts) of the item and a window of the item's own length, the best of the places around
 the candidate. A document leaks an item from a similarity of 0.8.
 
+Fingerprints alone miss some near copies: they are samples, and the windows lie on a grid. So places are counted too: a
+window of w shingles and an item of n reach 0.8 only if 4/9 (w + n) of the window's shingles occur in the item. Every window
+of an item's own length, at every position, that holds so many is verified as well. This bound drops nothing that reaches
+0.8, so the pairs and their best places are complete.
+
 Items go to the tasks in slices of at most SLICE_ITEMS items and SLICE_BYTES bytes, one pass over the documents for each,
 so what is broadcast has a bound whatever the benchmark's size.
 
@@ -152,7 +157,52 @@ def weighted_jaccard(window: np.ndarray, values: np.ndarray, counts: np.ndarray)
     return float(both / (mine_n.sum() + counts.sum() - both))
 
 
-def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass]) -> dict[tuple[int, int, int], tuple[float, int, int]]:
+class Postings:
+    """The items that hold a shingle."""
+
+    def __init__(self, classes: list[ItemClass]):
+        held = [(values, c, i) for c, cls in enumerate(classes) for i, (_, values, _, _) in enumerate(cls.items)]
+        values = np.concatenate([v for v, _, _ in held]) if held else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(held)), [len(v) for v, _, _ in held])
+        order = np.argsort(values, kind="stable")
+        self.values, self.first = np.unique(values[order], return_index=True)
+        self.first, self.owner = np.append(self.first, len(order)), owner[order]
+        self.items = [(c, i) for _, c, i in held]
+
+    def places(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of every shingle that an item holds, sorted."""
+        if not len(self.values):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, shingles), len(self.values) - 1)
+        place = np.flatnonzero(self.values[at] == shingles)
+        lo, n = self.first[at[place]], np.diff(self.first)[at[place]]
+        item = self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        place = np.repeat(place, n)
+        order = np.argsort(item, kind="stable")
+        return item[order], place[order]
+
+
+def full_windows(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass], postings: Postings):
+    """(document, class, item, first, end) of all windows of an item's length with enough of its shingles to reach 0.8."""
+    item, place = postings.places(shingles)
+    doc = np.searchsorted(start, place, side="right") - 1
+    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(doc) != 0)) + 1
+    edges = np.concatenate(([0], cuts, [len(item)])) if len(item) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        c, i = postings.items[item[a]]
+        d, n = int(doc[a]), classes[c].items[i][3]
+        lo, hi = int(start[d]), int(start[d + 1])
+        w = min(n, hi - lo)
+        need = -(-4 * (w + n) // 9)
+        if b - a < need:
+            continue
+        at = np.arange(max(lo, int(place[a]) - w + 1), min(hi - w, int(place[b - 1])) + 1)
+        held = np.searchsorted(place[a:b], at + w) - np.searchsorted(place[a:b], at)
+        for s in at[held >= need].tolist():
+            yield d, c, i, s, s + w
+
+
+def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass], postings: Postings | None = None) -> dict[tuple[int, int, int], tuple[float, int, int]]:
     """Best (similarity, first shingle, shingles) by (document, class, item)."""
     best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
     steps = [max(1, cls.length // STEPS) for cls in classes]
@@ -174,16 +224,27 @@ def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass])
                 tried.add((d, i, s))
                 e = min(s + n, hi)
                 sim = weighted_jaccard(shingles[s:e], values, counts)
-                if sim >= SIMILARITY and sim > best.get((d, c, i), (0.0,))[0]:
+                old, first = best.get((d, c, i), (0.0, 0, 0))[:2]
+                if sim >= SIMILARITY and (sim > old or sim == old and s - lo < first):
                     best[d, c, i] = (sim, s - lo, e - s)
+    for d, c, i, s, e in full_windows(shingles, start, classes, postings or Postings(classes)):
+        old, first = best.get((d, c, i), (0.0, 0, 0))[:2]
+        at = s - int(start[d])
+        if old == 1 and first <= at:
+            continue
+        _, values, counts, _ = classes[c].items[i]
+        sim = weighted_jaccard(shingles[s:e], values, counts)
+        if sim >= SIMILARITY and (sim > old or sim == old and at < first):
+            best[d, c, i] = (sim, at, e - s)
     return best
 
 
 def _scan(sent, batches):
     classes = pickle.loads(sent.value)
+    postings = Postings(classes)
     for b in pieces(batches, "text", 1 << 20):
         shingles, start = shingle_runs(b.column("text"), SHINGLE)
-        found = sorted(leaks_in(shingles, start, classes).items())
+        found = sorted(leaks_in(shingles, start, classes, postings).items())
         ids = b.column("doc_id")
         yield pa.RecordBatch.from_arrays([
             ids.take(pa.array([d for (d, _, _), _ in found], pa.int64())), pa.array([classes[c].items[i][0] for (_, c, i), _ in found], pa.int64()),

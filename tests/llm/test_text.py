@@ -224,6 +224,25 @@ def test_leaks_by_brute_force(spark, docs):
     assert decontaminate.find_leaks(docs([]), table).count() == 0 and decontaminate.find_leaks(docs(rows), table.limit(0)).count() == 0
 
 
+def test_near_copies_are_complete():
+    rng = random.Random(14)
+    word = lambda: f"q{rng.randrange(90_000)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(49, 60)))) for i in range(60)]
+    rows = []
+    for i, t in items * 4:
+        w = t.split()
+        w[rng.randrange(20, 30)] = word()
+        rows.append((len(rows), " ".join([*(word() for _ in range(rng.randrange(80))), *w, *(word() for _ in range(rng.randrange(80)))])))
+    rows += [(1000, " ".join(items[0][1].split()[2:])), (1001, "again " * 30), (1002, items[1][1] + " x " + items[1][1])]
+    items.append((99, "again again again again again again again again"))
+    shingles_, start = decontaminate.shingle_runs(pa.array([t for _, t in rows]), 5)
+    classes_ = decontaminate.item_classes(items)
+    got = {(rows[d][0], classes_[c].items[i][0]): x for (d, c, i), x in decontaminate.leaks_in(shingles_, start, classes_).items()}
+    want = {(d, i): s for d, t in rows for i, s in best_windows(t, items).items()}
+    assert {k: x[0] for k, x in got.items()} == pytest.approx(want) and len(want) >= 240
+    assert got[1002, 1][1] == 0
+
+
 def test_index_finds_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(4)
     items = rng.integers(0, 1 << 63, 70).astype(np.uint64) * np.uint64(2)
