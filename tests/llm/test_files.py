@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import random
 import zlib
 
 import numpy as np
@@ -146,3 +147,18 @@ def test_boilerplate_by_repeated_runs(spark, docs):
     text = {r["page_id"]: r["text"] for r in got}
     assert text[3] == "page 3 has words 3 of its own <ü> here number 3" and text[10] == top and text[13] == top and text[11] == text[12] == ""
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_copies_and_quotations_are_no_boilerplate(spark, docs):
+    docs([])
+    rng = random.Random(15)
+    words = lambda n: " ".join(f"k{rng.randrange(99_999)}" for _ in range(n))
+    copy, quote, top = words(60), words(20), words(12)
+    bodies = [copy, copy.upper().replace(" ", "  ").lower(), f"{words(30)} {quote} {words(30)}", f"{words(30)} {quote} {words(30)}", *(words(50) for _ in range(60))]
+    rows = [(i, f"http://c.org/{i}", f"<div>{top}</div><p>{top} {b}</p>") for i, b in enumerate(bodies)]
+    # a host of two copies and a quoting page
+    rows += [(100 + i, f"http://d.org/{i}", f"<p>{b}</p>") for i, b in enumerate([copy, copy, f"{words(20)} {quote} {words(20)}"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(text[i] == " ".join(b.split()) for i, b in enumerate(bodies))
+    assert text[100] == text[101] == copy and quote in text[102]
