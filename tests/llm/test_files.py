@@ -162,3 +162,16 @@ def test_copies_and_quotations_are_no_boilerplate(spark, docs):
     text = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
     assert all(text[i] == " ".join(b.split()) for i, b in enumerate(bodies))
     assert text[100] == text[101] == copy and quote in text[102]
+
+
+def test_chrome_by_whole_names_and_to_its_own_end():
+    main = lambda x: [t for p, t in html_text.blocks_of(f"<body><article>{x}<p>end</p></article>tail</body>") if p == html_text.MAIN]
+    for kept in ('<div style="overflow:hidden">a</div>', '<a title="The hidden valley">a</a><br>', '<div data-id="menu">a</div>', '<h2 id="comments-on-the-law">a</h2>',
+                 '<section id="notice-period">a</section>', '<td class="share-prices">a</td><br>', '<div data-role="navigation">a</div>'):
+        assert main(kept) == ["a", "end"], kept
+    for gone in ("<div hidden>a</div>", '<div class="x share-bar">a</div>', "<div id=cookie-notice>a</div>", '<p class="ad">a', '<ul><li class="menu-item">a<li class="menu-item">a</ul>',
+                 '<div role="navigation">a</div>', '<table><tr><td class="ad">a</table>', '<section class="comments"><div>a<article>a</article></div></section>'):
+        assert main(gone) == ["end"], gone
+    assert main('<ul><li class="menu-item">Home<li>kept</ul>') == ["kept", "end"]
+    assert html_text.blocks_of('<div class="ad">buy<main>text</div> more</main>') == [(html_text.CHROME, "buy"), (html_text.MAIN, "text"), (html_text.MAIN, "more")]
+    assert html_text.blocks_of("<div><nav>menu</div><p>open") == [(html_text.CHROME, "menu"), (html_text.OPEN, "open")]
