@@ -294,6 +294,18 @@ def nearest_segment_stats(spark, sf):
     return track.segment_stats(placed, "x")
 
 
+NEAREST_BY_TRACK = """, sp AS (SELECT s_nationkey::BIGINT AS track_id, s_suppkey % 10 AS segment, ((s_suppkey * 37) % 101)::DOUBLE AS px, ((s_suppkey * 53) % 101)::DOUBLE AS py FROM supplier),
+nr AS (SELECT lp.session_id, lp.seq, lp.lap, lp.x, arg_min(segment, (pow(lp.x - px, 2) + pow(lp.y - py, 2), segment)) AS segment FROM lp JOIN sp ON sp.track_id = lp.session_id % 25 GROUP BY ALL)"""
+
+
+@query(f"WITH {LAPPED}{NEAREST_BY_TRACK} SELECT session_id, lap, segment, min(x) AS min_speed, max(x) AS max_speed FROM nr GROUP BY 1, 2, 3")
+def nearest_segment_stats_by_track(spark, sf):
+    """All suppliers as track points; a nation is a track, a session runs on one of the 25."""
+    points = _read(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("track_id"), F.pmod(F.col("s_suppkey"), F.lit(10)).alias("segment"), F.pmod(F.col("s_suppkey") * 37, F.lit(101)).cast("double").alias("x"), F.pmod(F.col("s_suppkey") * 53, F.lit(101)).cast("double").alias("y"))
+    lapped = laps.assign_laps(*_crossed(spark, sf)).withColumn("track_id", F.pmod(F.col("session_id"), F.lit(25)).cast("long"))
+    return track.segment_stats(track.nearest_segment(lapped, points, ["session_id", "seq"]), "x")
+
+
 PROJECTED = EV + """, """ + PIECES + """, pj AS (
   SELECT session_id, seq, seg_idx, cum + u * len AS along, pow(x0 + u * dx - x, 2) + pow(y0 + u * dy - y, 2) AS d
   FROM (SELECT ev.session_id, ev.seq, ev.x * 10 + 900 AS x, ev.y / 2 AS y, pc.*, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest(((ev.x * 10 + 900 - x0) * dx + (ev.y / 2 - y0) * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS u
@@ -307,6 +319,18 @@ def project_to_polyline(spark, sf):
     return track.project(samples, pieces, ["session_id", "seq"]).select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
 
 
+PROJECTED_BY_TRACK = PROJECTED.replace("pc.track_id = 'Brand#11'", "pc.track_id = 'Brand#' || (1 + ev.session_id % 5) || (1 + (ev.session_id // 5) % 5)")
+
+
+@query(f"WITH {PROJECTED_BY_TRACK} SELECT session_id, seq, round(arg_min(along, (d, seg_idx)), 3) AS along, round(sqrt(min(d)), 3) AS off FROM pj GROUP BY 1, 2")
+def project_to_polyline_by_track(spark, sf):
+    """All brands of part as tracks; a session runs on one of the 25."""
+    number = lambda x: (F.pmod(F.floor(x), F.lit(5)) + 1).cast("string")
+    brand = F.concat(F.lit("Brand#"), number(F.col("session_id")), number(F.col("session_id") / 5))
+    samples = ev(spark, sf).select("session_id", "seq", (F.col("x") * 10 + 900).alias("x"), (F.col("y") / 2).alias("y"), brand.alias("track_id"))
+    return track.project(samples, track.track_pieces(_track(spark, sf)), ["session_id", "seq"]).select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
+
+
 @query(f"""WITH {LAPPED}, al AS (SELECT *, sum(x::DECIMAL(18,4)) OVER (PARTITION BY session_id, lap ORDER BY t, seq)::DOUBLE AS along FROM lp),
 pf AS (SELECT al.session_id, along AS dist, min(lap_time) AS bt FROM al JOIN bl USING (session_id, lap) GROUP BY 1, 2),
 j AS (SELECT al.session_id, seq, lap_time, along, a.dist AS a0, a.bt AS v0 FROM al ASOF LEFT JOIN pf a ON al.session_id = a.session_id AND al.along >= a.dist),

@@ -28,6 +28,14 @@ def test_core_plans_do_not_gather_in_one_task(spark):
         assert "SinglePartition" not in plan, name
 
 
+def test_all_tracks_take_part(spark):
+    tracks = {r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_nationkey").distinct().collect()}
+    sessions = {r[0] for r in QUERIES["nearest_segment_stats_by_track"](spark, SF).select("session_id").distinct().collect()}
+    assert {s % 25 for s in sessions} <= tracks and len({s % 25 for s in sessions}) > 1
+    sessions = {r[0] for r in QUERIES["project_to_polyline_by_track"](spark, SF).select("session_id").distinct().collect()}
+    assert len({s % 25 for s in sessions}) > 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
