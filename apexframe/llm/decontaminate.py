@@ -253,27 +253,44 @@ def _scan(sent, batches):
         ], ["doc_id", "item_id", "similarity", "start_word", "words"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text) and (item_id, text) to (doc_id, item_id, similarity, start_word, words), one row a pair."""
-    spark = docs.sparkSession
+def _slices(spark: SparkSession, benchmark: DataFrame):
+    """The item classes of each slice of the benchmark, sent to the executors."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text IS NOT NULL")
     sizes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     slices = 1 + int(2 * max(sizes[0] / SLICE_ITEMS, sizes[1] / max(1, SLICE_BYTES - sizes[2])))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for k in range(slices):
         mine = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         classes = item_classes([(r[0], r[1]) for r in mine.orderBy("item_id", "text").toLocalIterator()])
-        sent = spark.sparkContext.broadcast(pickle.dumps(classes))
+        yield spark.sparkContext.broadcast(pickle.dumps(classes))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text) and (item_id, text) to (doc_id, item_id, similarity, start_word, words), one row a pair."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for sent in _slices(docs.sparkSession, benchmark):
         part = texts.mapInArrow(partial(_scan, sent), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _clean(sent, batches):
+    classes = pickle.loads(sent.value)
+    postings = Postings(classes)
+    for b in pieces(batches, "text", 1 << 20):
+        shingles, start = shingle_runs(b.column("text"), SHINGLE)
+        keep = np.ones(b.num_rows, bool)
+        keep[[d for d, _, _ in leaks_in(shingles, start, classes, postings)]] = False
+        yield b.filter(pa.array(keep))
+
+
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all columns) that hold no benchmark item."""
-    leaking = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_ax_id")).distinct()
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(F.col("_ax_id")), "left_anti")
+    """The documents (all columns) that hold no benchmark item. Each row goes or stays by its own text: null and repeated
+    doc_ids take no other rows with them."""
+    out = docs
+    for sent in _slices(docs.sparkSession, benchmark):
+        out = out.mapInArrow(partial(_clean, sent), docs.schema)
+    return out
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,16 @@ def test_leaks_by_brute_force(spark, docs):
     assert decontaminate.find_leaks(docs([]), table).count() == 0 and decontaminate.find_leaks(docs(rows), table.limit(0)).count() == 0
 
 
+def test_leaking_rows_go_by_their_own_text(spark, docs):
+    item = " ".join(f"i{k}" for k in range(40))
+    rows = [(None, item), (None, "clean text of a row without an id"), (7, "before " + item), (7, "another text under the same id"), (None, None), (8, "")]
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.drop_leaking(docs(rows), table)
+    assert kept.schema == docs(rows).schema
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in kept.collect()])) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+    assert decontaminate.drop_leaking(docs(rows), table.limit(0)).count() == len(rows)
+
+
 def test_near_copies_are_complete():
     rng = random.Random(14)
     word = lambda: f"q{rng.randrange(90_000)}"
