@@ -56,22 +56,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _GAMMA) | U64(1)
 _BASE = 0xD6E8FEB86659FD93
 _UNBASE = pow(_BASE, -1, 1 << 64)
+#: Bytes (or hashes) that the kernels below hold in working arrays at once, whatever a text's length.
+SEGMENT = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out, out=out) if n else out
+    return np.multiply.accumulate(out, out=out)
 
 
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        _POW[:] = [_powers(_BASE, size), _powers(_UNBASE, size)]
-    return _POW[0], _POW[1]
+_POWER, _INVERSE = _powers(_BASE, 2 * SEGMENT), _powers(_UNBASE, SEGMENT)  # 3 MB
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,41 +86,84 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_WHITE[data]
-    edge = np.zeros(n + 1, dtype=bool)  # a text begins or ends here
-    edge[offsets] = True
-    before = np.concatenate(([False], solid[:-1]))
-    after = np.concatenate((solid[1:], [False]))
-    starts = np.flatnonzero(solid & (~before | edge[:-1]))
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    starts, ends = [], []
+    for lo in range(0, n, SEGMENT):
+        hi = min(n, lo + SEGMENT)
+        solid = np.zeros(hi - lo + 2, dtype=bool)  # with one byte more on either side
+        a, b = max(0, lo - 1), min(n, hi + 1)
+        solid[a - lo + 1 : b - lo + 1] = ~_WHITE[data[a:b]]
+        edge = np.zeros(hi - lo + 1, dtype=bool)  # a text begins or ends here
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+        core = solid[1:-1]
+        starts.append(np.flatnonzero(core & (~solid[:-2] | edge[:-1])) + lo)
+        ends.append(np.flatnonzero(core & (~solid[2:] | edge[1:])) + lo + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_sum(word: np.ndarray) -> int:
+    """The polynomial of a word of any length, segment by segment."""
+    total, shift, step = 0, 1, pow(_BASE, SEGMENT, 1 << 64)
+    for lo in range(0, len(word), SEGMENT):
+        part = _BYTE_CODE[_FOLD[word[lo : lo + SEGMENT]]]
+        total += int((part * _POWER[: len(part)]).sum(dtype=np.uint64)) * shift
+        shift = shift * step & 0xFFFFFFFFFFFFFFFF
+    return total & 0xFFFFFFFFFFFFFFFF
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word with A-Z lower-cased, and the first word's index of every text."""
     data, offsets = utf8_buffers(column)
     starts, ends, first = word_spans(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_CODE[_FOLD[data]] * power[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GAMMA), first
+    out = np.empty(len(starts), np.uint64)
+    sums = np.zeros(2 * SEGMENT + 1, np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(starts, lo + SEGMENT))
+        if ends[j - 1] - lo > 2 * SEGMENT:  # only the last of them can be so long
+            j -= 1
+            out[j] = _long_sum(data[starts[j] : ends[j]])
+        if j > i:
+            n = int(ends[j - 1]) - lo
+            np.cumsum(_BYTE_CODE[_FOLD[data[lo : lo + n]]] * _POWER[:n], out=sums[1 : n + 1])
+            out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * _INVERSE[starts[i:j] - lo]
+        i = int(np.searchsorted(starts, lo + SEGMENT))
+    for lo in range(0, len(out), SEGMENT):
+        part = slice(lo, lo + SEGMENT)
+        out[part] = mix64(out[part] + (ends[part] - starts[part]).astype(np.uint64) * _GAMMA)
+    return out, first
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of `size` words (over text borders too: the caller cuts those)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    n = max(0, len(words) - size + 1)
     out = np.zeros(n, dtype=np.uint64)
-    for i in range(size):
-        out = out * U64(_BASE) + words[i : i + n]
-    return mix64(out)
-
-
-def pieces(batches, column: str, limit: int = 8 << 20):
+    for lo in range(0, n, SEGMENT):
+        part = out[lo : lo + SEGMENT]
+        for i in range(size):
+            part *= U64(_BASE)
+            part += words[lo + i : lo + i + len(part)]
+        part[:] = mix64(part)
+    return out
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` values from each of the (ascending) starts, order included."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(starts, lo + SEGMENT))
+        part = values[lo : int(starts[j - 1]) + size]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * _POWER[: len(part)], dtype=np.uint64)))
+        at = starts[i:j] - lo
+        out[i:j] = mix64((sums[at + size] - sums[at]) * _INVERSE[at])
+        i = j
+    return out
+
+
+def pieces(batches, column: str, limit: int = 2 << 20):
     """Cut Arrow batches so that no piece holds much more than `limit` bytes of `column`; a row is never cut."""
     for batch in batches:
         n = batch.num_rows

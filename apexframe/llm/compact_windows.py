@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, _power_tables, materialize, mix64, pieces, shingle_hashes, table, word_hashes
+from .common import U64, materialize, mix64, pieces, run_hashes, shingle_hashes, table, word_hashes
 from .components import connected_components
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
@@ -290,20 +290,13 @@ def _shared_starts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(los, pa.list_(pa.int64())), pa.array(his, pa.list_(pa.int64()))], ["node", "lo", "hi"])
 
 
-def stretch_hashes(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the MIN_SHINGLES shingles from each of the starts, order included."""
-    power, inverse = _power_tables(len(s) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s * power[: len(s)], dtype=np.uint64)))
-    return mix64((sums[starts + MIN_SHINGLES] - sums[starts]) * inverse[starts])
-
-
 def _stretches(batches):
     """(stretch, node, start) of every stretch named by (node, lo, hi, text)."""
     for b in pieces(batches, "text", 1 << 20):
         hashes, nodes, starts = [], [], []
         for node, lo, hi, s in zip(*(b.column(c).to_pylist() for c in ("node", "lo", "hi")), sequences(b.column("text")), strict=True):
             at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi, strict=True)])
-            hashes.append(stretch_hashes(s, at).view(np.int64))
+            hashes.append(run_hashes(s, at, MIN_SHINGLES).view(np.int64))
             nodes.append(np.full(len(at), node, np.int64))
             starts.append(at)
         if hashes:

@@ -12,8 +12,8 @@ difference by D = (|A| + |B|) (den - num) / (den + num).
   its empty blocks are entered too, so no pair within D is ever missed.
 * A packed bit sketch (a power of two of bits, foldable by XOR) gives a Hamming distance that never exceeds the symmetric
   difference: candidates beyond D fall out before any text moves. The rest is verified on the whole shingle sets.
-* In each key every set is first paired with two pivots, the smallest set and one drawn by hash, so pairs grow in proportion
-  to rows. Once these links are verified, sets of one component need no more links; groups that still hold different
+* In each key every set is first paired with two pivots, the smallest set and the one of the smallest hash, so pairs grow in
+  proportion to rows; both orders hold for all keys, so a group that shares many keys has few pivots. Once these links are verified, sets of one component need no more links; groups that still hold different
   components are compared across them on their packed sketches, in cells of CELL x CELL sets, and what is near is verified.
 
 Equal sets are one node from the start (64-bit fingerprint), so copies are never expanded into pairs.
@@ -264,7 +264,7 @@ def similarity_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     nodes = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "parity-nodes")
 
     keys = docs.select("text").mapInArrow(partial(_keys, *args), "key long, node long").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("key", "node")).alias("any"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("node")).alias("any"))
     kept = keys.join(shared.where("first < last").drop("last").hint("shuffle_hash"), "key").dropDuplicates(["key", "node"])
     kept = materialize(kept.select("key", "node", "first", "any"), "parity-keys")
 

@@ -2,15 +2,18 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import SF, assert_same
 
-from apexframe.llm import compact_windows, decontaminate, parity_join, queries, toxicity
+from apexframe.llm import common, compact_windows, decontaminate, parity_join, queries, toxicity
 from apexframe.llm.common import word_hashes
 from apexframe.llm.components import connected_components
 
@@ -372,3 +375,28 @@ def test_pipeline_by_brute_force(spark, docs, tmp_path):
         slots[r["shard"]].append(r["slot"])
     assert set(slots) <= set(range(pipeline.SHARDS)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert {r["doc_id"] for r in out} <= fair
+
+
+def test_a_text_of_50_mb_is_hashed_in_bounded_memory():
+    code = """
+import resource
+import pyarrow as pa
+from apexframe.llm import common
+texts = pa.array(["w1 foo bar x" * 4_200_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+words, first = common.word_hashes(texts)
+common.shingle_hashes(words, 5)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 450  # MB: words at 24 bytes, shingles at 8, and segments
+
+
+def test_words_over_a_segment_hash_as_short_ones_do():
+    long = "x" * (common.SEGMENT * 3 + 5)
+    words, first = common.word_hashes(pa.array([long + " ab", "AB " + long, "ab", long.upper() + "y"]))
+    assert first.tolist() == [0, 2, 4, 5, 6]
+    assert words[0] == words[3] and words[1] == words[2] == words[4] and words[5] not in words[:5]
+    data = b" ".join([b"a" * 7] * 40000)
+    words, _ = common.word_hashes(pa.array([data.decode()]))
+    assert len(words) == 40000 and len(set(words.tolist())) == 1
