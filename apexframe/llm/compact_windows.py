@@ -7,15 +7,19 @@ nodes with an extent of MIN_SHINGLES or more matter, about 2 in MIN_SHINGLES pos
 windows of that length (found by doubling in numpy), and their extents follow from a stack over them alone, because the
 nearest smaller value of such a node belongs to such a node again.
 
+Of a compact window only the starts of its stretches of MIN_SHINGLES count: a range [lo, hi] of at most MIN_SHINGLES places.
+
 1. Signatures: (hash function, minimum) keys with the packed place of the compact window, shuffled by key. Keys of a single
-   text fall out.
+   text fall out. A key that many texts of one piece share is known to be shared; its further rows are dealt out by text.
 2. Exact repeats: two equal stretches of MIN_SHINGLES shingles have equal minima under all hash functions, so only stretches
    are looked at whose HASHES minima are all shared. These are hashed as a whole and grouped by that hash: a group seen in
    two texts is a repeated passage of MIN_WORDS words in all its texts. No text is compared with another, so no pair is
    left out however many texts share the keys, and a group costs in proportion to its rows.
-3. Near repeats, interval join: in each key every text is paired with the smallest text there and with its predecessor, so pairs grow in
-   proportion to rows; pairs of texts supported by fewer than SUPPORT hash functions fall out. Within a pair, compact
-   windows of about one diagonal are swept along the first text; stretches covered under SUPPORT functions are candidates.
+3. Near repeats, interval join: within a text the start ranges of two neighbouring hash functions are intersected; both minima
+   together are a key that a common line alone rarely makes. Stretches that a smaller text repeats exactly are left to that
+   text. In each key every text is paired with the smallest text there if SUPPORT functions agree. Once these pairs are verified,
+   keys that still hold different classes are parted by every set of further functions that agree, and texts are paired
+   with the smallest one there: a pair meets under all functions that it agrees on, whatever else shares some of them.
 4. Verification on the whole texts: in a candidate, runs of shared shingles with gaps of at most GAP are passages if both
    sides have MIN_SHINGLES shingles and their shingle sets a Jaccard similarity of at least 0.8; a run that fails is parted
    at its largest gap and both parts are tried.
@@ -44,6 +48,7 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 HASHES, SUPPORT, GAP, DRIFT = 6, 3, 10, 24
 CHUNK = 1 << 17
+HOT = 8  # texts of one piece with one key that go to the key's own partition; others are dealt out
 BROADCAST_ROWS = 500_000
 
 
@@ -102,17 +107,20 @@ def hashed(s: np.ndarray, f: int) -> np.ndarray:
     return mix64(s ^ U64((f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-_EXTENT = (1 << 17) - 1
+def pack_place(lo: np.ndarray, centre: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """centre and how far before it the first and the last start of a stretch lie, both below MIN_SHINGLES."""
+    return centre << 12 | (centre - lo) << 6 | (centre - hi)
 
 
-def pack_place(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """centre (29 bits) and both extents (17 bits each; longer ones are cut) in a word."""
-    return centre << 34 | np.minimum(centre - left, _EXTENT) << 17 | np.minimum(right - centre, _EXTENT)
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, centre, hi)."""
+    c = place >> 12
+    return c - (place >> 6 & 63), c, c - (place & 63)
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = place >> 34
-    return c - (place >> 17 & _EXTENT), c, c + (place & _EXTENT)
+def start_ranges(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the stretches of MIN_SHINGLES within a compact window that hold its centre."""
+    return np.maximum(left, centre - MIN_SHINGLES + 1), np.minimum(centre, right - MIN_SHINGLES + 1)
 
 
 def _members(batches):
@@ -122,7 +130,21 @@ def _members(batches):
             [b.column("doc_id"), pa.array([len(s) for s in seqs], pa.int64()), pa.array([fingerprint(s) for s in seqs], pa.int64())], ["doc_id", "shingles", "node"])
 
 
+def hot_rows(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether a row's key has HOT other texts before it."""
+    order = np.lexsort((nodes, keys))
+    k, n = keys[order], nodes[order]
+    new_key = np.concatenate(([True], k[1:] != k[:-1]))
+    new_node = new_key | np.concatenate(([True], n[1:] != n[:-1]))
+    nth = np.cumsum(new_node)
+    nth -= np.maximum.accumulate(np.where(new_key, nth, 0))
+    out = np.empty(len(keys), bool)
+    out[order] = nth >= HOT
+    return out
+
+
 def _signatures(batches):
+    """(key, salt, node, place). Rows of a salt other than -1 belong to keys that are shared for certain."""
     seen = set()  # a text that this task has entered is not entered again
     for b in pieces(batches, "text"):
         keys, places, nodes, counts = [], [], [], []
@@ -132,42 +154,72 @@ def _signatures(batches):
             seen.add(node)
             for f in range(HASHES):
                 left, centre, right = compact_windows(hashed(s, f))
+                lo, hi = start_ranges(left, centre, right)
                 # the key's low three bits name the hash function
                 keys.append(hashed(s[centre], f + HASHES) & U64(0xFFFFFFFFFFFFFFF8) | U64(f))
-                places.append(pack_place(left, centre, right))
+                places.append(pack_place(lo, centre, hi))
                 nodes.append(node)
                 counts.append(len(centre))
         if keys:
-            node = np.repeat(np.array(nodes, np.int64), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(np.concatenate(places))], ["key", "node", "place"])
+            node, key = np.repeat(np.array(nodes, np.int64), counts), np.concatenate(keys).view(np.int64)
+            salt = np.where(hot_rows(key, node), node & 1023, -1).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(node), pa.array(np.concatenate(places))], ["key", "salt", "node", "place"])
+
 
+_FIELD = 10  # bits of a signature for each hash function
 
-def candidate_stretches(f, a, b) -> list[tuple[int, int, int, int]]:
-    """Stretches (first, last of text a; least and greatest diagonal) that SUPPORT hash functions cover on about one diagonal.
 
-    a and b: (l, c, r) of the paired compact windows.
+def composite_rows(keys: np.ndarray, places: np.ndarray, known_lo: np.ndarray, known_hi: np.ndarray):
+    """(key, place, signature) of the ranges of starts in which two neighbouring hash functions have shared minima.
+
+    Ranges within one of the known (ascending, disjoint) ranges are left out. The signature holds _FIELD bits of each
+    function's key in the middle of the range, 0 where that is not shared.
     """
-    diagonal = b[1] - a[1]
-    order = np.argsort(diagonal, kind="stable")
-    cuts = np.flatnonzero(np.diff(diagonal[order]) > DRIFT) + 1
+    f = keys & 7
+    by_hash = []
+    for k in range(HASHES):
+        key, place = keys[f == k], places[f == k]
+        lo, centre, hi = unpack_place(place)
+        order = np.argsort(lo, kind="stable")
+        by_hash.append((key[order].view(np.uint64), lo[order], centre[order], hi[order]))
+    out_key, out_place, out_sign = [], [], []
+    for k in range(HASHES):
+        (key_a, lo_a, centre, hi_a), (key_b, lo_b, _, hi_b) = by_hash[k], by_hash[(k + 1) % HASHES]
+        begin, end = np.searchsorted(hi_b, lo_a), np.searchsorted(lo_b, hi_a, side="right")
+        n = np.maximum(end - begin, 0)
+        a = np.repeat(np.arange(len(lo_a)), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + begin[a]
+        lo, hi = np.maximum(lo_a[a], lo_b[b]), np.minimum(hi_a[a], hi_b[b])
+        if len(known_lo):
+            at = np.searchsorted(known_lo, lo, side="right") - 1
+            free = (at < 0) | (hi > known_hi[np.maximum(at, 0)])
+            a, b, lo, hi = a[free], b[free], lo[free], hi[free]
+        mid, sign = (lo + hi) // 2, np.zeros(len(a), np.uint64)
+        for g, (key, first, _, last) in enumerate(by_hash):
+            if len(first):
+                at = np.maximum(np.searchsorted(first, mid, side="right") - 1, 0)
+                field = np.where((first[at] <= mid) & (mid <= last[at]), (key[at] >> U64(3)) % U64((1 << _FIELD) - 1) + U64(1), U64(0))
+                sign |= field << U64(_FIELD * g)
+        out_key.append(mix64(key_a[a] + key_b[b] * U64(0x9E3779B97F4A7C15)))
+        out_place.append(pack_place(lo, centre[a], hi))
+        out_sign.append(sign)
+    return np.concatenate(out_key).view(np.int64), np.concatenate(out_place), np.concatenate(out_sign).view(np.int64)
+
+
+def candidate_stretches(place_a: np.ndarray, place_b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Stretches (first, last of text a; least and greatest diagonal) of paired places, merged where they adjoin on about one
+    diagonal."""
+    (lo_a, c_a, hi_a), (lo_b, c_b, hi_b) = unpack_place(place_a), unpack_place(place_b)
+    d = c_b - c_a
+    begin, end = np.minimum(lo_a, lo_b - d), np.maximum(hi_a, hi_b - d) + MIN_SHINGLES - 1
+    order = np.argsort(d, kind="stable")
     out = []
-    for group in np.split(order, cuts):
-        if len(np.unique(f[group])) < SUPPORT:
-            continue
-        d0, d1 = int(diagonal[group].min()), int(diagonal[group].max())
-        lo = np.maximum(a[0][group], b[0][group] - diagonal[group])
-        hi = np.minimum(a[2][group], b[2][group] - diagonal[group])
-        edges = sorted([(int(x), 0, int(k)) for x, k in zip(lo, f[group], strict=True)] + [(int(x) + 1, 1, int(k)) for x, k in zip(hi, f[group], strict=True)])
-        open_, begin = np.zeros(HASHES, np.int64), None
-        for x, closing, k in edges:
-            open_[k] += -1 if closing else 1
-            enough = (open_ > 0).sum() >= SUPPORT
-            if enough and begin is None:
-                begin = x
-            elif not enough and begin is not None:
-                if x - begin >= 1:
-                    out.append((begin, x - 1, d0, d1))
-                begin = None
+    for group in np.split(order, np.flatnonzero(np.diff(d[order]) > DRIFT) + 1):
+        group = group[np.argsort(begin[group], kind="stable")]
+        reach = np.maximum.accumulate(end[group])
+        for part in np.split(np.arange(len(group)), np.flatnonzero(begin[group][1:] > reach[:-1] + MIN_SHINGLES) + 1):
+            rows = group[part]
+            out.append((int(begin[rows[0]]), int(reach[part[-1]]), int(d[rows].min()), int(d[rows].max())))
     return out
 
 
@@ -253,9 +305,8 @@ def _verify(batches):
     for b in pieces(pieces(batches, "text_a"), "text_b"):
         rows = []
         sa, sb = _each(b, "a"), _each(b, "b")
-        for i, (na, nb, keys, pa_, pb_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "keys", "places_a", "places_b")), strict=True)):
-            f = np.array(keys, np.int64) & 7
-            found = candidate_stretches(f, unpack_place(np.array(pa_, np.int64)), unpack_place(np.array(pb_, np.int64)))
+        for i, (na, nb, pa_, pb_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "places_a", "places_b")), strict=True)):
+            found = candidate_stretches(np.array(pa_, np.int64), np.array(pb_, np.int64))
             rows += [(na, nb, x0, x1 + SHINGLE, y0, y1 + SHINGLE, sim) for x0, x1, y0, y1, sim in passages(sa[i], sb[i], found)]
         names = [x.split()[0] for x in _PASSAGES.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -267,8 +318,7 @@ def shared_starts(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]
 
     Under one function every stretch has one minimum, so a start counts once for each function.
     """
-    left, centre, right = unpack_place(places)
-    lo, hi = np.maximum(left, centre - MIN_SHINGLES + 1), np.minimum(centre, right - MIN_SHINGLES + 1)
+    lo, _, hi = unpack_place(places)
     at, where = np.unique(np.concatenate((lo, hi + 1)), return_inverse=True)
     step = np.bincount(where, np.repeat((1, -1), len(lo)), len(at))
     whole = np.concatenate(([False], np.cumsum(step) > HASHES - 0.5, [False]))
@@ -276,20 +326,42 @@ def shared_starts(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]
     return [(int(at[i]), int(at[j]) - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def _windows_of(batch):
+    """(node, keys, places) of every text of a batch, in order of places and without repeated rows."""
+    cut = batch.column("keys").offsets.to_numpy()
+    cut = cut - (cut[0] if len(cut) else 0)
+    keys, places = batch.column("keys").flatten().to_numpy(), batch.column("places").flatten().to_numpy()
+    for node, i, j in zip(batch.column("node").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        k, p = keys[i:j], places[i:j]
+        order = np.lexsort((k, p))
+        k, p = k[order], p[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+        yield node, k[new], p[new]
+
+
 def _shared_starts(batches):
     for b in batches:
         nodes, los, his = [], [], []
-        cut = b.column("keys").offsets.to_numpy()
-        cut = cut - (cut[0] if len(cut) else 0)
-        keys, places = b.column("keys").flatten().to_numpy(), b.column("places").flatten().to_numpy()
-        for node, i, j in zip(b.column("node").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if found := shared_starts(keys[i:j], places[i:j]):
+        for node, keys, places in _windows_of(b):
+            if found := shared_starts(keys, places):
                 nodes.append(node)
                 los.append([x for x, _ in found])
                 his.append([y for _, y in found])
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(los, pa.list_(pa.int64())), pa.array(his, pa.list_(pa.int64()))], ["node", "lo", "hi"])
 
 
+def _composites(batches):
+    for b in batches:
+        out = [(np.zeros(0, np.int64),) * 4]
+        known = zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)
+        for (node, keys, places), (lo, hi) in zip(_windows_of(b), known, strict=True):
+            lo, hi = np.array(lo or [], np.int64), np.array(hi or [], np.int64)
+            order = np.argsort(lo, kind="stable")
+            key, place, sign = composite_rows(keys, places, lo[order], np.maximum.accumulate(hi[order]))
+            out.append((key, np.full(len(key), node, np.int64), place, sign))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "node", "place", "sign"])
+
+
 def _stretches(batches):
     """(stretch, node, start) of every stretch named by (node, lo, hi, text)."""
     for b in pieces(batches, "text", 1 << 20):
@@ -304,47 +376,84 @@ def _stretches(batches):
 
 
 def _runs(batches):
-    """(node, other, s, e) in words from (node, other, starts): starts that adjoin or overlap in words are one run."""
+    """(node, other, s, e, lo, hi): runs of words, from starts that adjoin or overlap in words, and the first and last of
+    each row of starts without a gap."""
     for b in batches:
         rows = []
         for node, other, starts in zip(*(b.column(c).to_pylist() for c in ("node", "other", "starts")), strict=True):
             at = np.unique(np.array(starts, np.int64))
             for run in np.split(at, np.flatnonzero(np.diff(at) > MIN_WORDS) + 1):
-                rows.append((node, other, int(run[0]), int(run[-1]) + MIN_WORDS))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["node", "other", "s", "e"])
+                cut = np.flatnonzero(np.diff(run) > 1)
+                rows.append((node, other, int(run[0]), int(run[-1]) + MIN_WORDS, run[np.concatenate(([0], cut + 1))], run[np.concatenate((cut, [len(run) - 1]))]))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["node", "other", "s", "e", "lo", "hi"])
 
 
 def exact_passages(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, other, s, e): the stretches of words that a text repeats exactly with others, and the smallest such text.
+    """(node, other, s, e, lo, hi): the stretches of words that a text repeats exactly with others, and the smallest such
+    text; lo and hi bound the starts of stretches of MIN_WORDS words in it.
 
     shared: (node, lo, hi). The smallest text has rows of itself.
     """
     rows = materialize(shared.join(texts, "node").select("node", "lo", "hi", "text").mapInArrow(_stretches, "stretch long, node long, start long"), "windows-stretches")
     heads = rows.groupBy("stretch").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last").drop("last")
     runs = rows.join(heads, "stretch").groupBy("node", "other").agg(F.collect_list("start").alias("starts"))
-    return runs.mapInArrow(_runs, "node long, other long, s long, e long")
+    return runs.mapInArrow(_runs, "node long, other long, s long, e long, lo array<long>, hi array<long>")
+
+
+def _agree(a: str, b: str):
+    """Number of hash functions with equal shared minima in two signatures."""
+    same = F.lit(0)
+    for k in range(HASHES):
+        mask = F.lit(((1 << _FIELD) - 1) << (_FIELD * k))
+        x, y = F.col(a).bitwiseAND(mask), F.col(b).bitwiseAND(mask)
+        same = same + F.when((x == y) & (x != 0), 1).otherwise(0)
+    return same
+
+
+def _pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (key, node, place, sign) paired with their key's head: (a, b, places_a, places_b)."""
+    pairs = rows.join(heads.select("key", F.col("head.node").alias("a"), F.col("head.place").alias("pa"), F.col("head.sign").alias("sign_a")), "key")
+    pairs = pairs.where(F.col("node") != F.col("a")).where(_agree("sign", "sign_a") >= SUPPORT)
+    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.collect_set(F.struct("pa", F.col("place").alias("pb"))).alias("e"))
+    return pairs.select("a", "b", F.col("e.pa").alias("places_a"), F.col("e.pb").alias("places_b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return wide.select("a", "b", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
+
+
+def _parted(rows: DataFrame, heads: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, node, place, sign, component) of keys that still hold different classes, once for each set of further functions
+    with shared minima; the key then stands for the old key and these minima."""
+    heads = heads.select("key", F.col("head.node").alias("a"))
+    told = rows.join(heads, "key").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    told = told.join(mixed, "key")
+    sets = []
+    for bits in range(1, 1 << HASHES):
+        if bits.bit_count() >= SUPPORT:
+            masks = [((1 << _FIELD) - 1) << (_FIELD * k) for k in range(HASHES) if bits >> k & 1]
+            whole = F.col("sign") == F.col("sign")
+            for m in masks:
+                whole = whole & (F.col("sign").bitwiseAND(F.lit(m)) != 0)
+            sets.append(F.when(whole, F.xxhash64("key", F.lit(bits), F.col("sign").bitwiseAND(F.lit(sum(masks))))))
+    told = told.select(F.explode(F.array_compact(F.array(*sets))).alias("key"), "node", "place", "sign", "component")
+    return told
 
 
 def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact passages (node, other, s, e) and verified near passages (_PASSAGES); ends in words (one past the last)."""
-    rows = docs.select("text").mapInArrow(_signatures, "key long, node long, place long").repartition("key")
+    rows = docs.select("text").mapInArrow(_signatures, "key long, salt short, node long, place long").repartition("key", "salt")
     # both branches read the same columns, so that they share one exchange and signatures are made once
-    shared = rows.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("place").alias("p")).where("n0 < n1 AND p >= 0").select("key")
-    kept = materialize(rows.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "node", "place"]), "windows-kept")
+    shared = rows.groupBy("key", "salt").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("place").alias("p")).where("(n0 < n1 OR salt >= 0) AND p >= 0").select("key", "salt")
+    kept = rows.join(shared.hint("shuffle_hash"), ["key", "salt"])
     whole = kept.groupBy("node").agg(F.collect_list(F.struct("key", "place")).alias("e")).select("node", F.col("e.key").alias("keys"), F.col("e.place").alias("places"))
-    whole = materialize(whole.mapInArrow(_shared_starts, "node long, lo array<long>, hi array<long>"), "windows-shared")
-    heads = kept.groupBy("key").agg(F.min(F.struct("node", "place")).alias("head"))
-    before = F.lag(F.struct("node", "place")).over(W.partitionBy("key").orderBy("node", "place"))
-    sided = kept.join(heads, "key").withColumn("before", before)
-    pairs = sided.select("key", "node", "place", F.explode(F.array_distinct(F.array("head", "before"))).alias("o")).where("o IS NOT NULL AND o.node < node")
-    pairs = pairs.select(F.col("o.node").alias("a"), F.col("node").alias("b"), "key", F.col("o.place").alias("pa"), F.col("place").alias("pb"))
-    evidence = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("key", "pa", "pb")).alias("e"))
-    enough = F.size(F.array_distinct(F.transform("e", lambda x: x["key"].bitwiseAND(F.lit(7))))) >= SUPPORT
-    evidence = evidence.where(enough).select("a", "b", F.col("e.key").alias("keys"), F.col("e.pa").alias("places_a"), F.col("e.pb").alias("places_b"))
-    evidence = materialize(evidence, "windows-evidence")
-
-    ends = evidence.select(F.col("a").alias("node")).unionByName(evidence.select(F.col("b").alias("node"))).unionByName(whole.select("node")).distinct()
-    needed = materialize(nodes.join(ends, "node").select(F.col("doc_id").alias("_ax_id")), "windows-needed")
+    whole = materialize(whole, "windows-kept")
+    starts = materialize(whole.mapInArrow(_shared_starts, "node long, lo array<long>, hi array<long>"), "windows-shared")
+
+    needed = materialize(nodes.join(whole.select("node"), "node").select(F.col("doc_id").alias("_ax_id")), "windows-needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     found = docs.join(needed, docs["doc_id"].eqNullSafe(F.col("_ax_id")), "left_semi")
@@ -354,9 +463,21 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sequences(b.column("text"))], pa.int64()), b.column("text")], ["node", "text"])
 
     texts = materialize(found.select("text").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
-    wide = evidence.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    near = wide.select("a", "b", "keys", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
-    return exact_passages(whole, texts), near
+    exact = materialize(exact_passages(starts, texts), "windows-exact")
+
+    known = exact.where("other <> node").groupBy("node").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
+    windows = whole.join(known, "node", "left").select("node", "keys", "places", "lo", "hi")
+    windows = materialize(windows.mapInArrow(_composites, "key long, node long, place long, sign long"), "windows-composites")
+    heads = windows.groupBy("key").agg(F.min(F.struct("node", "place", "sign")).alias("head"), F.max("node").alias("last")).where("head.node < last")
+    heads = materialize(heads.select("key", "head"), "windows-heads")
+    near = materialize(_verified(_pairs(windows, heads), texts), "windows-near")
+
+    linked = connected_components(near.select("a", "b").unionByName(exact.select(F.col("other").alias("a"), F.col("node").alias("b"))))
+    parted = materialize(_parted(windows, heads, linked), "windows-parted")
+    lead = parted.groupBy("key").agg(F.min(F.struct("node", "place", "sign", "component")).alias("head"), F.max("component").alias("c1"), F.min("component").alias("c0")).where("c0 < c1")
+    across = parted.join(lead.select("key", F.col("head.component").alias("c")), "key").where(F.col("component") != F.col("c"))
+    more = _verified(_pairs(across.select("key", "node", "place", "sign"), lead), texts)
+    return exact.select("node", "other", "s", "e"), near.unionByName(materialize(more, "windows-more"))
 
 
 def passage_classes(docs: DataFrame) -> DataFrame:
@@ -370,7 +491,6 @@ def passage_classes(docs: DataFrame) -> DataFrame:
     members = materialize(docs.mapInArrow(_members, f"doc_id {kind}, shingles long, node long"), "windows-members")
     nodes = materialize(members.where(F.col("shingles") >= MIN_SHINGLES).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("shingles").alias("shingles"), F.count("*").alias("copies")), "windows-nodes")
     exact, found = repeated_passages(docs, nodes)
-    exact, found = materialize(exact, "windows-exact"), materialize(found, "windows-passages")
     comps = connected_components(found.select("a", "b").unionByName(exact.select(F.col("other").alias("a"), F.col("node").alias("b"))))
     both = found.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionByName(
         found.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_end").alias("e"))).unionByName(exact)
