@@ -52,53 +52,71 @@ HOT = 8  # texts of one piece with one key that go to the key's own partition; o
 BROADCAST_ROWS = 500_000
 
 
-def sequences(column: pa.Array) -> list[np.ndarray]:
-    """The shingle sequence of every text; none under SHINGLE words."""
+def shingle_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sequences of all texts one after another, and each text's first (one more than texts). Texts under SHINGLE
+    words have none."""
     words, first = word_hashes(column)
+    count = np.diff(first)
+    room = np.repeat(first[1:], count) - np.arange(first[0] if len(first) else 0, len(words))  # words from here to the text's end
     runs = shingle_hashes(words, SHINGLE)
-    return [runs[lo : max(lo, hi - SHINGLE + 1)] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return runs[room[: len(runs)] >= SHINGLE], np.concatenate(([0], np.cumsum(np.maximum(count - SHINGLE + 1, 0))))
+
+
+def sequences(column: pa.Array) -> list[np.ndarray]:
+    """The shingle sequence of every text."""
+    runs, first = shingle_runs(column)
+    return [runs[lo:hi] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """Of a sequence, order included: signed 64 bits."""
-    h = mix64(s + np.arange(len(s), dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
-    return int(mix64(np.array([h.sum(dtype=np.uint64) + U64(len(s))], np.uint64)).view(np.int64)[0])
+def fingerprints(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each sequence, order included: signed 64 bits."""
+    n = np.diff(first)
+    place = np.arange(len(runs), dtype=np.uint64) - np.repeat(first[:-1], n).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(runs + place * U64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
+    return mix64(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def wide_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the (first) minimum of some stretch of `width` values."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.int64)
-    found = []
-    for lo in range(0, n - width + 1, CHUNK):
+def wide_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Positions that are the (first) minimum of some stretch of `width` values within one text."""
+    ends = np.repeat(first[1:], np.diff(first))
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(values) - width + 1, CHUNK):
         part = values[lo : lo + CHUNK + width - 1]
-        low = (part & U64(0xFFFFFFFFFFC00000 >> 0)) | np.arange(len(part), dtype=np.uint64)  # 42 bits of value, 22 of place
+        n = len(part) - width + 1
+        low = (part & U64(0xFFFFFFFFFFC00000)) | np.arange(len(part), dtype=np.uint64)  # 42 bits of value, 22 of place
         span = 1
         while 2 * span <= width:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         if span < width:
-            low = np.minimum(low[: len(part) - width + 1], low[width - span : len(part) - span + 1])
-        at = low & U64(0x3FFFFF)
-        # the place of the minimum never moves back as the stretch moves on
-        found.append(at[np.concatenate(([True], at[1:] != at[:-1]))].astype(np.int64) + lo)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            low = np.minimum(low[:n], low[width - span : width - span + n])
+        at = (low[:n] & U64(0x3FFFFF))[ends[lo : lo + n] - np.arange(lo, lo + n) >= width]
+        if len(at):
+            # the place of the minimum never moves back as the stretch moves on
+            found.append(at[np.concatenate(([True], at[1:] != at[:-1]))].astype(np.int64) + lo)
+    return found[-1] if len(found) == 2 else np.unique(np.concatenate(found))
 
 
-def compact_windows(values: np.ndarray, width: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all Cartesian-tree nodes whose extent holds `width` values or more; ties go to the first."""
-    centres = wide_minima(values, width)
+def compact_windows(values: np.ndarray, first: np.ndarray, width: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of all nodes of the texts' Cartesian trees whose extent holds `width` values or more; ties go to the first.
+
+    One stack serves all texts: a border between texts is lower than any value.
+    """
+    centres = wide_minima(values, first, width)
+    at = np.concatenate((centres, first))
     # same order as in wide_minima: value without its low bits, then place
-    keys = (values[centres] >> U64(22)).tolist()
-    at = centres.tolist()
-    left, right, stack = [0] * len(at), [len(values) - 1] * len(at), []
+    keys = np.concatenate(((values[centres] >> U64(22)).astype(np.int64), np.full(len(first), -1, np.int64)))
+    order = np.lexsort((keys, at))  # a border comes before the value at its place
+    border = order >= len(centres)
+    at, keys = at[order], keys[order].tolist()
+    before, after = np.where(border, at - 1, at).tolist(), at.tolist()
+    left, right, stack = [0] * len(keys), [len(values) - 1] * len(keys), []
     for i, v in enumerate(keys):
         while stack and keys[stack[-1]] > v:
-            right[stack.pop()] = at[i] - 1
-        left[i] = at[stack[-1]] + 1 if stack else 0
+            right[stack.pop()] = after[i] - 1
+        left[i] = before[stack[-1]] + 1 if stack else 0
         stack.append(i)
-    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    left, right = np.array(left, np.int64)[~border], np.array(right, np.int64)[~border]
     wide = right - left + 1 >= width
     return left[wide], centres[wide], right[wide]
 
@@ -107,6 +125,9 @@ def hashed(s: np.ndarray, f: int) -> np.ndarray:
     return mix64(s ^ U64((f + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
+_PLACE = (1 << 31) - 1  # of a shingle in its text
+
+
 def pack_place(lo: np.ndarray, centre: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """centre and how far before it the first and the last start of a stretch lie, both below MIN_SHINGLES."""
     return centre << 12 | (centre - lo) << 6 | (centre - hi)
@@ -125,9 +146,8 @@ def start_ranges(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> tup
 
 def _members(batches):
     for b in pieces(batches, "text"):
-        seqs = sequences(b.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in seqs], pa.int64()), pa.array([fingerprint(s) for s in seqs], pa.int64())], ["doc_id", "shingles", "node"])
+        runs, first = shingle_runs(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first)), pa.array(fingerprints(runs, first))], ["doc_id", "shingles", "node"])
 
 
 def hot_rows(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -145,25 +165,30 @@ def hot_rows(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     """(key, salt, node, place). Rows of a salt other than -1 belong to keys that are shared for certain."""
-    seen = set()  # a text that this task has entered is not entered again
+    seen: set[int] = set()  # a text that this task has entered is not entered again
     for b in pieces(batches, "text"):
-        keys, places, nodes, counts = [], [], [], []
-        for s in sequences(b.column("text")):
-            if len(s) < MIN_SHINGLES or (node := fingerprint(s)) in seen:
-                continue
-            seen.add(node)
-            for f in range(HASHES):
-                left, centre, right = compact_windows(hashed(s, f))
-                lo, hi = start_ranges(left, centre, right)
-                # the key's low three bits name the hash function
-                keys.append(hashed(s[centre], f + HASHES) & U64(0xFFFFFFFFFFFFFFF8) | U64(f))
-                places.append(pack_place(lo, centre, hi))
-                nodes.append(node)
-                counts.append(len(centre))
-        if keys:
-            node, key = np.repeat(np.array(nodes, np.int64), counts), np.concatenate(keys).view(np.int64)
-            salt = np.where(hot_rows(key, node), node & 1023, -1).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(node), pa.array(np.concatenate(places))], ["key", "salt", "node", "place"])
+        runs, first = shingle_runs(b.column("text"))
+        nodes, n = fingerprints(runs, first), np.diff(first)
+        fresh = np.zeros(len(nodes), bool)
+        for i in np.flatnonzero(n >= MIN_SHINGLES).tolist():
+            if (node := int(nodes[i])) not in seen:
+                seen.add(node)
+                fresh[i] = True
+        if not fresh.any():
+            continue
+        runs, nodes, first = runs[np.repeat(fresh, n)], nodes[fresh], np.concatenate(([0], np.cumsum(n[fresh])))
+        keys, places, owners = [], [], []
+        for f in range(HASHES):
+            left, centre, right = compact_windows(hashed(runs, f), first)
+            owner = np.searchsorted(first, centre, side="right") - 1
+            lo, hi = start_ranges(left, centre, right)
+            # the key's low three bits name the hash function
+            keys.append(hashed(runs[centre], f + HASHES) & U64(0xFFFFFFFFFFFFFFF8) | U64(f))
+            places.append(pack_place(lo - first[owner], centre - first[owner], hi - first[owner]))
+            owners.append(owner)
+        key, node = np.concatenate(keys).view(np.int64), nodes[np.concatenate(owners)]
+        salt = np.where(hot_rows(key, node), node & 1023, -1).astype(np.int16)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(node), pa.array(np.concatenate(places))], ["key", "salt", "node", "place"])
 
 
 _FIELD = 10  # bits of a signature for each hash function
@@ -172,7 +197,7 @@ _FIELD = 10  # bits of a signature for each hash function
 def composite_rows(keys: np.ndarray, places: np.ndarray, known_lo: np.ndarray, known_hi: np.ndarray):
     """(key, place, signature) of the ranges of starts in which two neighbouring hash functions have shared minima.
 
-    Ranges within one of the known (ascending, disjoint) ranges are left out. The signature holds _FIELD bits of each
+    Ranges within one of the known (ascending) ranges are left out. A key's low three bits name the first function. The signature holds _FIELD bits of each
     function's key in the middle of the range, 0 where that is not shared.
     """
     f = keys & 7
@@ -200,7 +225,7 @@ def composite_rows(keys: np.ndarray, places: np.ndarray, known_lo: np.ndarray, k
                 at = np.maximum(np.searchsorted(first, mid, side="right") - 1, 0)
                 field = np.where((first[at] <= mid) & (mid <= last[at]), (key[at] >> U64(3)) % U64((1 << _FIELD) - 1) + U64(1), U64(0))
                 sign |= field << U64(_FIELD * g)
-        out_key.append(mix64(key_a[a] + key_b[b] * U64(0x9E3779B97F4A7C15)))
+        out_key.append(mix64(key_a[a] + key_b[b] * U64(0x9E3779B97F4A7C15)) & U64(0xFFFFFFFFFFFFFFF8) | U64(k))
         out_place.append(pack_place(lo, centre[a], hi))
         out_sign.append(sign)
     return np.concatenate(out_key).view(np.int64), np.concatenate(out_place), np.concatenate(out_sign).view(np.int64)
@@ -246,10 +271,10 @@ def _exact_runs(mine: np.ndarray, theirs: np.ndarray) -> list[tuple[int, int, in
     return out
 
 
-def _passage(mine: np.ndarray, theirs: np.ndarray, run: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+def _passage(mine: np.ndarray, theirs: np.ndarray, run: np.ndarray, ids: int) -> list[tuple[int, int, int, int, float]]:
     """Passages within a run of shared places of `mine`: the whole run, or else what is left and right of its largest gap.
 
-    Of a run without gaps the exact repeats are taken, so these are never lost to what surrounds them.
+    Of a run without gaps the exact repeats are taken, so these are never lost to what surrounds them. Values are below ids.
     """
     out, todo = [], [run]
     while todo:
@@ -257,17 +282,18 @@ def _passage(mine: np.ndarray, theirs: np.ndarray, run: np.ndarray) -> list[tupl
         p, q = int(run[0]), int(run[-1])
         if q - p + 1 < MIN_SHINGLES:
             continue
-        x = np.unique(mine[p : q + 1])
-        back = np.flatnonzero(np.isin(theirs, x))
-        back = max(np.split(back, np.flatnonzero(np.diff(back) > GAP) + 1), key=len)
-        u, v = int(back[0]), int(back[-1])
-        y = np.unique(theirs[u : v + 1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        sim = both / (len(x) + len(y) - both)
+        x, y = np.zeros(ids, bool), np.zeros(ids, bool)
+        x[mine[p : q + 1]] = True
+        back = np.flatnonzero(x[theirs])
+        edges = np.concatenate(([0], np.flatnonzero(back[1:] - back[:-1] > GAP) + 1, [len(back)]))
+        longest = int((edges[1:] - edges[:-1]).argmax())
+        u, v = int(back[edges[longest]]), int(back[edges[longest + 1] - 1])
+        y[theirs[u : v + 1]] = True
+        sim = np.count_nonzero(x & y) / np.count_nonzero(x | y)
         if sim >= SIMILARITY and v - u + 1 >= MIN_SHINGLES:
             out.append((p, q, u, v, sim))
             continue
-        gaps = np.diff(run)
+        gaps = run[1:] - run[:-1]
         if len(gaps) and gaps.max() > 1:
             cut = int(gaps.argmax()) + 1
             todo += [run[:cut], run[cut:]]
@@ -282,12 +308,16 @@ def passages(sa: np.ndarray, sb: np.ndarray, stretches) -> list[tuple[int, int,
     for lo, hi, d0, d1 in stretches:
         lo, hi = max(0, lo - MIN_SHINGLES), min(len(sa) - 1, hi + MIN_SHINGLES)
         b0, b1 = max(0, lo + d0 - DRIFT), min(len(sb), hi + d1 + DRIFT + 1)
-        if b1 - b0 < MIN_SHINGLES:
+        if b1 - b0 < MIN_SHINGLES or hi - lo + 1 < MIN_SHINGLES:
             continue
-        mine, theirs = sa[lo : hi + 1], sb[b0:b1]
-        shared = np.flatnonzero(np.isin(mine, theirs))
-        for run in np.split(shared, np.flatnonzero(np.diff(shared) > GAP) + 1) if len(shared) else []:
-            out |= {(lo + p, lo + q, b0 + u, b0 + v, round(sim, 6)) for p, q, u, v, sim in _passage(mine, theirs, run)}
+        values, ids = np.unique(np.concatenate((sa[lo : hi + 1], sb[b0:b1])), return_inverse=True)
+        mine, theirs, known = ids[: hi - lo + 1], ids[hi - lo + 1 :], np.zeros(len(values), bool)
+        known[theirs] = True
+        shared = np.flatnonzero(known[mine])
+        edges = np.concatenate(([0], np.flatnonzero(shared[1:] - shared[:-1] > GAP) + 1, [len(shared)]))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if j > i and shared[j - 1] - shared[i] + 1 >= MIN_SHINGLES:
+                out |= {(lo + p, lo + q, b0 + u, b0 + v, round(sim, 6)) for p, q, u, v, sim in _passage(mine, theirs, shared[i:j], len(values))}
     return sorted(out)
 
 
@@ -313,8 +343,8 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
 
-def shared_starts(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) starts of the stretches of MIN_SHINGLES whose minima under all hash functions are among the rows.
+def shared_starts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts of the stretches of MIN_SHINGLES whose minima under all hash functions are among the rows.
 
     Under one function every stretch has one minimum, so a start counts once for each function.
     """
@@ -323,43 +353,47 @@ def shared_starts(keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]
     step = np.bincount(where, np.repeat((1, -1), len(lo)), len(at))
     whole = np.concatenate(([False], np.cumsum(step) > HASHES - 0.5, [False]))
     edges = np.flatnonzero(whole[1:] != whole[:-1])
-    return [(int(at[i]), int(at[j]) - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+    return at[edges[::2]], at[edges[1::2]] - 1
+
+
+def _offsets(column: pa.ListArray) -> np.ndarray:
+    """Of the flattened values."""
+    return np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))))
 
 
-def _windows_of(batch):
-    """(node, keys, places) of every text of a batch, in order of places and without repeated rows."""
-    cut = batch.column("keys").offsets.to_numpy()
-    cut = cut - (cut[0] if len(cut) else 0)
+def _windows_of(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of all texts of a batch without repeated rows; a place's high bits are the number of the batch's row."""
+    cut = _offsets(batch.column("keys"))
     keys, places = batch.column("keys").flatten().to_numpy(), batch.column("places").flatten().to_numpy()
-    for node, i, j in zip(batch.column("node").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        k, p = keys[i:j], places[i:j]
-        order = np.lexsort((k, p))
-        k, p = k[order], p[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-        yield node, k[new], p[new]
+    places = places + (np.repeat(np.arange(len(cut) - 1), np.diff(cut)) << 43)
+    order = np.lexsort((keys, places))
+    keys, places = keys[order], places[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+    return keys[new], places[new]
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
 def _shared_starts(batches):
     for b in batches:
-        nodes, los, his = [], [], []
-        for node, keys, places in _windows_of(b):
-            if found := shared_starts(keys, places):
-                nodes.append(node)
-                los.append([x for x, _ in found])
-                his.append([y for _, y in found])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(los, pa.list_(pa.int64())), pa.array(his, pa.list_(pa.int64()))], ["node", "lo", "hi"])
+        _, places = _windows_of(b)
+        lo, hi = shared_starts(places)
+        owner = lo >> 31
+        nodes, owner = np.unique(owner, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(nodes)), _lists(lo & _PLACE, owner, len(nodes)), _lists(hi & _PLACE, owner, len(nodes))], ["node", "lo", "hi"])
 
 
 def _composites(batches):
     for b in batches:
-        out = [(np.zeros(0, np.int64),) * 4]
-        known = zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)
-        for (node, keys, places), (lo, hi) in zip(_windows_of(b), known, strict=True):
-            lo, hi = np.array(lo or [], np.int64), np.array(hi or [], np.int64)
-            order = np.argsort(lo, kind="stable")
-            key, place, sign = composite_rows(keys, places, lo[order], np.maximum.accumulate(hi[order]))
-            out.append((key, np.full(len(key), node, np.int64), place, sign))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "node", "place", "sign"])
+        keys, places = _windows_of(b)
+        row = np.repeat(np.arange(b.num_rows), np.diff(_offsets(b.column("lo")))) << 31
+        lo, hi = (b.column(c).flatten().to_numpy() + row for c in ("lo", "hi"))
+        order = np.argsort(lo, kind="stable")
+        key, place, sign = composite_rows(keys, places, lo[order], np.maximum.accumulate(hi[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("node").take(pa.array(place >> 43)), pa.array(place & ((1 << 43) - 1)), pa.array(sign)], ["key", "node", "place", "sign"])
 
 
 def _stretches(batches):
@@ -397,6 +431,7 @@ def exact_passages(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = materialize(shared.join(texts, "node").select("node", "lo", "hi", "text").mapInArrow(_stretches, "stretch long, node long, start long"), "windows-stretches")
     heads = rows.groupBy("stretch").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last").drop("last")
+    heads = materialize(heads, "windows-stretch-heads")  # a join of two exchanges, which Spark can split at hot stretches
     runs = rows.join(heads, "stretch").groupBy("node", "other").agg(F.collect_list("start").alias("starts"))
     return runs.mapInArrow(_runs, "node long, other long, s long, e long, lo array<long>, hi array<long>")
 
@@ -425,22 +460,22 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _parted(rows: DataFrame, heads: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, node, place, sign, component) of keys that still hold different classes, once for each set of further functions
-    with shared minima; the key then stands for the old key and these minima."""
-    heads = heads.select("key", F.col("head.node").alias("a"))
-    told = rows.join(heads, "key").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """(key, node, place, sign, component) of the rows beside the head of keys where these are of different classes, once for
+    each set of further functions with shared minima; the key then stands for the old key and these minima."""
+    told = rows.join(heads.select("key", F.col("head.node").alias("a")), "key").where(F.col("node") != F.col("a")).drop("a")
+    told = told.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    told = told.join(mixed, "key")
+    told = told.join(materialize(mixed, "windows-mixed"), "key")
     sets = []
     for bits in range(1, 1 << HASHES):
-        if bits.bit_count() >= SUPPORT:
+        own = [k for k in range(HASHES) if bits >> k & 1 and bits >> (k + 1) % HASHES & 1]
+        if bits.bit_count() >= SUPPORT and own:
             masks = [((1 << _FIELD) - 1) << (_FIELD * k) for k in range(HASHES) if bits >> k & 1]
-            whole = F.col("sign") == F.col("sign")
+            whole = F.col("key").bitwiseAND(F.lit(7)).isin(own)
             for m in masks:
                 whole = whole & (F.col("sign").bitwiseAND(F.lit(m)) != 0)
             sets.append(F.when(whole, F.xxhash64("key", F.lit(bits), F.col("sign").bitwiseAND(F.lit(sum(masks))))))
-    told = told.select(F.explode(F.array_compact(F.array(*sets))).alias("key"), "node", "place", "sign", "component")
-    return told
+    return told.select(F.explode(F.array_compact(F.array(*sets))).alias("key"), "node", "place", "sign", "component")
 
 
 def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -460,7 +495,7 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
 
     def named(batches):
         for b in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sequences(b.column("text"))], pa.int64()), b.column("text")], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(*shingle_runs(b.column("text")))), b.column("text")], ["node", "text"])
 
     texts = materialize(found.select("text").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
     exact = materialize(exact_passages(starts, texts), "windows-exact")
@@ -475,6 +510,7 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     linked = connected_components(near.select("a", "b").unionByName(exact.select(F.col("other").alias("a"), F.col("node").alias("b"))))
     parted = materialize(_parted(windows, heads, linked), "windows-parted")
     lead = parted.groupBy("key").agg(F.min(F.struct("node", "place", "sign", "component")).alias("head"), F.max("component").alias("c1"), F.min("component").alias("c0")).where("c0 < c1")
+    lead = materialize(lead, "windows-lead")
     across = parted.join(lead.select("key", F.col("head.component").alias("c")), "key").where(F.col("component") != F.col("c"))
     more = _verified(_pairs(across.select("key", "node", "place", "sign"), lead), texts)
     return exact.select("node", "other", "s", "e"), near.unionByName(materialize(more, "windows-more"))

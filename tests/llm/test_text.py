@@ -131,8 +131,12 @@ def test_compact_windows_are_the_cartesian_tree():
                 c = min(range(lo, hi + 1), key=order.__getitem__)
                 want.add((lo, c, hi))
                 todo += [(lo, c - 1), (c + 1, hi)]
-        got = compact_windows.compact_windows(v, width)
+        got = compact_windows.compact_windows(v, np.array([0, n]), width)
         assert set(zip(*(x.tolist() for x in got), strict=True)) == want
+        cuts = np.array([0, 0, n // 3, n // 3 + min(n // 3, width), n, n])
+        parts = [[x + lo for x in compact_windows.compact_windows(v[lo:hi], np.array([0, hi - lo]), width)] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = compact_windows.compact_windows(v, cuts, width)
+        assert all((g == np.concatenate(p)).all() for g, p in zip(got, zip(*parts, strict=True), strict=True))
 
 
 def test_passages_by_construction(docs):
