@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import random
+import time
 import zlib
 
 import numpy as np
@@ -175,3 +176,56 @@ def test_chrome_by_whole_names_and_to_its_own_end():
     assert main('<ul><li class="menu-item">Home<li>kept</ul>') == ["kept", "end"]
     assert html_text.blocks_of('<div class="ad">buy<main>text</div> more</main>') == [(html_text.CHROME, "buy"), (html_text.MAIN, "text"), (html_text.MAIN, "more")]
     assert html_text.blocks_of("<div><nav>menu</div><p>open") == [(html_text.CHROME, "menu"), (html_text.OPEN, "open")]
+
+
+def test_suffix_array_and_repeats_by_brute_force():
+    rng = np.random.default_rng(3)
+    for alphabet, n in ((2, 200), (5, 400), (400, 300), (1, 60)):
+        tokens = rng.integers(0, alphabet, n)
+        page = np.sort(rng.integers(0, 7, n))
+        ends = np.append(np.flatnonzero(np.diff(page)), n - 1)
+        tokens[ends] = 1000 + np.arange(len(ends))
+        order, common = html_text.suffix_array(tokens.astype(np.uint64))
+        t = tokens.tolist()
+        assert order.tolist() == sorted(range(n), key=lambda i: t[i:])
+        for a, b, c in zip(order[:-1].tolist(), order[1:].tolist(), common.tolist(), strict=True):
+            assert t[a : a + c] == t[b : b + c] and (max(a, b) + c == n or t[a + c] != t[b + c])
+        for run in (1, 3, 8):
+            want = [len({int(page[k]) for k in range(n) if t[k : k + run] == t[i : i + run]}) for i in range(n - run + 1)]
+            assert html_text.repeated_on(tokens.astype(np.uint64), page, run)[: n - run + 1].tolist() == want
+    assert html_text.repeated_on(np.zeros(0, np.uint64), np.zeros(0, np.int64), 8).tolist() == []
+
+
+def test_repeated_lines_go_and_shared_text_stays_in_main(spark, docs):
+    """Inside article: a line on every page goes, near copies of an article on most pages of a host stay whole."""
+    docs([])
+    rng = random.Random(16)
+    words = lambda n: " ".join(f"k{rng.randrange(99_999)}" for _ in range(n))
+    line = words(10)
+    bodies = [(words(40), words(40)) for _ in range(12)]
+    rows = [(i, f"http://a.org/{i}", f"<article><p>{a}</p><p>{line}</p><p>{b}</p></article>") for i, (a, b) in enumerate(bodies)]
+    shared = [words(30) for _ in range(4)]
+    near = [[*shared[:2], words(25), *shared[2:], words(1)] for _ in range(9)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<article>{''.join(f'<p>{p}</p>' for p in one)}</article>") for i, one in enumerate(near)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(text[i] == f"{a}\n{b}" for i, (a, b) in enumerate(bodies))
+    assert all(text[100 + i] == "\n".join(one) for i, one in enumerate(near))
+
+
+def test_a_large_host_is_parted_and_keeps_its_rule(spark, docs):
+    docs([])
+    rng = random.Random(17)
+    words = lambda n: " ".join(f"k{rng.randrange(99_999)}" for _ in range(n))
+    top, bodies = words(12), [words(20) for _ in range(html_text.PART_PAGES * 2 + 30)]
+    rows = [(i, f"http://a.org/{i}", f"<div>{top}</div><p>{b}</p>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == dict(enumerate(bodies))
+
+
+def test_broken_pages_take_linear_time():
+    for page in ('<a t="x' * 130_000, '<a t="x' * 130_000 + ">", "<p title='" * 90_000 + ">", "<!-- " * 200_000, "<script " * 120_000, "</script" * 120_000 + "<b", "<" * 1_000_000, "<!x" * 300_000, "&#" * 400_000):
+        start = time.process_time()
+        html_text.blocks_of(page)
+        assert time.process_time() - start < 3
+    assert [t for _, t in html_text.blocks_of('<article><p title="a>hello</p><p>more</p></article>')] == ["hello", "more"]
