@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from apexframe.llm.common import materialize, table
 from apexframe.llm.decontaminate import drop_leaking
 from apexframe.llm.mixing import mix, repeat_rows
-from apexframe.llm.parity_join import similarity_classes
+from apexframe.llm.parity_join import BROADCAST_ROWS, similarity_classes
 from apexframe.llm.sharding import assign, build_tree, with_slots
 from apexframe.llm.toxicity import drop_toxic
 
@@ -26,10 +26,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    classes = similarity_classes(docs, 5, 80, 100)
-    others = classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_ax_id"))
-    return docs.join(others.distinct(), docs["doc_id"].eqNullSafe(F.col("_ax_id")), "left_anti")
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest doc_id.
+
+    Rows count, not ids: a row goes by its own text, so rows with a null or repeated doc_id take no others with them, and of
+    equal rows with one id one stays. A null id comes after all others. docs is read more than once and has to give its
+    rows in the same order each time, as a table does.
+    """
+    rows = docs.withColumn("_ax_row", F.monotonically_increasing_id())
+    ident = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("_ax_row").alias("row"))
+    classes = similarity_classes(rows.select(ident.alias("doc_id"), "text"), 5, 80, 100)
+    others = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id.row").alias("_ax_other")), "pipeline-copies")
+    if others.count() <= BROADCAST_ROWS:  # of 8 bytes
+        others = F.broadcast(others)
+    return rows.join(others, F.col("_ax_row") == F.col("_ax_other"), "left_anti").drop("_ax_row")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
