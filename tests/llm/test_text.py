@@ -403,6 +403,21 @@ def test_pipeline_by_brute_force(spark, docs, tmp_path):
     assert {r["doc_id"] for r in out} <= fair
 
 
+def test_copies_go_by_rows(spark, docs):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(19)
+    text = lambda: " ".join(f"r{rng.randrange(99_999)}" for _ in range(60))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(1, one), (None, one), (None, two), (5, one), (5, three), (7, four), (7, four), (6, four + " end"), (None, None), (None, ""), (9, "short"), (9, "short")]
+    df = docs(rows)
+    out = pipeline.ngram_jaccard_join(spark, df, SF)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(1, one), (None, two), (5, three), (6, four + " end"), (None, None), (None, ""), (9, "short")])
+    assert pipeline.ngram_jaccard_join(spark, df.limit(0), SF).count() == 0
+
+
 def test_a_text_of_50_mb_is_hashed_in_bounded_memory():
     code = """
 import resource
