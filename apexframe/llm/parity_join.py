@@ -13,8 +13,11 @@ difference by D = (|A| + |B|) (den - num) / (den + num).
 * A packed bit sketch (a power of two of bits, foldable by XOR) gives a Hamming distance that never exceeds the symmetric
   difference: candidates beyond D fall out before any text moves. The rest is verified on the whole shingle sets.
 * In each key every set is first paired with two pivots, the smallest set and the one of the smallest hash, so pairs grow in
-  proportion to rows; both orders hold for all keys, so a group that shares many keys has few pivots. Once these links are verified, sets of one component need no more links; groups that still hold different
-  components are compared across them on their packed sketches, in cells of CELL x CELL sets, and what is near is verified.
+  proportion to rows; both orders hold for all keys, so a group that shares many keys has few pivots. Once these links are
+  verified, sets of one component need no more links. Keys that still hold different components get two other pivots, which are
+  paired with the sets of other components, for as long as that finds links and ROUNDS rounds at most: sets with many links
+  are joined here. What is then left is compared across components on packed sketches, in cells of CELL x CELL sets, and all
+  that is near is verified, so no link is lost.
 
 Equal sets are one node from the start (64-bit fingerprint), so copies are never expanded into pairs.
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import U64, materialize, mix64, pieces, shingle_hashes, table, word_hashes
 from .components import connected_components
 
-FIRST, RATIO, CELL, SEEDS = 2, 1.35, 1024, 4
+FIRST, RATIO, CELL, SEEDS, ROUNDS = 2, 1.35, 1024, 4, 3
 BROADCAST_ROWS = 500_000  # of 8-byte ids: 4 MB and hash overhead
 
 
@@ -241,11 +244,28 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return wide.mapInArrow(partial(_near, num, den), "a long, b long")
 
 
-def _rest_of_groups(kept: DataFrame, nodes: DataFrame, components: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a key and have near sketches, compared in cells."""
+def _mixed(kept: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, node, component) of the keys that hold sets of different components."""
     labelled = kept.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("g")).where("c0 < c1")
-    rows = labelled.join(mixed.select("key", "g"), "key")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    return materialize(labelled.join(mixed.select("key"), "key").select("key", "node", "component"), "parity-mixed")
+
+
+def _with_pivots(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of two sets of each key with those of other components: a set drawn by hash, and one of a component
+    drawn by hash."""
+    sets, groups = F.xxhash64("node", F.lit(turn)), F.xxhash64("component", F.lit(turn))
+    draws = [F.min_by(c, h) for h in (sets, groups) for c in ("node", "component")]
+    pivots = mixed.groupBy("key").agg(*(d.alias(n) for d, n in zip(draws, ("p0", "c0", "p1", "c1"), strict=True)))
+    pivots = pivots.select("key", F.explode(F.array(F.struct(F.col("p0").alias("p"), F.col("c0").alias("c")), F.struct(F.col("p1").alias("p"), F.col("c1").alias("c")))).alias("pivot"))
+    pairs = mixed.join(pivots, "key").where(F.col("component") != F.col("pivot.c"))
+    return pairs.select(F.least("pivot.p", "node").alias("a"), F.greatest("pivot.p", "node").alias("b")).distinct()
+
+
+def _rest_of_groups(mixed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share a key and have near sketches, compared in cells."""
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("g"))
+    rows = mixed.join(sizes, "key")
     cells = F.ceil(F.col("g") / CELL).cast("int")
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("node"), cells).cast("int")).withColumn("cells", cells)
     # cell (i, j) with i <= j holds slices i and j; each slice goes to as many cells as the group has slices
@@ -272,9 +292,20 @@ def similarity_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     tried = materialize(_sketched(stars, nodes, num, den), "parity-stars")
     links = materialize(_verify(tried, nodes, docs, *args), "parity-links")
-    rest = _rest_of_groups(kept, nodes, connected_components(links), num, den).join(tried, ["a", "b"], "left_anti")
-    more = _verify(materialize(rest, "parity-rest"), nodes, docs, *args)
-    comps = connected_components(links.unionByName(more))
+    comps = connected_components(links)
+    mixed = _mixed(kept, comps)
+    for turn in range(ROUNDS):
+        again = materialize(_sketched(_with_pivots(mixed, turn).join(tried, ["a", "b"], "left_anti"), nodes, num, den), "parity-again")
+        more = materialize(_verify(again, nodes, docs, *args), "parity-more") if again.take(1) else again
+        tried = tried.unionByName(again)
+        if not more.take(1):
+            break
+        links = links.unionByName(more)
+        comps = connected_components(links)
+        mixed = _mixed(mixed, comps)
+    rest = materialize(_rest_of_groups(mixed, nodes, num, den).join(tried, ["a", "b"], "left_anti"), "parity-rest")
+    if rest.take(1):
+        comps = connected_components(links.unionByName(materialize(_verify(rest, nodes, docs, *args), "parity-last")))
 
     reached = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
