@@ -88,8 +88,14 @@ DATE_PATTERN = r"(\d{1,4})[/.-](\d{1,2})[/.-](\d{1,4})"
 
 def noisy_timestamp(text: Column) -> Column:
     """Date and time anywhere in recognised text: Y-M-D, else D-M-Y, else M-D-Y; two-digit years are of this century."""
-    clock = [F.regexp_extract(text, TIME_PATTERN, i).try_cast("int") for i in (1, 2, 3)]
-    a, b, c = (F.regexp_extract(text, DATE_PATTERN, i).try_cast("int") for i in (1, 2, 3))
+    found = F.struct(F.split(F.regexp_extract(text, DATE_PATTERN, 0), "[/.-]").alias("d"), F.split(F.regexp_extract(text, TIME_PATTERN, 0), "[:'.]").alias("t"))
+    # both patterns are matched once a row: the lambda's variable is a value, not an expression to be repeated
+    return F.transform(F.array(found), _stamp)[0]
+
+
+def _stamp(found: Column) -> Column:
+    clock = [F.get(found["t"], F.lit(i)).try_cast("int") for i in (0, 1, 2)]
+    a, b, c = (F.get(found["d"], F.lit(i)).try_cast("int") for i in (0, 1, 2))
     year = F.when(c < 100, c + 2000).otherwise(c)
     date = lambda y, m, d: F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
     day = F.when(a > 1000, date(a, b, c)).otherwise(F.coalesce(date(year, b, a), date(year, a, b)))

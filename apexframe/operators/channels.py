@@ -28,9 +28,9 @@ CHANNELS = [
     ("Accel Long Smoothed", "g", ["G Long Smth"]),
     ("IMU Accel Lat Filtered", "g", ["G Lat imu f"]),
     ("IMU Accel Long Filtered", "g", ["G Long imu f"]),
-    ("Gyro X", "deg/s", ["GyroX"]),
-    ("Gyro Y", "deg/s", ["GyroY"]),
-    ("Gyro Z", "deg/s", ["GyroZ", "GPS Gyro"]),
+    ("GyroX", "deg/s", ["GyroX"]),
+    ("GyroY", "deg/s", ["GyroY"]),
+    ("GyroZ", "deg/s", ["GyroZ", "GPS Gyro"]),
     ("Heading", "deg", ["GPS Heading", "Orientation"]),
     ("Slope", "deg", ["GPS Slope"]),
     ("GPS Nsat", "", ["GPS Nsat"]),
@@ -38,7 +38,7 @@ CHANNELS = [
     ("GPS SpdAccuracy", "km/h", ["GPS SpdAccuracy"]),
     ("GPS Radius", "m", ["GPS Radius"]),
     ("Accel Sum", "g", ["G sum smth"]),
-    ("Temperature", "°C", ["LoggerTemperature", "T1", "T2"]),
+    ("Temperature", "°C", ["Logger Temperature", "T1", "T2"]),
     ("Battery Voltage", "V", ["Int Batt Voltage"]),
     ("Distance", "m", ["Distance on GPS Speed", "Distance"]),
     ("Lap Number", "", ["Partiel"]),
@@ -92,7 +92,7 @@ def normalise_long(raw: DataFrame, aliases: DataFrame, key: str = "session_id")
     not on its samples. Unknown channels keep their name, unit empty.
     """
     columns = raw.select(key, "col_idx", "channel").distinct()
-    named = columns.join(F.broadcast(aliases), F.lower("channel") == F.col("raw_lower"), "left")
+    named = columns.join(aliases, F.lower("channel") == F.col("raw_lower"), "left")
     named = named.select(key, "col_idx", "channel", F.coalesce("standard_name", "channel").alias("name"), F.coalesce("unit", F.lit("")).alias("unit"))
     nth = F.row_number().over(W.partitionBy(key, "name").orderBy("col_idx"))
     named = named.withColumn("_n", nth).withColumn("name", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("_n").cast("string")))).drop("_n")

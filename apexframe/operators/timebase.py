@@ -102,18 +102,22 @@ def one_per_time(samples: DataFrame, key: str = KEY) -> DataFrame:
     return samples.where(F.col("t").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def resample(samples: DataFrame, columns: list[str], fps: float, duration: float | None = None, time_shift: float = 0.0, clip_start: float = 0.0, key: str = KEY, lap: str | None = None) -> DataFrame:
+def resample(samples: DataFrame, columns: list[str], fps: float = 10.0, duration: float | None = None, time_shift: float = 0.0, clip_start: float = 0.0, key: str = KEY, lap: str | None = None, rates: DataFrame | None = None) -> DataFrame:
     """Samples on the frame grid of a clip: (session, frame, video_time, t, columns).
 
     Frame i shows telemetry time clip_start + time_shift + i / fps, held within the session's extent. Without a duration
-    the grid covers the session. Columns are interpolated linearly; `lap`, a step channel, takes the value before.
+    the grid covers the session. rates (session, hz) sets a rate for each session in place of fps. Columns are interpolated linearly; `lap`, a step channel, takes the value before.
     """
     rows = one_per_time(samples.select(key, *ORDER, *columns, *([lap] if lap else [])), key)
     extent = rows.groupBy(key).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    if rates is not None:
+        extent = extent.join(rates.select(key, F.col("hz").alias("_hz")), key)
+    else:
+        extent = extent.withColumn("_hz", F.lit(float(fps)))
     length = F.lit(float(duration)) if duration is not None else F.col("_t1") - F.col("_t0")
     origin = F.lit(clip_start + time_shift) if duration is not None else F.col("_t0") + clip_start + time_shift
-    frames = extent.select(key, "_t0", "_t1", origin.alias("_o"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(length * fps).cast("int")) - 1)).alias("frame"))
-    video_time = F.col("frame") / F.lit(float(fps))
+    frames = extent.select(key, "_hz", "_t0", "_t1", origin.alias("_o"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(length * F.col("_hz")).cast("int")) - 1)).alias("frame"))
+    video_time = F.col("frame") / F.col("_hz")
     grid = frames.select(key, "frame", (video_time + clip_start).alias("video_time"), F.least(F.greatest(F.col("_o") + video_time, F.col("_t0")), F.col("_t1")).alias("t"))
     both = rows.withColumn("_src", F.lit(0)).unionByName(grid.withColumn("_src", F.lit(1)), allowMissingColumns=True)
     order = ["t", "_src", "frame"]

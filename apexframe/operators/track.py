@@ -78,12 +78,16 @@ def _closest(samples: DataFrame, side: DataFrame, square: Column, keys: list[str
     """samples with aggregates over the rows of side at the least squared distance.
 
     Two passes over the pairs, each one hash aggregation of doubles: first the least distance, then what lies at it. (One
-    pass by least struct would sort all pairs.) Pairs never leave their task; only samples are shuffled, by keys.
+    pass by least struct would sort all pairs.) Pairs never leave their task; only samples are shuffled, by keys, before
+    they are paired. Samples without a position or a track get nulls.
     """
     side = small(side)
+    spark = samples.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    whole, samples = samples, samples.select(*keys, TRACK, "x", "y").repartition(n, *keys)
     least = samples.join(side, TRACK).groupBy(*keys).agg(F.min(square).alias("_m"))
     at_least = samples.join(least, keys).join(side, TRACK).where(square == F.col("_m"))
-    return samples.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys)
+    return whole.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys, "left")
 
 
 def nearest_segment(samples: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,14 +33,24 @@ def canonical(long: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", F.col("m")["time"].alias("t"), *(F.col("m")[c].alias(c) for c in CANONICAL), extra.alias("extra"))
 
 
-def convert_aim(spark: SparkSession, paths: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Samples a second that each layout is written with; None is the session's own rate.
+RATES = {"aim": 20.0, "alfano": 10.0, "alfano_excel": None}
+
+
+def of_sessions(rows: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """The rows of the given sessions; all without such a table."""
+    return rows if sessions is None else rows.join(sessions.select("session_id"), "session_id", "left_semi")
+
+
+def convert_aim(spark: SparkSession, paths: str, aliases: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     long, meta = logs.read_aim(spark, paths)
+    long, meta = of_sessions(long, sessions), of_sessions(meta, sessions)
     return with_distance(canonical(long, aliases)), meta
 
 
-def convert_lap_logs(spark: SparkSession, paths: str, aliases: DataFrame, rules: list[tuple], step: float = 0.1) -> DataFrame:
+def convert_lap_logs(spark: SparkSession, paths: str, aliases: DataFrame, rules: list[tuple], step: float = 0.1, sessions: DataFrame | None = None) -> DataFrame:
     """Device integers are scaled before distance is integrated."""
-    wide = logs.read_lap_logs(spark, paths)
+    wide = of_sessions(logs.read_lap_logs(spark, paths), sessions)
     wide = channels.rescale(wide, rules)
     wide = timebase.synthetic_clock(wide, ["file_lap", "row"], step).withColumn("seq", F.round(F.col("t") / step).cast("long"))
     raw = [c for c in wide.columns if c not in ("session_id", "file_lap", "row", "t", "seq")]
@@ -47,8 +59,9 @@ def convert_lap_logs(spark: SparkSession, paths: str, aliases: DataFrame, rules:
     return with_distance(canonical(long, aliases))
 
 
-def convert_excel(spark: SparkSession, paths: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def convert_excel(spark: SparkSession, paths: str, aliases: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     long, clocks = logs.read_excel_export(spark, paths)
+    long, clocks = of_sessions(long, sessions), of_sessions(clocks, sessions)
     rows = canonical(long, aliases)
     lap = F.coalesce(F.col("lap_number"), F.col("extra")["lap"]).cast("int")
     return with_distance(timebase.stitch_laps(rows.withColumn("lap", lap)).drop("lap")), clocks
@@ -63,24 +76,46 @@ def with_distance(samples: DataFrame) -> DataFrame:
 
 
 def convert_all(spark: SparkSession, root: str, aliases: DataFrame | None = None, transforms: DataFrame | None = None) -> DataFrame:
-    """Samples of all sessions below root, whatever their layout, with their device."""
+    """Samples of all session folders of root, with their device.
+
+    A folder has one layout, the first that its files match (aim, alfano, alfano_excel); files of the other layouts in it are
+    not read as samples. Folders below session folders don't count. A root without sessions gives no rows.
+    """
     aliases = channels.alias_table(spark) if aliases is None else aliases
     transforms = channels.transform_table(spark) if transforms is None else transforms
-    found = {r["device"] for r in logs.classify_sessions(logs.list_files(spark, root)).select("device").distinct().collect()}
+    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?|/+$"
+    depth = re.sub(scheme, "", root).count("/")
+    parts_of = F.length(F.regexp_replace(F.regexp_replace("path", scheme, ""), "[^/]", ""))
+    files = logs.list_files(spark, root).withColumn("_n", parts_of)
+    sessions = logs.classify_sessions(files.where(F.col("_n") == depth + 2))
+    found = {r["device"] for r in sessions.select("device").distinct().collect()}
     rules = [(r["raw"], r["scale"], r["offset"], r["auto_center"]) for r in transforms.where("device = 'alfano'").collect()]
-    parts = []
+    mine = lambda device: sessions.where(F.col("device") == device)
+    parts = [canonical(spark.createDataFrame([], "session_id string, seq long, col_idx int, channel string, value string"), aliases).withColumn("device", F.lit(None).cast("string"))]
     if "aim" in found:
-        parts.append(convert_aim(spark, f"{root}/*/aim.csv", aliases)[0].withColumn("device", F.lit("aim")))
+        parts.append(convert_aim(spark, f"{root}/*/aim.csv", aliases, mine("aim"))[0].withColumn("device", F.lit("aim")))
     if "alfano" in found:
-        parts.append(convert_lap_logs(spark, f"{root}/*/LAP_*.csv", aliases, rules).withColumn("device", F.lit("alfano")))
+        parts.append(convert_lap_logs(spark, f"{root}/*/LAP_*.csv", aliases, rules, sessions=mine("alfano")).withColumn("device", F.lit("alfano")))
     if "alfano_excel" in found:
-        parts.append(convert_excel(spark, f"{root}/*/Excel_*.csv", aliases)[0].withColumn("device", F.lit("alfano_excel")))
-    out = parts[0]
-    for p in parts[1:]:
+        parts.append(convert_excel(spark, f"{root}/*/Excel_*.csv", aliases, mine("alfano_excel"))[0].withColumn("device", F.lit("alfano_excel")))
+    out = parts[-1]
+    for p in parts[:-1]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def at_fixed_rates(samples: DataFrame, columns: list[str], rates: dict[str, float | None] = RATES) -> DataFrame:
+    """Samples of convert_all on the grid of their layout's rate (of their own, as infer_frequency has it, where that is None),
+    with `hz`."""
+    hz = F.lit(None).cast("double")
+    for device, rate in rates.items():
+        hz = F.when(F.col("device") == device, F.lit(rate).cast("double")).otherwise(hz)
+    devices = samples.groupBy("session_id").agg(F.first("device").alias("device")).withColumn("hz", hz)
+    own = timebase.infer_frequency(samples)
+    devices = devices.join(own, "session_id").select("session_id", "device", F.coalesce("hz", "freq_hz").alias("hz"))
+    return timebase.resample(samples, columns, rates=devices.select("session_id", "hz")).join(devices, "session_id").drop("video_time")
+
+
 def write_csv(samples: DataFrame, path: str) -> None:
     """One folder a session, time and distance first, sorted by time; sessions written again replace their folders."""
     rest = [c for c in samples.columns if c not in ("session_id", "t", "distance", "extra")]

@@ -77,19 +77,25 @@ def read_aim(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_lap_logs(spark: SparkSession, paths: str) -> DataFrame:
-    """Wide samples of LAP_* files (header names kept, all text) with session_id, file_lap and row; laps order by number."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(paths)
-    path = F.col("_metadata.file_path")
-    rows = rows.select("*", folder_of(path).alias("session_id"), F.regexp_extract(path, r"LAP_(\d+)_[^/]*$", 1).try_cast("int").alias("file_lap"), F.col("_metadata.file_block_start").alias("_block"))
-    order = F.row_number().over(W.partitionBy("session_id", "file_lap").orderBy("_block", F.monotonically_increasing_id()))
-    return rows.withColumn("row", order).drop("_block")
+    """Wide samples of LAP_* files (all text) with session_id, file_lap and row; laps order by number.
+
+    Every file has its own header: columns are matched by name, and those that a file lacks are null there.
+    """
+    lines = _lines(spark, paths)
+    header = lines.where("line_no = 0").select("path", _cells(F.col("line")).alias("names"))
+    places = header.select(F.posexplode("names").alias("place", "name")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
+    names = [r["name"] for r in places.orderBy("place", "name").collect()]  # as many as devices have channels
+    rows = lines.where("line_no > 0 AND trim(line) <> ''").select("session_id", "path", F.col("line_no").cast("int").alias("row"), _cells(F.col("line")).alias("cells")).join(header, "path")
+    at = lambda n: F.array_position("names", F.lit(n)).cast("int")
+    columns = [F.nullif(F.get("cells", at(n) - 1), F.lit("")).alias(n) for n in names]
+    return rows.select(*columns, "session_id", F.regexp_extract("path", r"LAP_(\d+)_[^/]*$", 1).try_cast("int").alias("file_lap"), "row")
 
 
 def read_excel_export(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
     """Samples in long form of the first Excel_* file of each folder, and (session_id, utc_clock) from its first line."""
     lines = _lines(spark, paths)
     first = lines.groupBy("session_id").agg(F.min("path").alias("_p"))
-    lines = lines.join(F.broadcast(first), "session_id").where("path = _p").drop("_p")
+    lines = lines.join(first, "session_id").where("path = _p").drop("_p")
     top = lines.where("line_no = 0").select("session_id", F.transform(F.split("line", ";"), clock.clean_header).alias("names"), F.get(F.filter(F.split("line", ";"), lambda c: c.contains("UTC")), F.lit(0)).alias("utc"))
     clocks = top.select("session_id", clock.utc_clock(F.regexp_extract("utc", r"([^:]*)$", 1)).alias("utc_clock"))
     body = lines.where((F.col("line_no") > 0) & (F.regexp_replace("line", r"[;\s]", "") != "")).join(top.select("session_id", "names"), "session_id")

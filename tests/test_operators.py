@@ -221,6 +221,37 @@ def test_conversion_of_all_layouts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rate")).where("driver = 'd'").count() > 20
 
 
+def test_conversion_takes_one_layout_a_folder_and_each_file_its_header(spark, tmp_path):
+    both, lap = tmp_path / "BOTH-1", tmp_path / "LAPS_1"
+    for folder in (both, lap, lap / "old"):
+        folder.mkdir()
+    (both / "aim.csv").write_text('"Format","x"\n\n"Time","GPS Speed","Logger Temperature"\n' + "".join(f'"{i / 10}","36","7"\n' for i in range(20)))
+    (both / "LAP_1_x.csv").write_text("Partiel,RPM,Speed GPS\n" + "1,5000,360\n" * 5)
+    (lap / "LAP_1_x.csv").write_text("Partiel,RPM,Speed GPS\n" + "1,5000,360\n" * 4)
+    (lap / "LAP_2_x.csv").write_text("Speed GPS,Odd,Partiel,RPM\n" + "720,,2,6000\n" * 3)
+    (lap / "old" / "LAP_3_x.csv").write_text("Partiel,RPM,Speed GPS\n1,1,1\n")
+    out = convert.convert_all(spark, str(tmp_path))
+    rows = [(r["session_id"], r["device"], r["n"]) for r in out.groupBy("session_id", "device").agg(F.count("*").alias("n")).orderBy("session_id").collect()]
+    assert rows == [("BOTH-1", "aim", 20), ("LAPS_1", "alfano", 7)]
+    told = [(r["rpm"], r["gps_speed"], r["lap_number"]) for r in out.where("device = 'alfano'").orderBy("t").collect()]
+    assert told == [(5000.0, 36.0, 1.0)] * 4 + [(6000.0, 72.0, 2.0)] * 3
+    assert out.where("device = 'aim' AND temperature = 7").count() == 20
+    fixed = convert.at_fixed_rates(out, ["gps_speed"]).groupBy("session_id").agg(F.count("*").alias("n"), F.max("hz").alias("hz"), F.max("t").alias("t"))
+    assert {(r["session_id"], r["hz"]) for r in fixed.collect()} == {("BOTH-1", 20.0), ("LAPS_1", 10.0)} and fixed.where("session_id = 'BOTH-1'").first()["n"] == 38
+    (tmp_path / "none").mkdir()
+    empty = convert.convert_all(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and set(out.columns) == set(empty.columns)
+
+
+def test_samples_without_a_place_stay(spark):
+    samples = spark.createDataFrame([("s", 1, "t", 1.0, 1.0), ("s", 2, "t", None, 1.0), ("s", 3, None, 1.0, 1.0), ("s", 4, "other", 1.0, 1.0)], "session_id string, seq long, track_id string, x double, y double")
+    points = spark.createDataFrame([("t", i, float(i), 0.0, i) for i in range(3)], "track_id string, pt_idx long, x double, y double, segment int")
+    near = {r["seq"]: r["segment"] for r in track.nearest_segment(samples, points, ["session_id", "seq"]).collect()}
+    assert near == {1: 1, 2: None, 3: None, 4: None}
+    off = {r["seq"]: r["off"] for r in track.project(samples, track.track_pieces(points), ["session_id", "seq"]).collect()}
+    assert off == {1: 1.0, 2: None, 3: None, 4: None}
+
+
 def test_media_catalogue(spark):
     files = spark.createDataFrame([("/a/B.MP4", 1), ("/a/c.txt", 1), ("/a/a.mov", 2), ("/a/a.mov", 2)], "path string, length long")
     assert [r["path"] for r in logs.media_files(files).collect()] == ["/a/B.MP4", "/a/a.mov"]
