@@ -108,6 +108,6 @@ def project(samples: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame
 
 
 def segment_stats(placed: DataFrame, speed: str = "gps_speed", key: str = "session_id") -> DataFrame:
-    """(session, lap, segment, min_speed, max_speed) over samples with a lap and a speed."""
-    rows = placed.where(F.col("lap").isNotNull() & F.col(speed).isNotNull())
+    """(session, lap, segment, min_speed, max_speed) over samples with a lap, a speed and a segment."""
+    rows = placed.where(F.col("lap").isNotNull() & F.col(speed).isNotNull() & F.col("segment").isNotNull())
     return rows.groupBy(key, "lap", "segment").agg(F.min(speed).alias("min_speed"), F.max(speed).alias("max_speed"))
