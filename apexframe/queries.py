@@ -328,7 +328,8 @@ def project_to_polyline_by_track(spark, sf):
     number = lambda x: (F.pmod(F.floor(x), F.lit(5)) + 1).cast("string")
     brand = F.concat(F.lit("Brand#"), number(F.col("session_id")), number(F.col("session_id") / 5))
     samples = ev(spark, sf).select("session_id", "seq", (F.col("x") * 10 + 900).alias("x"), (F.col("y") / 2).alias("y"), brand.alias("track_id"))
-    return track.project(samples, track.track_pieces(_track(spark, sf)), ["session_id", "seq"]).select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
+    placed = track.project(samples, track.track_pieces(_track(spark, sf)), ["session_id", "seq"]).where("off IS NOT NULL")  # a brand of one part is no track
+    return placed.select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
 
 
 @query(f"""WITH {LAPPED}, al AS (SELECT *, sum(x::DECIMAL(18,4)) OVER (PARTITION BY session_id, lap ORDER BY t, seq)::DOUBLE AS along FROM lp),
