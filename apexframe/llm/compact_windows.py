@@ -455,6 +455,12 @@ def _pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages of pairs. Only texts that a pair needs are shuffled."""
+    pairs = materialize(pairs, "windows-pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = materialize(ends, "windows-ends")
+    few = ends.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
     wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return wide.select("a", "b", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
 
@@ -489,7 +495,8 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     starts = materialize(whole.mapInArrow(_shared_starts, "node long, lo array<long>, hi array<long>"), "windows-shared")
 
     needed = materialize(nodes.join(whole.select("node"), "node").select(F.col("doc_id").alias("_ax_id")), "windows-needed")
-    if needed.count() <= BROADCAST_ROWS:
+    wanted = needed.count()
+    if wanted <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     found = docs.join(needed, docs["doc_id"].eqNullSafe(F.col("_ax_id")), "left_semi")
 
@@ -497,7 +504,9 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
         for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(*shingle_runs(b.column("text")))), b.column("text")], ["node", "text"])
 
-    texts = materialize(found.select("text").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
+    texts = materialize(found.select("text").mapInArrow(named, "node long, text string"), "windows-texts")
+    if texts.count() != wanted:  # repeated doc_ids: texts of other nodes, or of one node twice
+        texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
     exact = materialize(exact_passages(starts, texts), "windows-exact")
 
     known = exact.where("other <> node").groupBy("node").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))

@@ -441,3 +441,12 @@ def test_words_over_a_segment_hash_as_short_ones_do():
     data = b" ".join([b"a" * 7] * 40000)
     words, _ = common.word_hashes(pa.array([data.decode()]))
     assert len(words) == 40000 and len(set(words.tolist())) == 1
+
+
+def test_passages_with_repeated_ids(docs):
+    rng = random.Random(23)
+    text = lambda n: " ".join(f"i{rng.randrange(90_000)}" for _ in range(n))
+    p, q = text(60), text(60)
+    rows = [(1, f"{text(20)} {p}"), (1, f"{q} {text(20)}"), (2, f"{p} {text(30)}"), (None, f"{text(9)} {q}"), (3, text(80)), (2, f"{p} x")]
+    out = compact_windows.passage_classes(docs(rows)).collect()
+    assert len(out) == len(rows) and sorted((r["doc_id"] or 0, r["component_id"], r["links"]) for r in out) == [(0, 1, 1), (1, 1, 1), (1, 1, 2), (2, 1, 2), (2, 1, 2), (3, 3, 0)]
