@@ -37,6 +37,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Like materialize, bucketed by a column: a join on it leaves these rows where they are.
+
+    Both sides of such a join have to be near unique in the column, as Spark doesn't split a skewed bucket. The table is
+    taken out of the catalogue at once; its files stay in the shared folder.
+    """
+    spark, name = df.sparkSession, f"apexframe_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", shared_dir(spark, label)).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 # --- vectorised text kernels over Arrow string batches -------------------------------------------------------------
 
 _WHITE = np.zeros(256, dtype=bool)

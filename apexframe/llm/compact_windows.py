@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix64, pieces, run_hashes, shingle_hashes, table, word_hashes
+from .common import U64, materialize, materialize_by, mix64, pieces, run_hashes, shingle_hashes, table, word_hashes
 from .components import connected_components
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
@@ -446,30 +446,36 @@ def _agree(a: str, b: str):
     return same
 
 
-def _pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows (key, node, place, sign) paired with their key's head: (a, b, places_a, places_b)."""
-    pairs = rows.join(heads.select("key", F.col("head.node").alias("a"), F.col("head.place").alias("pa"), F.col("head.sign").alias("sign_a")), "key")
-    pairs = pairs.where(F.col("node") != F.col("a")).where(_agree("sign", "sign_a") >= SUPPORT)
-    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.collect_set(F.struct("pa", F.col("place").alias("pb"))).alias("e"))
-    return pairs.select("a", "b", F.col("e.pa").alias("places_a"), F.col("e.pb").alias("places_b"))
+def _beside_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with a key beside the fields of their key's head: a (its node), place_a, sign_a and so on."""
+    named = [F.col(f"head.{c}").alias("a" if c == "node" else f"{c}_a") for c in heads.schema["head"].dataType.names]
+    return rows.join(heads.select("key", *named), "key")
+
+
+def _pairs(led: DataFrame) -> DataFrame:
+    """Rows beside a head paired with it if SUPPORT functions agree: (a, b, places_a, places_b)."""
+    pairs = led.where(_agree("sign", "sign_a") >= SUPPORT)
+    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.collect_set(F.struct("place_a", "place")).alias("e"))
+    return pairs.select("a", "b", F.col("e.place_a").alias("places_a"), F.col("e.place").alias("places_b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages of pairs. Only texts that a pair needs are shuffled."""
+    """The passages of pairs.
+
+    A text b has few heads and meets its pairs in the bucket of texts. A head a may have any number of pairs: its join is
+    one of two exchanges, which Spark can split, and only texts of heads are shuffled for it.
+    """
     pairs = materialize(pairs, "windows-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = materialize(ends, "windows-ends")
-    few = ends.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
-    wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    heads = materialize(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "text"), "windows-head-texts")
+    wide = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(heads.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return wide.select("a", "b", "places_a", "places_b", "text_a", "text_b").mapInArrow(_verify, _PASSAGES)
 
 
-def _parted(rows: DataFrame, heads: DataFrame, components: DataFrame) -> DataFrame:
+def _parted(led: DataFrame, components: DataFrame) -> DataFrame:
     """(key, node, place, sign, component) of the rows beside the head of keys where these are of different classes, once for
     each set of further functions with shared minima; the key then stands for the old key and these minima."""
-    told = rows.join(heads.select("key", F.col("head.node").alias("a")), "key").where(F.col("node") != F.col("a")).drop("a")
-    told = told.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = led.select("key", "node", "place", "sign").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = materialize(told, "windows-told")
     mixed = told.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
     told = told.join(materialize(mixed, "windows-mixed"), "key")
     sets = []
@@ -491,12 +497,11 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     shared = rows.groupBy("key", "salt").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("place").alias("p")).where("(n0 < n1 OR salt >= 0) AND p >= 0").select("key", "salt")
     kept = rows.join(shared.hint("shuffle_hash"), ["key", "salt"])
     whole = kept.groupBy("node").agg(F.collect_list(F.struct("key", "place")).alias("e")).select("node", F.col("e.key").alias("keys"), F.col("e.place").alias("places"))
-    whole = materialize(whole, "windows-kept")
+    whole = materialize_by(whole, "windows-kept", "node")
     starts = materialize(whole.mapInArrow(_shared_starts, "node long, lo array<long>, hi array<long>"), "windows-shared")
 
     needed = materialize(nodes.join(whole.select("node"), "node").select(F.col("doc_id").alias("_ax_id")), "windows-needed")
-    wanted = needed.count()
-    if wanted <= BROADCAST_ROWS:
+    if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     found = docs.join(needed, docs["doc_id"].eqNullSafe(F.col("_ax_id")), "left_semi")
 
@@ -504,9 +509,9 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
         for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(*shingle_runs(b.column("text")))), b.column("text")], ["node", "text"])
 
-    texts = materialize(found.select("text").mapInArrow(named, "node long, text string"), "windows-texts")
-    if texts.count() != wanted:  # repeated doc_ids: texts of other nodes, or of one node twice
-        texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "windows-texts")
+    named_texts = found.select("text").mapInArrow(named, "node long, text string")
+    # one text a node, also where doc_ids repeat
+    texts = materialize_by(named_texts.groupBy("node").agg(F.min("text").alias("text")), "windows-texts", "node")
     exact = materialize(exact_passages(starts, texts), "windows-exact")
 
     known = exact.where("other <> node").groupBy("node").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
@@ -514,14 +519,14 @@ def repeated_passages(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     windows = materialize(windows.mapInArrow(_composites, "key long, node long, place long, sign long"), "windows-composites")
     heads = windows.groupBy("key").agg(F.min(F.struct("node", "place", "sign")).alias("head"), F.max("node").alias("last")).where("head.node < last")
     heads = materialize(heads.select("key", "head"), "windows-heads")
-    near = materialize(_verified(_pairs(windows, heads), texts), "windows-near")
+    led = materialize(_beside_heads(windows, heads).where(F.col("node") != F.col("a")), "windows-led")
+    near = materialize(_verified(_pairs(led), texts), "windows-near")
 
     linked = connected_components(near.select("a", "b").unionByName(exact.select(F.col("other").alias("a"), F.col("node").alias("b"))))
-    parted = materialize(_parted(windows, heads, linked), "windows-parted")
+    parted = materialize(_parted(led, linked), "windows-parted")
     lead = parted.groupBy("key").agg(F.min(F.struct("node", "place", "sign", "component")).alias("head"), F.max("component").alias("c1"), F.min("component").alias("c0")).where("c0 < c1")
     lead = materialize(lead, "windows-lead")
-    across = parted.join(lead.select("key", F.col("head.component").alias("c")), "key").where(F.col("component") != F.col("c"))
-    more = _verified(_pairs(across.select("key", "node", "place", "sign"), lead), texts)
+    more = _verified(_pairs(_beside_heads(parted, lead).where(F.col("component") != F.col("component_a"))), texts)
     return exact.select("node", "other", "s", "e"), near.unionByName(materialize(more, "windows-more"))
 
 
