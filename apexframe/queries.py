@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import clock, geo, values
 from .operators import channels, clean, compare, laps, media, timebase, track
 from .plans import boards
+from .sources import logs
 
 LINE = (50.0, -1.0, 50.0, 101.0)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,6 +546,67 @@ def sector_board(spark, sf):
     return boards.sector_board(segs, stats, of).select("session_id", "lap", "segment", "kind", "points", "min_speed", "max_speed", "speed_label")
 
 
+@query("""WITH r AS (SELECT user_id AS session_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'km/h' WHEN 1 THEN '-1.5' ELSE event_id::VARCHAR END AS cell, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT session_id, seq, cell FROM r WHERE n > 1 OR cell <> 'km/h'""")
+def units_row(spark, sf):
+    """Rows without a session's row of units."""
+    cell = F.when(F.col("seq") % 3 == 0, "km/h").when(F.col("seq") % 3 == 1, "-1.5").otherwise(F.col("seq").cast("string"))
+    return clean.strip_units_row(_read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq")).withColumn("cell", cell), "cell")
+
+
+@query(f"""WITH {TRACK}, d AS (SELECT track_id, floor(x / 20) * 20 AS x, floor(y / 5) * 5 AS y, min(pt_idx) AS k FROM tk GROUP BY 1, 2, 3)
+SELECT track_id, arg_min(x, k) AS x1, arg_min(y, k) AS y1, arg_max(x, k) AS x2, arg_max(y, k) AS y2 FROM d GROUP BY 1 HAVING count(*) >= 2""")
+def line_ends(spark, sf):
+    """First and last of the distinct points of every track, its points on a grid so that some repeat."""
+    points = _track(spark, sf).withColumns({"x": (F.floor(F.col("x") / 20) * 20).cast("double"), "y": (F.floor(F.col("y") / 5) * 5).cast("double")})
+    return clean.line_ends(points)
+
+
+@query("""WITH o AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'aim' WHEN 1 THEN 'alfano' ELSE 'alfano_excel' END AS device, lpad((o_orderkey % 24)::VARCHAR, 2, '0') AS h FROM orders),
+s AS (SELECT *, 'k' || o_orderkey || '-' || strftime(o_orderdate, '%d%m%y') || '_' || h || 'H30 v' || (o_custkey % 9) || '-c' || (o_custkey % 7) || '-d' || (o_custkey % 11) AS session_id,
+  device = 'aim' AND o_orderkey % 2 = 0 AS headed, device = 'alfano_excel' AND o_custkey % 2 = 0 AS dated FROM o)
+SELECT session_id, device, CASE WHEN headed THEN 'R' || o_custkey WHEN device = 'aim' THEN 'd' || (o_custkey % 11) ELSE 'c' || (o_custkey % 7) END AS driver,
+  CASE WHEN device = 'aim' THEN 'v' || (o_custkey % 9) ELSE 'd' || (o_custkey % 11) END AS venue, CASE WHEN device = 'aim' THEN 'c' || (o_custkey % 7) ELSE '' END AS vehicle,
+  CASE WHEN device = 'aim' THEN 'd' || (o_custkey % 11) ELSE '' END AS session,
+  CASE WHEN headed THEN '2024-03-04' WHEN dated THEN '2003-02-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_date,
+  CASE WHEN headed THEN '15:30' WHEN o_orderkey % 5 = 0 THEN '12:00:01' WHEN dated THEN '05:15' ELSE h || ':30' END AS event_time FROM s""")
+def metadata_precedence(spark, sf):
+    """Orders as sessions: header before clock, file name and folder name."""
+    o = _read(spark, sf, "orders").withColumn("device", F.when(F.col("o_orderkey") % 3 == 0, "aim").when(F.col("o_orderkey") % 3 == 1, "alfano").otherwise("alfano_excel"))
+    part = lambda letter, n: F.concat(F.lit(letter), (F.col("o_custkey") % n).cast("string"))
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    folder = F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit("-"), F.date_format("o_orderdate", "ddMMyy"), F.lit("_"), hour, F.lit("H30 "), part("v", 9), F.lit("-"), part("c", 7), F.lit("-"), part("d", 11))
+    header = F.create_map(F.lit("Racer"), F.concat(F.lit("R"), F.col("o_custkey").cast("string")), F.lit("Date"), F.lit("Monday, March 4, 2024"), F.lit("Time"), F.lit("3:30 PM"))
+    sessions = o.select(
+        folder.alias("session_id"), "device", F.when((F.col("device") == "aim") & (F.col("o_orderkey") % 2 == 0), header).alias("meta"),
+        F.when(F.col("o_custkey") % 2 == 0, "LAP_010203_05H15").otherwise("LAP").alias("file_name"),
+        F.when(F.col("o_orderkey") % 5 == 0, "12:00:01").otherwise("").alias("utc_clock"))
+    return logs.session_metadata(sessions).drop("meta")
+
+
+@query(f"""WITH {TRACK}, b AS (SELECT track_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM tk GROUP BY 1)
+SELECT track_id, pt_idx, round((x - x0) / greatest(x1 - x0, 1), 6) AS nx, round(1 - (y - y0) / greatest(y1 - y0, 1), 6) AS ny, round(least(greatest((x - 1000) / 200, 0), 1), 6) AS held FROM tk JOIN b USING (track_id)""")
+def unit_square(spark, sf):
+    """Track points in the unit square of their track, and held within given bounds."""
+    points = _track(spark, sf)
+    x, y = geo.unit_x(F.col("x"), F.col("min_x"), F.col("max_x")), geo.unit_y(F.col("y"), F.col("min_y"), F.col("max_y"))
+    held = geo.unit_x(F.col("x"), F.lit(1000.0), F.lit(1200.0), clip=True)
+    return points.join(track.track_bounds(points), "track_id").select("track_id", "pt_idx", F.round(x, 6).alias("nx"), F.round(y, 6).alias("ny"), F.round(held, 6).alias("held"))
+
+
+@query("""SELECT user_id AS session_id, event_id AS seq, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 0.1::DOUBLE, 6) AS t FROM events""")
+def synthetic_clock(spark, sf):
+    rows = _read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"))
+    return timebase.synthetic_clock(rows, ["seq"]).withColumn("t", F.round("t", 6))
+
+
+@query(f"""WITH {EV} SELECT session_id, seq, coalesce(last_value(CASE WHEN seq % 4 = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING), 0) AS distance FROM ev""")
+def distance_channel(spark, sf):
+    """A distance channel with gaps."""
+    gaps = ev(spark, sf).withColumn("distance", F.when(F.col("seq") % 4 == 0, F.col("x")))
+    return timebase.fill_distance(gaps).select("session_id", "seq", "distance")
+
+
 @query()
 def frame_table(spark, sf):
     """One row an hour of every session; composition of queries above, held against them in tests."""
