@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_shared_cuts
 from .audio import op4_audio_features
 from .chat import OP3_SQL, op3_prefix_target_chat
 from .compact_windows import op10_compact_windows
@@ -20,6 +21,7 @@ from .warc import op2_warc_splittable
 QUERIES = (
     op1_hash_tree_shards, op2_warc_splittable, op3_prefix_target_chat, op4_audio_features, op5_simhash_decontamination, op6_gru_toxicity,
     op7_waterfill_mix, op8_parity_sketch_join, op9_host_suffix_text, op10_compact_windows,
+    op12_shared_cuts,
 )
 
 
