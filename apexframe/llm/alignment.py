@@ -6,7 +6,7 @@ its middle are looked up among B's ends by bisection, in rings that double in wi
 interval in two, and an interval without a common inner end is a group. All intervals of a batch of texts take a step
 together. Within a group, every A and B token whose bytes overlap are linked.
 
-Encoded texts are written once (two bytes a token) and aligned twice from there: for the count of every linked pair of ids
+Encoded texts with their groups are written once (two bytes a token, eight a group) and read twice: for the count of every linked pair of ids
 (in how many documents it occurs; summed in the tasks before the shuffle), and for the documents' own figures. The pairs'
 counts go to all tasks if they are at most BROADCAST_PAIRS, else the documents' pairs are joined with them. Memory of a task
 is bounded by its largest text, about 150 bytes a byte.
@@ -33,10 +33,14 @@ from .tokens import byte_level, ragged, sentence_pieces, spread, units_of
 BROADCAST_PAIRS = 2_000_000
 #: Linked pairs that a counting task holds before it hands on their sums.
 HELD_PAIRS = 1_000_000
+ENCODED = "a", "b", "tokens_a", "tokens_b"
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(doc_id, a, b): ids of both tokenizers as little-endian 16-bit numbers, empty for texts without tokens."""
+    """(doc_id, a, b, tokens_a, tokens_b): 16-bit ids of both tokenizers, 32-bit numbers of tokens of each group.
+
+    Binary columns of little-endian numbers, empty for texts without tokens.
+    """
 
     def run(batches):
         (memo_a, bytes_a), (memo_b, bytes_b) = byte_level(a_path), sentence_pieces(b_path)
@@ -56,9 +60,13 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for i in np.flatnonzero(~keep):  # units may differ where the text as a whole does not
                 text = spaced[offsets[i] : offsets[i + 1]].tobytes()
                 keep[i] = all(b"".join([spelling[t] for t in ids[at[i] : at[i + 1]].tolist()]) == text for (ids, at), spelling in zip(found, (bytes_a, bytes_b), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_packed(ids, at, keep) for ids, at in found)], ["doc_id", "a", "b"])
+            (a, first_a), (b, first_b) = (_kept(ids, at, keep) for ids, at in found)
+            groups = common_ends(*(np.cumsum(size[x]) for size, x in zip(_sizes(a_path, b_path), (a, b), strict=True)), first_a, first_b)
+            first = np.searchsorted(groups[0], first_a, side="right")
+            columns = _binary(a, first_a), _binary(b, first_b), *(_binary(np.diff(x, prepend=0).astype(np.uint32), first) for x in groups)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *ENCODED])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a binary, b binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a binary, b binary, tokens_a binary, tokens_b binary")
 
 
 def _misspelled(units: list[bytes], ids: np.ndarray, counts: np.ndarray, spelling: list[bytes]) -> np.ndarray:
@@ -75,10 +83,21 @@ def _misspelled(units: list[bytes], ids: np.ndarray, counts: np.ndarray, spellin
     return wrong
 
 
-def _packed(ids: np.ndarray, at: np.ndarray, keep: np.ndarray) -> pa.Array:
+def _kept(ids: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.where(keep, np.diff(at), 0)
-    kept = ids[ragged(lengths, at[:-1])]
-    return pa.Array.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths * 2)))), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
+    return ids[ragged(lengths, at[:-1])], np.concatenate(([0], np.cumsum(lengths)))
+
+
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Stretches of values as binary values."""
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64) * values.itemsize), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _unbinary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    column, size = column.cast(pa.large_binary()), np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // size
+    values = np.frombuffer(column.buffers()[2], kind)[offsets[0] : offsets[-1]] if column.buffers()[2] else np.zeros(0, kind)
+    return values, offsets - (offsets[0] if len(offsets) else 0)
 
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,41 +106,52 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, fir
     Ends ascend over all texts; text i has the A tokens first_a[i] to first_a[i + 1], and both sides end together.
     """
     full = np.diff(first_a) > 0
-    todo = np.stack((first_a[:-1][full], first_a[1:][full], first_b[:-1][full], first_b[1:][full]))
+    todo = tuple(x[full].astype(np.int32) for x in (first_a[:-1], first_a[1:], first_b[:-1], first_b[1:]))
     leaves_a, leaves_b = [], []
-    while todo.shape[1]:
-        whole = (todo[1] - todo[0] == 1) | (todo[3] - todo[2] == 1)
-        leaves_a.append(todo[1, whole])
-        leaves_b.append(todo[3, whole])
-        todo = todo[:, ~whole]
-        lo, hi = todo[0], todo[1] - 1  # inner ends are those of the tokens lo to hi - 1
-        middle = (lo + hi - 1) // 2
-        cut_a, cut_b = np.full(len(lo), -1), np.full(len(lo), -1)
-        active, near, far = np.arange(len(lo)), 0, 1
-        while len(active):
-            m = middle[active]
-            left = np.maximum(m - far + 1, lo[active]), np.maximum(m - near + 1, lo[active])  # tokens m - far + 1 to m - near
-            right = np.minimum(m + max(near, 1), hi[active]), np.minimum(m + far, hi[active])
-            ring = np.concatenate((np.stack(left), np.stack(right)), axis=1)
-            lengths = np.maximum(ring[1] - ring[0], 0)
-            tried = ragged(lengths, ring[0])
-            owner = np.repeat(np.concatenate((active, active)), lengths)
-            at = np.searchsorted(ends_b, ends_a[tried])
-            hit = ends_b[at] == ends_a[tried]
-            tried, owner, at = tried[hit], owner[hit], at[hit]
-            order = np.argsort(-np.abs(tried - middle[owner]), kind="stable")  # the nearest is written last
-            cut_a[owner[order]] = tried[order]
-            cut_b[owner[order]] = at[order]
-            near, far = far, 2 * far
-            active = active[(cut_a[active] < 0) & ((m - near >= lo[active]) | (m + near < hi[active]))]
-        none = cut_a < 0
-        leaves_a.append(todo[1, none])
-        leaves_b.append(todo[3, none])
-        todo, a, b = todo[:, ~none], cut_a[~none] + 1, cut_b[~none] + 1
-        todo = np.concatenate((np.stack((todo[0], a, todo[2], b)), np.stack((a, todo[1], b, todo[3]))), axis=1)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves_a, leaves_b))
-    order = np.argsort(a)
-    return a[order], b[order]
+    while len(todo[0]):
+        a0, a1, b0, b1 = todo
+        inner = (a1 - a0 > 1) & (b1 - b0 > 1)
+        leaves_a.append(a1[~inner])
+        leaves_b.append(b1[~inner])
+        a0, a1, b0, b1 = (x[inner] for x in todo)
+        cut = (a0 + a1) // 2 - 1  # the middle one of the inner ends, those of the tokens a0 to a1 - 2
+        at, hit = _bisect(ends_a, ends_b, cut)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            cut[missed], at[missed] = _nearest(ends_a, ends_b, a0[missed], a1[missed] - 1, cut[missed])
+            none = missed[cut[missed] < 0]
+            leaves_a.append(a1[none])
+            leaves_b.append(b1[none])
+            a0, a1, b0, b1, cut, at = (np.delete(x, none) for x in (a0, a1, b0, b1, cut, at))
+        halves = (a0, cut + 1), (cut + 1, a1), (b0, at + 1), (at + 1, b1)
+        todo = tuple(np.stack(x, axis=1).ravel() for x in halves)  # neighbours stay neighbours: look-ups ascend
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (leaves_a, leaves_b))
+    return np.sort(a).astype(np.int64), np.sort(b).astype(np.int64)
+
+
+def _bisect(ends_a: np.ndarray, ends_b: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The B token that ends where each A token ends, and whether there is one."""
+    ends = ends_a[tokens]
+    at = np.searchsorted(ends_b, ends).astype(np.int32)
+    return at, ends_b[at] == ends
+
+
+def _nearest(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The common end nearest to the middle among the A tokens lo to hi - 1 and its B token; -1 where there is none."""
+    cut, at = np.full(len(lo), -1, np.int32), np.full(len(lo), -1, np.int32)
+    active, near = np.arange(len(lo)), 1
+    while len(active):
+        m, far = middle[active], 2 * near
+        begin = np.concatenate((np.maximum(m - far + 1, lo[active]), np.minimum(m + near, hi[active])))
+        end = np.concatenate((np.maximum(m - near + 1, lo[active]), np.minimum(m + far, hi[active])))
+        tried, owner = ragged(end - begin, begin), np.repeat(np.concatenate((active, active)), end - begin)
+        found, hit = _bisect(ends_a, ends_b, tried)
+        tried, owner, found = tried[hit], owner[hit], found[hit]
+        order = np.argsort(-np.abs(tried - middle[owner]), kind="stable")  # the nearest is written last
+        cut[owner[order]], at[owner[order]] = tried[order], found[order]
+        near = far
+        active = active[(cut[active] < 0) & ((m - near >= lo[active]) | (m + near < hi[active]))]
+    return cut, at
 
 
 def links_of(ends_a: np.ndarray, ends_b: np.ndarray, groups_a: np.ndarray, groups_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +172,12 @@ class _Aligned:
     """Groups and links of the encoded texts of a batch."""
 
     def __init__(self, batch: pa.RecordBatch, size_a: np.ndarray, size_b: np.ndarray):
-        (self.a, self.first_a), (self.b, self.first_b) = (_unpacked(batch.column(batch.schema.get_field_index(c))) for c in "ab")
-        self.ends_a, self.ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
-        self.groups_a, self.groups_b = common_ends(self.ends_a, self.ends_b, self.first_a, self.first_b)
-        self.link_a, self.link_b = links_of(self.ends_a, self.ends_b, self.groups_a, self.groups_b)
-        self.first_group = np.searchsorted(self.groups_a, self.first_a, side="right")
+        column = lambda name, kind: _unbinary(batch.column(batch.schema.get_field_index(name)), kind)
+        (self.a, self.first_a), (self.b, self.first_b) = column("a", np.uint16), column("b", np.uint16)
+        (n_a, self.first_group), (n_b, _) = column("tokens_a", np.uint32), column("tokens_b", np.uint32)
+        self.groups_a, self.groups_b = np.cumsum(n_a, dtype=np.int64), np.cumsum(n_b, dtype=np.int64)
+        ends = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
+        self.link_a, self.link_b = links_of(*ends, self.groups_a, self.groups_b)
         self.first_link = np.searchsorted(self.link_a, self.first_a)
         self.pair = self.a[self.link_a].astype(np.int64) << 16 | self.b[self.link_b]
 
@@ -181,13 +212,7 @@ def _decimals() -> np.ndarray:
     return np.array([f"{i}{mark}".encode() for mark in (",", "|", ";", "") for i in range(1 << 16)], "S6")
 
 
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
-    ids = np.frombuffer(column.buffers()[2], np.uint16)[offsets[0] : offsets[-1]] if column.buffers()[2] else np.zeros(0, np.uint16)
-    return ids, offsets - (offsets[0] if len(offsets) else 0)
-
-
+@lru_cache(maxsize=1)
 def _sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.fromiter(map(len, x), np.int64, len(x)) for x in (byte_level(a_path)[1], sentence_pieces(b_path)[1]))
 
@@ -213,7 +238,7 @@ def pair_counts(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, summed())), ["pair", "n"])
 
-    counts = encoded.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = encoded.select(*ENCODED).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "pair-counts")
     most = counts.groupBy(F.shiftright("pair", 16).alias("id")).agg(F.max("n").alias("most"))  # at most one row an id of A
     return counts.join(most, F.shiftright("pair", 16) == F.col("id")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -254,13 +279,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
     def figures(batches):
         sizes = _sizes(a_path, b_path)
         for batch in pieces(batches, "a"):
-            yield pa.RecordBatch.from_pydict({"row": batch.column(3), "doc_id": batch.column(0)} | _figures(_Aligned(batch, *sizes)))
+            yield pa.RecordBatch.from_pydict({"row": batch.column(batch.schema.get_field_index("row")), "doc_id": batch.column(0)} | _figures(_Aligned(batch, *sizes)))
 
     def links(batches):
         sizes = _sizes(a_path, b_path)
         for batch in pieces(batches, "a"):
             text, pair, times = _Aligned(batch, *sizes).pairs()
-            yield pa.RecordBatch.from_pydict({"owner": batch.column(3).take(pa.array(text)), "pair": pa.array(pair), "times": pa.array(times)})
+            yield pa.RecordBatch.from_pydict({"owner": batch.column(batch.schema.get_field_index("row")).take(pa.array(text)), "pair": pa.array(pair), "times": pa.array(times)})
 
     sums = rows.mapInArrow(links, "owner long, pair long, times long").join(counts, "pair").groupBy("owner").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
