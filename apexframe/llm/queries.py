@@ -13,6 +13,7 @@ from .compact_windows import op10_compact_windows
 from .decontaminate import op5_simhash_decontamination
 from .html_text import op9_host_suffix_text
 from .mixing import OP7_SQL, op7_waterfill_mix
+from .packing import op13_pattern_packing
 from .parity_join import OP8_SQL, op8_parity_sketch_join
 from .sharding import op1_hash_tree_shards
 from .toxicity import op6_gru_toxicity
@@ -21,7 +22,7 @@ from .warc import op2_warc_splittable
 QUERIES = (
     op1_hash_tree_shards, op2_warc_splittable, op3_prefix_target_chat, op4_audio_features, op5_simhash_decontamination, op6_gru_toxicity,
     op7_waterfill_mix, op8_parity_sketch_join, op9_host_suffix_text, op10_compact_windows,
-    op12_shared_cuts,
+    op12_shared_cuts, op13_pattern_packing,
 )
 
 

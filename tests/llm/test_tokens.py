@@ -13,7 +13,7 @@ import sentencepiece
 from oracle import SF
 from tokenizers import Tokenizer
 
-from apexframe.llm import alignment, tokens
+from apexframe.llm import alignment, packing, queries, tokens
 
 A, B, C = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 PARTS = [" ", "  ", "\n", "\n\n", ".", ",", "a", "B", "é", "ñ", " ", "　", " ", "▁", "中", "文", "<|endoftext|>", "'s", "'ll", "1", "23", "\t", "Σ", "é", "́", "-", "x.", "The", " the", "<s>", "😀", "\x1c", "\x85", "×", "İ"]
@@ -121,3 +121,83 @@ def test_long_stretches_without_a_common_end():
         starts = lambda e: [0, *e[:-1]]
         want = [(i, j) for i, (s, e) in enumerate(zip(starts(a), a, strict=True)) for j, (t, f) in enumerate(zip(starts(b), b, strict=True)) if s < f and t < e]
         assert list(zip(la.tolist(), lb.tolist(), strict=True)) == want
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def check_packing(rows, texts, capacity):
+    """Whole documents, gapless sequences within capacity, ids as the tokenizer gives them."""
+    whole, by_doc, by_sequence = Tokenizer.from_file(C), defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc_id, text in texts:
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        got = sorted(by_doc[doc_id], key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got] == [(k, s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity].tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
+    for spans in by_sequence.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    total = sum(r["length"] for r in rows)
+    return len(by_sequence), -(-total // capacity)
+
+
+def test_packing_of_odd_and_long_texts(spark, docs):
+    texts = list(enumerate([None, "", " \n ", "a", "a", "<|endoftext|> x", "word " * 9000, *odd_texts(200, 5), *some_texts(spark)]))
+    df = docs(texts)
+    rows = packing.token_pieces(df, C, 512)
+    rows = packing.materialize(rows.withColumn("ids_crc32", packing.F.crc32("ids")), "test")
+    placed = packing.materialize(packing.place(rows, 512), "test")
+    used, least = check_packing(placed.collect(), texts, 512)
+    assert used <= 1.02 * least + 1
+    for r in packing.sequences(placed).collect():
+        ids = np.frombuffer(r["ids"], "<u4")
+        ends = np.cumsum(r["lengths"])
+        assert len(ids) == ends[-1] <= 512
+        assert all(ids[e - 1] == 1 or n == 512 for e, n in zip(ends, r["lengths"], strict=True))
+    assert packing.place(packing.materialize(packing.token_pieces(docs([]), C), "test")).count() == 0
+
+
+def test_query_packs_all_documents(spark):
+    rows = queries.queries()["op13_pattern_packing"](spark, SF).collect()
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    used, least = check_packing(rows, texts, 4096)
+    assert used <= least + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_use_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    capacity = [64, 100, 512, 4096, 4096, 1000][seed]
+    counts = np.zeros(capacity + 1, np.int64)
+    lengths = np.clip(rng.lognormal(np.log(capacity / 4), 0.9, 3000).astype(int), 1, capacity)
+    np.add.at(counts, lengths, 1)
+    counts[capacity // 3] += 2000
+    groups = packing.plan(counts, capacity)
+    used = np.zeros_like(counts)
+    for times, items in groups:
+        assert 0 < sum(n * k for n, k in items) <= capacity
+        for n, k in items:
+            used[n] += times * k
+    assert (used == counts).all()
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    assert sum(t for t, _ in groups) <= 1.03 * least + 1
+
+
+def test_fit_equals_the_counts_where_patterns_allow_it():
+    patterns = packing.patterns_of(np.array([1, 2, 3, 4, 5, 6, 8]), 8, 4)
+    assert {tuple(p) for p in patterns} == {p for p in ((8, 0, 0, 0), (6, 2, 0, 0), (6, 1, 1, 0), (5, 3, 0, 0), (5, 2, 1, 0), (5, 1, 1, 1), (4, 4, 0, 0), (4, 3, 1, 0), (4, 2, 2, 0), (4, 2, 1, 1), (3, 3, 2, 0), (3, 3, 1, 1), (3, 2, 2, 1), (2, 2, 2, 2))}
+    want = np.zeros(len(patterns))
+    want[[1, 4, 9]] = 10, 20, 5
+    counts = np.zeros(9)
+    for n, p in zip(want, patterns, strict=True):
+        np.add.at(counts, p[p > 0], n)
+    fit = packing.nonnegative_fit(patterns, counts)
+    got = np.zeros(9)
+    for n, p in zip(fit, patterns, strict=True):
+        np.add.at(got, p[p > 0], n)
+    assert (fit >= 0).all() and np.abs(got - counts).max() < 1e-4
