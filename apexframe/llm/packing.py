@@ -33,7 +33,7 @@ from .tokens import encode_column, ragged, word_memo
 
 CAPACITY, END = 4096, 1
 #: Pieces of a pattern at most; classes of lengths; parts in which the pieces of a length are numbered.
-PATTERN_DOCS, CLASSES, PARTS = 4, 256, 256
+PATTERN_DOCS, CLASSES, PARTS = 3, 256, 256
 Items = tuple[tuple[int, int], ...]  # (length, pieces)
 
 
@@ -127,31 +127,34 @@ def nonnegative_fit(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return x * scale
 
 
-def _fill(patterns: np.ndarray, repeats: np.ndarray, left: np.ndarray, width: int) -> Iterator[tuple[int, Items]]:
-    """Patterns with exact lengths taken out of `left` (pieces by length), longest first, as (times, items)."""
+def _fill(patterns: np.ndarray, repeats: np.ndarray, left: np.ndarray, width: int, capacity: int) -> Iterator[tuple[int, Items]]:
+    """Patterns with exact lengths taken out of `left` (pieces by length), as (times, items).
+
+    All but the shortest piece of a pattern are the longest of their classes; the shortest one is the longest that still fits,
+    so that what the classes round up is not lost.
+    """
+
+    def longest(lo: int, hi: int) -> int:
+        found = np.flatnonzero(left[lo:hi])
+        return int(lo + found[-1]) if len(found) else 0
+
     for p in np.argsort(-repeats, kind="stable"):
-        parts, need = np.unique(patterns[p][patterns[p] > 0], return_counts=True)
-        todo = int(repeats[p])
-        spans = [(int((k - 1) * width + 1), int(k * width + 1)) for k in parts]
-        for (lo, hi), m in zip(spans, need, strict=True):
-            todo = min(todo, int(left[lo:hi].sum()) // int(m))
+        parts, todo = sorted(patterns[p][patterns[p] > 0].tolist(), reverse=True), int(repeats[p])
         while todo > 0:
-            tops = [int(lo + np.flatnonzero(left[lo:hi])[-1]) for lo, hi in spans]
-            times = min([todo, *(int(left[t]) // int(m) for t, m in zip(tops, need, strict=True))])
-            items: list[tuple[int, int]] = []
-            if times:
-                for t, m in zip(tops, need, strict=True):
-                    items.append((t, int(m)))
-                    left[t] -= times * m
-            else:  # a run too short for one pattern: piece by piece
-                times = 1
-                for (lo, hi), m in zip(spans, need, strict=True):
-                    for _ in range(int(m)):
-                        t = int(lo + np.flatnonzero(left[lo:hi])[-1])
-                        items.append((t, 1))
-                        left[t] -= 1
+            items: list[int] = []
+            for k in parts[:-1]:
+                items.append(longest((k - 1) * width + 1, k * width + 1))
+                left[items[-1]] -= 1  # so that the next part sees what is left
+            items.append(longest(1, capacity - sum(items) + 1) if all(items) else 0)
+            left[items[-1]] -= 1
+            np.add.at(left, items, 1)  # chosen; taken below, as often as they last
+            if not all(items) or items[-1] <= (parts[-1] - 1) * width:
+                break
+            exact, need = np.unique(items, return_counts=True)
+            times = min([todo, *(int(left[n]) // int(m) for n, m in zip(exact, need, strict=True))])
+            left[exact] -= times * need
             todo -= times
-            yield times, tuple(items)
+            yield times, tuple((int(n), int(m)) for n, m in zip(exact[::-1], need[::-1], strict=True))
 
 
 def _best_fit(groups: list[tuple[int, Items]], left: np.ndarray, capacity: int) -> list[tuple[int, Items]]:
@@ -203,7 +206,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, Items]]:
         patterns = patterns_of(classes, total, PATTERN_DOCS)
         repeats = np.floor(nonnegative_fit(patterns, by_class) + 1e-6).astype(np.int64)
         keep = repeats > 0
-        groups = list(_fill(patterns[keep], repeats[keep], left, width))
+        groups = list(_fill(patterns[keep], repeats[keep], left, width, capacity))
     return _best_fit(groups, left, capacity)
 
 

@@ -1,4 +1,4 @@
-"""Queries of the ten training-data operators and, where SQL can express them, their SQL."""
+"""Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
@@ -17,12 +17,13 @@ from .packing import op13_pattern_packing
 from .parity_join import OP8_SQL, op8_parity_sketch_join
 from .sharding import op1_hash_tree_shards
 from .toxicity import op6_gru_toxicity
+from .vector_codes import OP11_SQL, op11_cell_codes
 from .warc import op2_warc_splittable
 
 QUERIES = (
     op1_hash_tree_shards, op2_warc_splittable, op3_prefix_target_chat, op4_audio_features, op5_simhash_decontamination, op6_gru_toxicity,
     op7_waterfill_mix, op8_parity_sketch_join, op9_host_suffix_text, op10_compact_windows,
-    op12_shared_cuts, op13_pattern_packing,
+    op11_cell_codes, op12_shared_cuts, op13_pattern_packing,
 )
 
 
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op7_waterfill_mix": OP7_SQL, "op8_parity_sketch_join": OP8_SQL}
+    return {"op3_prefix_target_chat": OP3_SQL, "op7_waterfill_mix": OP7_SQL, "op8_parity_sketch_join": OP8_SQL, "op11_cell_codes": OP11_SQL}
