@@ -31,7 +31,7 @@ from .common import materialize, table
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 LIMIT = 1 << 27
 #: Side of a cell in scaled units; cells that a task remembers for each part.
-CELL, MEMO_CELLS = 64, 100_000
+CELL, MEMO_CELLS = 32, 100_000
 #: Vectors that a task works on at once.
 BLOCK = 2048
 
