@@ -60,19 +60,35 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols), F.lit(""))
 
 
+def _nearest(x: Column) -> Column:
+    """The nearest whole number of a number that is not negative; halves go up."""
+    return F.floor(x + 0.5).cast("long")
+
+
+def _div(x: Column, n: int) -> Column:
+    return ((x - x % n) / n).cast("long")
+
+
+def _at_least(x: Column, digits: int) -> Column:
+    """A whole number with leading zeros up to so many digits (format_string does the same many times slower)."""
+    text = x.cast("string")
+    return F.when(x < 10 ** (digits - 1), F.lpad(text, digits, "0")).otherwise(text)
+
+
 def duration_label(seconds: Column, decimals: int = 3) -> Column:
     """mm:ss.fff, never below zero; --:-- for null, NaN and infinity."""
     scale = 10**decimals
-    units = F.round(F.greatest(seconds, F.lit(0.0)) * scale).cast("long")
-    minutes, rest = F.floor(units / (60 * scale)), units % (60 * scale)
-    label = F.format_string(f"%02d:%02d.%0{decimals}d", minutes, F.floor(rest / scale), rest % scale)
+    units = _nearest(F.greatest(seconds, F.lit(0.0)) * scale)
+    minutes, rest = _div(units, 60 * scale), units % (60 * scale)
+    label = F.concat(_at_least(minutes, 2), F.lit(":"), _at_least(_div(rest, scale), 2), F.lit("."), _at_least(rest % scale, decimals))
     return F.when(seconds.isNull() | F.isnan(seconds) | (F.abs(seconds) == float("inf")), "--:--").otherwise(label)
 
 
 def clock_label(seconds: Column) -> Column:
     """HH:MM:SS.mmm of a number of seconds."""
-    ms = F.round(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    ms = _nearest(F.greatest(seconds, F.lit(0.0)) * 1000)
+    parts = _div(ms, 3_600_000), _div(ms, 60_000) % 60, _div(ms, 1000) % 60
+    return F.concat(F.concat_ws(":", *(_at_least(p, 2) for p in parts)), F.lit("."), _at_least(ms % 1000, 3))
 
 
 def seconds_of(text: Column) -> Column:
@@ -140,8 +156,8 @@ def range_label(low: Column, high: Column) -> Column:
 
 def delta_label(delta: Column) -> Column:
     """Signed seconds, +0.00; empty for null."""
-    hundredths = F.round(F.abs(delta) * 100).cast("long")
-    label = F.concat(F.when(delta < 0, "-").otherwise("+"), F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100))
+    hundredths = _nearest(F.abs(delta) * 100)
+    label = F.concat(F.when(delta < 0, "-").otherwise("+"), _div(hundredths, 100).cast("string"), F.lit("."), _at_least(hundredths % 100, 2))
     return F.when(delta.isNotNull(), label).otherwise(F.lit(""))
 
 

@@ -44,12 +44,11 @@ def infer_frequency(samples: DataFrame, key: str = KEY, default: float = 10.0) -
 
 def add_distance(samples: DataFrame, speed: str = "gps_speed", key: str = KEY, default_hz: float = 10.0) -> DataFrame:
     """Adds `distance` in metres from a speed in km/h. Steps that are missing or not positive take the median step."""
-    steps = time_steps(samples, key)
+    rows = time_steps(samples, key)
     positive = F.when(F.col("delta") > 0, F.col("delta"))
-    usual = steps.groupBy(key).agg(F.coalesce(F.median(positive), F.lit(1.0 / max(default_hz, 1.0))).alias("_step"))
-    step = F.coalesce(F.when(F.col("delta") > 0, F.col("delta")), F.col("_step"))
-    metres = F.coalesce(F.col(speed), F.lit(0.0)) / 3.6 * step
-    return steps.join(usual, key).withColumn("distance", F.sum(metres).over(by_time(key))).drop("delta", "_step")
+    usual = F.coalesce(F.median(positive).over(W.partitionBy(key)), F.lit(1.0 / max(default_hz, 1.0)))
+    metres = F.coalesce(F.col(speed), F.lit(0.0)) / 3.6 * F.coalesce("_positive", "_step")
+    return rows.withColumns({"_positive": positive, "_step": usual}).withColumn("distance", F.sum(metres).over(by_time(key))).drop("delta", "_positive", "_step")
 
 
 def fill_distance(samples: DataFrame, column: str = "distance", key: str = KEY) -> DataFrame:

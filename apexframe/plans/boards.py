@@ -7,28 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo, values
-from ..operators import compare, laps, timebase, track
+from ..operators import laps
+from . import frames
 
 
-def frame_table(samples: DataFrame, crossings: DataFrame, fps: float, line_best: DataFrame, speed: str = "gps_speed", rpm: str = "rpm", distance: str = "distance") -> DataFrame:
+def frame_table(samples: DataFrame, line: laps.Line, fps: float, speed: str = "gps_speed", rpm: str = "rpm", distance: str = "distance", min_time: float = 20.0) -> DataFrame:
     """One row a video frame: values, gauges, lap labels, delta to best, place in the unit square, clock.
 
-    samples: session_id, seq, t, x, y, speed, rpm, distance; line_best: (session, lap) of the best laps.
+    samples: session_id, seq, t, x, y, speed, rpm, distance. One exchange by session; see plans.frames for the rules.
     """
-    lapped = laps.assign_laps(samples, crossings)
-    start = F.min(distance).over(W.partitionBy("session_id", "lap"))
-    lapped = lapped.withColumn("along", F.col(distance) - start)
-    told = compare.delta_to_best(lapped, line_best)
-    frames = timebase.resample(told, [speed, rpm, "x", "y", "lap_time", "delta"], fps, lap="lap")
-    bounds = samples.groupBy("session_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(speed).alias("full_speed"), F.max(rpm).alias("full_rpm"))
-    f = frames.join(bounds, "session_id")
-    speed_ratio, rpm_ratio = values.gauge_ratio(F.col(speed), F.col("full_speed")), values.gauge_ratio(F.col(rpm), F.col("full_rpm"))
+    f = frames.session_frames(samples, line, fps, [speed, rpm, "x", "y"], distance, min_time)
+    ratio = lambda c: values.gauge_ratio(F.col(c), F.col(f"max_{c}"))
     return f.select(
-        "session_id", "frame", "video_time", "t", speed, rpm, speed_ratio.alias("speed_ratio"), values.gauge_zone(speed_ratio).alias("speed_zone"),
-        rpm_ratio.alias("rpm_ratio"), values.gauge_zone(rpm_ratio).alias("rpm_zone"), "lap", clock.lap_label(F.col("lap")).alias("lap_label"),
-        F.greatest(F.lit(0.0), F.col("lap_time")).alias("lap_time"), clock.duration_label(F.col("lap_time")).alias("lap_clock"),
+        "session_id", "frame", "video_time", "t", speed, rpm, ratio(speed).alias("speed_ratio"), values.gauge_zone(ratio(speed)).alias("speed_zone"),
+        ratio(rpm).alias("rpm_ratio"), values.gauge_zone(ratio(rpm)).alias("rpm_zone"), "lap", clock.lap_label(F.col("lap")).alias("lap_label"),
+        "lap_time", clock.duration_label(F.col("lap_time")).alias("lap_clock"),
         values.clamp(F.col("delta"), -2.0, 2.0).alias("delta"), clock.delta_class(F.col("delta")).alias("delta_class"), clock.delta_label(F.col("delta")).alias("delta_label"),
-        geo.unit_x(F.col("x"), F.col("x0"), F.col("x1"), True).alias("nx"), geo.unit_y(F.col("y"), F.col("y0"), F.col("y1"), True).alias("ny"),
+        geo.unit_x(F.col("x"), F.col("min_x"), F.col("max_x"), True).alias("nx"), geo.unit_y(F.col("y"), F.col("min_y"), F.col("max_y"), True).alias("ny"),
         clock.clock_label(F.col("video_time")).alias("clock"))
 
 
@@ -60,5 +55,3 @@ def beacon_report(beacons: DataFrame, details: DataFrame) -> DataFrame:
     agrees = (F.col("total_laps") == F.col("_n")) & (F.col("fastest_lap") == F.col("_k")) & (F.abs(cut - F.col("_s")) < 1e-6)
     return found.join(stated, "path", "left").select("path", "total_laps", "fastest_lap", "fastest_s", agrees.alias("agrees"))
 
-
-__all__ = ["frame_table", "lap_board", "sector_board", "beacon_report", "track"]

@@ -265,3 +265,25 @@ def test_track_geometry_in_metres(spark):
     pts = tracks.to_mercator(tracks.parse_linestrings(wkt))
     assert pts.where("layer = 'centerline'").agg(F.max("x")).first()[0] == 10.0
     assert tracks.start_finish(pts).agg(F.min("x")).first()[0] > 4.9e6
+
+
+def test_frames_beside_a_crossing_and_odd_samples(spark):
+    """Lap times restart at the line itself; the first of equal times counts; gaps in position and value are bridged."""
+    from apexframe.plans import frames
+
+    rows = [(1, i, None if t is None else float(t), x, 0.0, v) for i, (t, x, v) in enumerate([
+        (0, -5.0, 1.0), (10, 5.0, 3.0), (10, 7.0, 99.0), (20, None, None), (30, -5.0, 7.0), (30, None, None), (70, -5.0, 7.0), (80, 5.0, 9.0), (None, 1.0, 1.0)])]
+    rows += [(2, 0, 5.0, 1.0, 1.0, 4.0), (3, 0, None, 1.0, 1.0, 4.0)]
+    s = spark.createDataFrame(rows, "session_id long, seq long, t double, x double, y double, gps_speed double")
+    s = timebase.add_distance(s, "gps_speed")
+    got = {(r["session_id"], r["frame"]): r for r in frames.session_frames(s, (0.0, -9.0, 0.0, 9.0), 0.2, ["gps_speed"]).collect()}
+    one = [got[1, i] for i in range(16)]
+    assert len(got) == 17 and [r["t"] for r in one] == [5.0 * i for i in range(16)]
+    # crossings at 5 (10 s between x -5 and 5), at 10 + 20 * 7 / 12 and at 75
+    back = 10 + 20 * 7 / 12
+    assert [r["lap"] for r in one] == [0 if t < 5 else 1 if t < back else 2 if t < 75 else 3 for t in range(0, 80, 5)]
+    assert [r["lap_time"] for r in one] == pytest.approx([t if t < 5 else t - 5 if t < back else t - back if t < 75 else t - 75 for t in range(0, 80, 5)])
+    assert [r["gps_speed"] for r in one[:7]] == pytest.approx([1, 2, 3, 4, 5, 6, 7])
+    assert all(r["min_gps_speed"] == 1 and r["max_gps_speed"] == 99 for r in one)
+    assert (got[2, 0]["lap"], got[2, 0]["t"], got[2, 0]["gps_speed"], got[2, 0]["delta"]) == (0, 5.0, 4.0, None)
+    assert frames.session_frames(s.limit(0), (0.0, -9.0, 0.0, 9.0), 0.2, ["gps_speed"]).count() == 0
