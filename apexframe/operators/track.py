@@ -74,26 +74,92 @@ def segments(classed: DataFrame) -> DataFrame:
     return out.select(TRACK, "segment", "kind", "points", label.alias("label"), mid["x"].alias("mid_x"), mid["y"].alias("mid_y"))
 
 
+#: Samples meet all pieces of their track where no track has more than so many; beyond, only those that a grid finds near.
+DIRECT_PIECES = 256
+#: Grids have 2^level cells a side, at most this level; a piece is kept in about so many cells at the finest at most.
+MAX_LEVEL, CELLS_PER_PIECE = 14, 32
+_CELL = ("_level", "_cx", "_cy")
+
+
+def _grids(side: DataFrame) -> DataFrame:
+    """(track, _gx, _gy, _gs, _gl): lower corner, side and finest level of a square grid around each track's pieces.
+
+    The finest cells are about as many as the pieces on a side of their square, but not much finer than the pieces are long.
+    """
+    x1, y1 = F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy")
+    g = side.groupBy(TRACK).agg(
+        F.min(F.least("x0", x1)).alias("_gx"), F.min(F.least("y0", y1)).alias("_gy"), F.max(F.greatest("x0", x1)).alias("_x1"), F.max(F.greatest("y0", y1)).alias("_y1"),
+        F.count("*").alias("_n"), F.avg(F.hypot("dx", "dy")).alias("_len"))
+    wide = F.greatest(F.col("_x1") - F.col("_gx"), F.col("_y1") - F.col("_gy"))
+    level = F.least(F.log2(2 * F.sqrt("_n")), F.log2(F.try_divide(CELLS_PER_PIECE * F.col("_gs"), F.col("_len"))), F.lit(float(MAX_LEVEL)))
+    return g.withColumn("_gs", F.when(wide > 0, wide * (1 + 1e-9)).otherwise(1.0)).select(TRACK, "_gx", "_gy", "_gs", F.greatest(F.lit(0), F.ceil(level).cast("int")).alias("_gl"))
+
+
+def _cells_of(low: Column, high: Column, level: Column, origin: str) -> Column:
+    """Cell coordinates of an interval, held within the grid."""
+    n = F.pow(F.lit(2.0), level)
+    at = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(n - 1, (v - F.col(origin)) / F.col("_gs") * n))).cast("int")
+    return F.sequence(at(low), at(high))
+
+
+def _index(side: DataFrame, grids: DataFrame) -> DataFrame:
+    """Pieces with the cells that they touch, at every level: column by column, and the rows the piece has in a column."""
+    rows = side.join(grids, TRACK).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_gl"))))
+    x1, y1, edge = F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy"), F.col("_gs") * 1e-9
+    rows = rows.withColumn("_cx", F.explode(_cells_of(F.least("x0", x1) - edge, F.greatest("x0", x1) + edge, F.col("_level"), "_gx")))
+    width = F.col("_gs") / F.pow(F.lit(2.0), F.col("_level"))
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - F.col("x0"), F.col("dx"))))
+    left, right = F.col("_gx") + F.col("_cx") * width - edge, F.col("_gx") + (F.col("_cx") + 1) * width + edge
+    ya = F.when(F.abs("dx") > edge, F.col("y0") + share(left) * F.col("dy")).otherwise(F.col("y0"))
+    yb = F.when(F.abs("dx") > edge, F.col("y0") + share(right) * F.col("dy")).otherwise(y1)
+    rows = rows.withColumn("_cy", F.explode(_cells_of(F.least(ya, yb) - edge, F.greatest(ya, yb) + edge, F.col("_level"), "_gy")))
+    return rows.drop("_gx", "_gy", "_gs", "_gl")
+
+
 def _closest(samples: DataFrame, side: DataFrame, square: Column, keys: list[str], **picks: Column) -> DataFrame:
-    """samples with aggregates over the rows of side at the least squared distance.
+    """samples with aggregates over the pieces of side (x0, y0, dx, dy, more) at the least squared distance, exactly.
 
-    Two passes over the pairs, each one hash aggregation of doubles: first the least distance, then what lies at it. (One
-    pass by least struct would sort all pairs.) Pairs never leave their task; only samples are shuffled, by keys, before
-    they are paired. Samples without a position or a track get nulls.
+    Pieces are indexed by the cells of a pyramid of grids. The cells that hold a sample, from coarse to fine, each name one
+    piece, and the nearest of these bounds the distance; then only pieces in the few cells of the level whose cells are as
+    wide as the bound can be nearer. All joins are by (track, level, cell). Tracks of few pieces need no index. Samples without
+    a position or a track get nulls. Counts the pieces when it is called.
     """
-    side = small(side)
     spark = samples.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    whole, samples = samples, samples.select(*keys, TRACK, "x", "y").repartition(n, *keys)
-    least = samples.join(side, TRACK).groupBy(*keys).agg(F.min(square).alias("_m"))
-    at_least = samples.join(least, keys).join(side, TRACK).where(square == F.col("_m"))
+    whole, samples = samples, samples.select(*keys, TRACK, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()).repartition(n, *keys)
+    most = side.groupBy(TRACK).count().agg(F.max("count")).first()[0] or 0
+    rows, pieces, on = (samples, small(side), [TRACK]) if most <= DIRECT_PIECES else _near(samples, side, square, keys)
+    # pairs never leave their task: first the least distance, then what lies at it
+    least = rows.join(pieces, on).groupBy(*keys).agg(F.min(square).alias("_m"))
+    at_least = rows.join(least, keys).join(pieces, on).where(square == F.col("_m"))
     return whole.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys, "left")
 
 
+def _near(samples: DataFrame, side: DataFrame, square: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Samples by the cells in which their nearest piece can lie, pieces by cells, and the columns that join them."""
+    grids = small(_grids(side))
+    located = samples.join(grids, TRACK)
+    index = _index(side, grids)
+    cell = [TRACK, *_CELL]
+    fields = [F.col(c) for c in side.columns if c != TRACK]
+    named = small(index.groupBy(*cell).agg(F.any_value(F.struct(*fields)).alias("_piece")))
+    own = located.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_gl"))))
+    own = own.withColumn("_cx", _cells_of(F.col("x"), F.col("x"), F.col("_level"), "_gx")[0]).withColumn("_cy", _cells_of(F.col("y"), F.col("y"), F.col("_level"), "_gy")[0])
+    bounds = own.join(named, cell).select(*keys, "x", "y", "_piece.*").groupBy(*keys).agg(F.min(square).alias("_bound"))
+    near = located.join(bounds, keys)
+    reach = F.sqrt("_bound") * (1 + 1e-9) + F.col("_gs") * 1e-9
+    level = F.greatest(F.lit(0), F.least(F.col("_gl"), F.floor(F.log2(F.col("_gs") / F.col("_reach"))).cast("int")))
+    near = near.withColumn("_reach", reach).withColumn("_level", level)
+    for c, v, origin in (("_cx", "x", "_gx"), ("_cy", "y", "_gy")):
+        near = near.withColumn(c, F.explode(_cells_of(F.col(v) - F.col("_reach"), F.col(v) + F.col("_reach"), F.col("_level"), origin)))
+    return near.select(*keys, "x", "y", *cell), small(index), cell
+
+
 def nearest_segment(samples: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Samples (keys, track, x, y) with the segment of the nearest track point; ties go to the lowest segment."""
-    near = points.select(TRACK, F.col("x").alias("_px"), F.col("y").alias("_py"), "segment")
-    square = (F.col("x") - F.col("_px")) ** 2 + (F.col("y") - F.col("_py")) ** 2
+    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    near = placed.select(TRACK, F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "segment")
+    square = (F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2
     return _closest(samples, near, square, keys, segment=F.min("segment"))
 
 

@@ -96,28 +96,34 @@ def frames_of(rows: DataFrame, columns: list[str], fps: float, key: str = KEY) -
     known = {c: F.when(F.col("_first"), _known(c, "lap")) for c in [*columns, "delta"]}
     rows = rows.withColumns({f"_k_{c}": k for c, k in known.items()})
     backwards = W.partitionBy(key).orderBy(F.desc("t"), "mark", F.desc("seq"))
-    rows = rows.withColumns({f"_b_{c}": F.last(f"_k_{c}", ignorenulls=True).over(order.rowsBetween(*_UP_TO)) for c in known})
-    rows = rows.withColumn("_next", F.lead("t").over(order))
     rows = rows.withColumns({f"_a_{c}": F.last(f"_k_{c}", ignorenulls=True).over(backwards.rowsBetween(*_BEFORE)) for c in known})
+    rows = rows.withColumns({f"_b_{c}": F.last(f"_k_{c}", ignorenulls=True).over(order.rowsBetween(*_UP_TO)) for c in known})
+    # a line for each column and sample, so that little is left to do for each frame: a generated method of more than 8,000
+    # bytes is not compiled by the JVM
+    rows = rows.withColumns({f"_l_{c}": _line(F.col(f"_b_{c}"), F.col(f"_a_{c}"), F.col("lap") if c == "delta" else None) for c in known})
     hz = F.lit(float(fps))
-    last = F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) * hz).cast("int")) - 1
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("t0")) * hz).cast("int") - 1)
-    end = F.when(F.col("_next").isNull(), last).otherwise(F.least(last, F.ceil((F.col("_next") - F.col("t0")) * hz).cast("int")))
-    found = rows.withColumn("frame", F.explode(F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))))
-    time = F.least(F.col("t0") + F.col("frame") / hz, F.col("t1"))
-    found = found.withColumn("_at", time).where((F.col("_at") >= F.col("t")) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next"))))
-
-    def mixed(c: str) -> Column:
-        b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")
-        span = a["t"] - b["t"]
-        return F.coalesce(F.when(span > 0, b["v"] + (a["v"] - b["v"]) * (F.col("_at") - b["t"]) / span), b["v"], a["v"])
-
-    b, a = F.col("_b_delta"), F.col("_a_delta")
-    side = F.when(b["lap"] == a["lap"], mixed("delta")).when(b["lap"] == F.col("lap"), b["v"]).when(a["lap"] == F.col("lap"), a["v"]).otherwise(F.coalesce(b["v"], a["v"]))
+    rows = rows.withColumns({"_n": F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) * hz).cast("int")) - 1, "_begin": F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("t0")) * hz).cast("int") - 1)})
+    rows = rows.withColumn("_next", F.lead("t").over(order))
+    end = F.when(F.col("_next").isNull(), F.col("_n")).otherwise(F.least("_n", F.ceil((F.col("_next") - F.col("t0")) * hz).cast("int")))
+    rows = rows.withColumn("_end", end).where("_begin <= _end")
+    found = rows.withColumn("frame", F.explode(F.sequence("_begin", "_end")))
+    found = found.withColumn("_at", F.least(F.col("t0") + F.col("frame") / hz, F.col("t1"))).where((F.col("_at") >= F.col("t")) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next"))))
+    value = lambda c: F.col(f"_l_{c}")["v"] + F.col(f"_l_{c}")["s"] * (F.col("_at") - F.col(f"_l_{c}")["t"])
     kept = [c for c in rows.columns if c.startswith(("min_", "max_"))]
     return found.select(
         key, "frame", (F.col("frame") / hz).alias("video_time"), F.col("_at").alias("t"), "lap", F.greatest(F.lit(0.0), F.col("_at") - F.col("lap_start")).alias("lap_time"),
-        side.alias("delta"), *(mixed(c).alias(c) for c in columns), *kept)
+        *(value(c).alias(c) for c in known), *kept)
+
+
+def _line(before: Column, after: Column, lap: Column | None) -> Column:
+    """(t, v, s): value v at t and its slope between two known values; flat where one is missing, or across laps."""
+    span = after["t"] - before["t"]
+    slope = F.when(span > 0, (after["v"] - before["v"]) / span)
+    held = F.coalesce(before, after)
+    if lap is not None:
+        slope = F.when(before["lap"] == after["lap"], slope)
+        held = F.when((before["lap"] == lap) | (after["lap"] != lap) | after.isNull(), held).otherwise(after)
+    return F.when(held.isNotNull(), F.struct(held["t"].alias("t"), held["v"].alias("v"), F.coalesce(slope, F.lit(0.0)).alias("s")))
 
 
 def session_frames(samples: DataFrame, line: Line, fps: float, columns: list[str], distance: str = "distance", min_time: float = 20.0, key: str = KEY) -> DataFrame:

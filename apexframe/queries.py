@@ -281,16 +281,17 @@ def turn_straight_segments(spark, sf):
 
 
 def _segment_points(spark, sf):
-    return _read(spark, sf, "supplier").where("s_suppkey <= 50").select(F.lit(1).alias("track_id"), F.pmod(F.col("s_suppkey"), F.lit(10)).alias("segment"), (F.pmod(F.col("s_suppkey") * 37, F.lit(101))).cast("double").alias("x"), F.pmod(F.col("s_suppkey") * 53, F.lit(101)).cast("double").alias("y"))
+    """All suppliers as points of five tracks."""
+    return _read(spark, sf, "supplier").select(F.pmod(F.col("s_suppkey"), F.lit(5)).alias("track_id"), F.pmod(F.floor(F.col("s_suppkey") / 5), F.lit(10)).alias("segment"), (F.pmod(F.col("s_suppkey") * 37, F.lit(101))).cast("double").alias("x"), F.pmod(F.col("s_suppkey") * 53, F.lit(101)).cast("double").alias("y"))
 
 
-NEAREST = """, sp AS (SELECT s_suppkey % 10 AS segment, ((s_suppkey * 37) % 101)::DOUBLE AS px, ((s_suppkey * 53) % 101)::DOUBLE AS py FROM supplier WHERE s_suppkey <= 50),
-nr AS (SELECT lp.session_id, lp.seq, lp.lap, lp.x, arg_min(segment, (pow(lp.x - px, 2) + pow(lp.y - py, 2), segment)) AS segment FROM lp, sp GROUP BY ALL)"""
+NEAREST = """, sp AS (SELECT s_suppkey % 5 AS track_id, s_suppkey // 5 % 10 AS segment, ((s_suppkey * 37) % 101)::DOUBLE AS px, ((s_suppkey * 53) % 101)::DOUBLE AS py FROM supplier),
+nr AS (SELECT lp.session_id, lp.seq, lp.lap, lp.x, arg_min(segment, (pow(lp.x - px, 2) + pow(lp.y - py, 2), segment)) AS segment FROM lp JOIN sp ON sp.track_id = lp.session_id % 5 GROUP BY ALL)"""
 
 
 @query(f"WITH {LAPPED}{NEAREST} SELECT session_id, lap, segment, min(x) AS min_speed, max(x) AS max_speed FROM nr GROUP BY 1, 2, 3")
 def nearest_segment_stats(spark, sf):
-    lapped = laps.assign_laps(*_crossed(spark, sf)).withColumn("track_id", F.lit(1))
+    lapped = laps.assign_laps(*_crossed(spark, sf)).withColumn("track_id", F.pmod(F.col("session_id"), F.lit(5)))
     placed = track.nearest_segment(lapped, _segment_points(spark, sf), ["session_id", "seq"])
     return track.segment_stats(placed, "x")
 
@@ -311,13 +312,16 @@ PROJECTED = EV + """, """ + PIECES + """, pj AS (
   SELECT session_id, seq, seg_idx, cum + u * len AS along, pow(x0 + u * dx - x, 2) + pow(y0 + u * dy - y, 2) AS d
   FROM (SELECT ev.session_id, ev.seq, ev.x * 10 + 900 AS x, ev.y / 2 AS y, pc.*, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest(((ev.x * 10 + 900 - x0) * dx + (ev.y / 2 - y0) * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS u
     FROM ev, pc WHERE pc.track_id = 'Brand#11'))"""
+PROJECTED_BY_MAKER = PROJECTED.replace("p_brand AS track_id", "p_brand[7:7] AS track_id").replace("pc.track_id = 'Brand#11'", "pc.track_id = (1 + ev.session_id % 5)::VARCHAR")
 
 
-@query(f"WITH {PROJECTED} SELECT session_id, seq, round(arg_min(along, (d, seg_idx)), 3) AS along, round(sqrt(min(d)), 3) AS off FROM pj GROUP BY 1, 2")
+@query(f"WITH {PROJECTED_BY_MAKER} SELECT session_id, seq, round(arg_min(along, (d, seg_idx)), 3) AS along, round(sqrt(min(d)), 3) AS off FROM pj GROUP BY 1, 2")
 def project_to_polyline(spark, sf):
-    samples = ev(spark, sf).select("session_id", "seq", (F.col("x") * 10 + 900).alias("x"), (F.col("y") / 2).alias("y"), F.lit("Brand#11").alias("track_id"))
-    pieces = track.track_pieces(_track(spark, sf).where("track_id = 'Brand#11'"))
-    return track.project(samples, pieces, ["session_id", "seq"]).select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
+    """All makers of part (the first digit of a brand) as tracks of many pieces; a session runs on one of the five."""
+    maker = (F.pmod(F.col("session_id"), F.lit(5)) + 1).cast("string")
+    samples = ev(spark, sf).select("session_id", "seq", (F.col("x") * 10 + 900).alias("x"), (F.col("y") / 2).alias("y"), maker.alias("track_id"))
+    points = _read(spark, sf, "part").select(F.substring("p_brand", 7, 1).alias("track_id"), F.col("p_partkey").alias("pt_idx"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
+    return track.project(samples, track.track_pieces(points), ["session_id", "seq"]).select("session_id", "seq", F.round("along", 3).alias("along"), F.round("off", 3).alias("off"))
 
 
 PROJECTED_BY_TRACK = PROJECTED.replace("pc.track_id = 'Brand#11'", "pc.track_id = 'Brand#' || (1 + ev.session_id % 5) || (1 + (ev.session_id // 5) % 5)")
@@ -623,7 +627,7 @@ ga AS (SELECT gb.*, a.t AS ta, a.x AS xa, a.y AS ya, a.lap AS la, a.delta AS da
 mx AS (SELECT ga.*, coalesce((gt - tb) / (ta - tb), 0) AS w FROM ga),
 vl AS (SELECT *, xb + (coalesce(xa, xb) - xb) * w AS x, yb + (coalesce(ya, yb) - yb) * w AS y, CASE WHEN lb = la THEN db + (da - db) * w WHEN lb = lap THEN db WHEN la = lap THEN da ELSE coalesce(db, da) END AS delta FROM mx),
 bd AS (SELECT session_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ev GROUP BY 1)
-SELECT session_id, frame, round(gt, 5) AS t, lap, CASE WHEN lap = 0 THEN 'OUT' ELSE lap::VARCHAR END AS lap_label, round(lap_time, 2) AS lap_time, round(greatest(-2.0, least(2.0, delta)), 1) AS delta,
+SELECT session_id, frame, round(gt, 6) AS t, lap, CASE WHEN lap = 0 THEN 'OUT' ELSE lap::VARCHAR END AS lap_label, round(lap_time, 2) AS lap_time, round(greatest(-2.0, least(2.0, delta)), 1) AS delta,
   CASE WHEN delta < -0.005 THEN 'faster' WHEN delta > 0.005 THEN 'slower' ELSE 'even' END AS delta_class, round(x, 3) AS gps_speed, round(y, 3) AS rpm,
   round(CASE WHEN x1 > 0 THEN greatest(0, least(1, x / x1)) ELSE 0 END, 4) AS speed_ratio, CASE WHEN x1 > 0 AND x / x1 > 0.9 THEN 'red' WHEN x1 > 0 AND x / x1 > 0.75 THEN 'amber' ELSE 'normal' END AS speed_zone,
   round(least(1, greatest(0, (x - x0) / greatest(x1 - x0, 1.0))), 4) AS nx, round(1 - least(1, greatest(0, (y - y0) / greatest(y1 - y0, 1.0))), 4) AS ny
@@ -633,6 +637,6 @@ def frame_table(spark, sf):
     samples = frames.by_session(ev(spark, sf)).withColumns({"gps_speed": F.col("x"), "rpm": F.col("y")})
     out = boards.frame_table(timebase.add_distance(samples, "gps_speed"), LINE, 1 / 3600)
     return out.select(
-        "session_id", "frame", F.round("t", 5).alias("t"), "lap", "lap_label", F.round("lap_time", 2).alias("lap_time"), F.round("delta", 1).alias("delta"),
+        "session_id", "frame", F.round("t", 6).alias("t"), "lap", "lap_label", F.round("lap_time", 2).alias("lap_time"), F.round("delta", 1).alias("delta"),
         F.when(F.abs("delta") <= 0.005, "even").otherwise(F.col("delta_class")).alias("delta_class"), F.round("gps_speed", 3).alias("gps_speed"), F.round("rpm", 3).alias("rpm"),
         F.round("speed_ratio", 4).alias("speed_ratio"), "speed_zone", F.round("nx", 4).alias("nx"), F.round("ny", 4).alias("ny"))

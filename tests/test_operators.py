@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +288,50 @@ def test_frames_beside_a_crossing_and_odd_samples(spark):
     assert all(r["min_gps_speed"] == 1 and r["max_gps_speed"] == 99 for r in one)
     assert (got[2, 0]["lap"], got[2, 0]["t"], got[2, 0]["gps_speed"], got[2, 0]["delta"]) == (0, 5.0, 4.0, None)
     assert frames.session_frames(s.limit(0), (0.0, -9.0, 0.0, 9.0), 0.2, ["gps_speed"]).count() == 0
+
+
+def brute_nearest(p, pieces):
+    best = None
+    for k, (x0, y0, dx, dy) in enumerate(pieces):
+        n = dx * dx + dy * dy
+        u = min(1.0, max(0.0, ((p[0] - x0) * dx + (p[1] - y0) * dy) / n)) if n else 0.0
+        d = math.hypot(x0 + u * dx - p[0], y0 + u * dy - p[1])
+        best = min(best or (d, k), (d, k))
+    return best[0]
+
+
+@pytest.mark.parametrize("shape", ["circle", "zigzag", "points", "line"])
+def test_grid_finds_the_nearest_piece(spark, monkeypatch, shape):
+    rng, n = random.Random(shape), 400
+    if shape == "circle":
+        pts = [(500 + 300 * math.cos(i / 50), 3 * math.sin(i / 50)) for i in range(n)]
+    elif shape == "line":
+        pts = [(float(i * i), 7.0) for i in range(n)]
+    else:
+        pts = [(rng.uniform(-5, 5), rng.uniform(-100, 100)) for _ in range(n)]
+    monkeypatch.setattr(track, "DIRECT_PIECES", 10)
+    points = spark.createDataFrame([("a", i, x, y, i % 7) for i, (x, y) in enumerate(pts)] + [("b", 0, 1.0, 1.0, 3), ("b", 1, 1.0, 1.0, 2)], "track_id string, pt_idx long, x double, y double, segment long")
+    where = [(rng.uniform(-900, 900), rng.uniform(-300, 300)) for _ in range(40)] + [pts[5], pts[-1], (500.0, 0.0)]
+    rows = [(1, i, "a", x, y) for i, (x, y) in enumerate(where)] + [(2, 0, "b", 4.0, 5.0), (3, 0, "none", 0.0, 0.0), (3, 1, "a", None, 1.0), (3, 2, None, 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "session_id long, seq long, track_id string, x double, y double")
+    if shape == "points":
+        got = {(r["session_id"], r["seq"]): r["segment"] for r in track.nearest_segment(samples, points, ["session_id", "seq"]).collect()}
+        assert got[2, 0] == 2 and got[3, 0] is None and got[3, 1] is None and got[3, 2] is None
+        assert [got[1, i] for i in range(len(where))] == [min((math.hypot(x - p[0], y - p[1]), i % 7) for i, (x, y) in enumerate(pts))[1] for p in where]
+        return
+    pieces = [(a[0], a[1], b[0] - a[0], b[1] - a[1]) for a, b in zip(pts, pts[1:])]
+    placed = track.project(samples, track.track_pieces(points), ["session_id", "seq"])
+    got = {(r["session_id"], r["seq"]): r["off"] for r in placed.collect()}
+    assert got[2, 0] == pytest.approx(5.0) and got[3, 0] is None and got[3, 1] is None
+    assert [got[1, i] for i in range(len(where))] == pytest.approx([brute_nearest(p, pieces) for p in where], abs=1e-9)
+    assert "NestedLoop" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_track_of_100_000_pieces(spark):
+    """Samples a known way beside a spiral of 100,000 pieces; pairs that meet are few."""
+    at = lambda i: (F.lit(1.0) + i / 10_000) * 100
+    angle = F.col("id") / 500
+    points = spark.range(100_001).select(F.lit("s").alias("track_id"), F.col("id").alias("pt_idx"), (at(F.col("id")) * F.cos(angle)).alias("x"), (at(F.col("id")) * F.sin(angle)).alias("y"))
+    samples = points.where("pt_idx % 500 = 250").select(F.lit(1).alias("session_id"), F.col("pt_idx").alias("seq"), "track_id", (F.col("x") * 1.001).alias("x"), (F.col("y") * 1.001).alias("y"), F.hypot("x", "y").alias("r"))
+    out = track.project(samples, track.track_pieces(points), ["session_id", "seq"]).collect()
+    assert len(out) == 200 and all(abs(r["off"] - r["r"] * 0.001) < 2e-3 for r in out)
