@@ -42,23 +42,43 @@ def fill_clip(clips: DataFrame) -> DataFrame:
     })
 
 
+def _with_year(stamp: Column, year: Column) -> Column:
+    """stamp in another year; null where that year lacks the day."""
+    return F.try_make_timestamp_ntz(year, F.month(stamp), F.dayofmonth(stamp), F.hour(stamp), F.minute(stamp), F.extract(F.lit("SECOND"), stamp))
+
+
 def group_clips(clips: DataFrame, tolerance: float = 2.0, camera: str = "camera_id", order: str = "path") -> DataFrame:
-    """Adds group_no, start_ts with the group's year, and group_name: a clip joins the group before it if it starts within
-    `tolerance` seconds of that clip's end, or does so but for a misread year. Clips without a start stand alone.
+    """Adds group_no, start_ts with a repaired year, and group_name: a clip joins the group before it if it starts less than
+    `tolerance` seconds from that clip's end as it stands, else if it does so in the year of that end; only then its year (and
+    that of its end_ts, if there is one) is repaired. Clips without a start stand alone.
+
+    A repaired start decides on the next clip, so this is a fold over a camera's clips in order; a camera's clips (hundreds)
+    are one row meanwhile.
     """
-    w = W.partitionBy(camera).orderBy(order)
-    expected = F.lag(F.col("start_ts") + _seconds(F.col("duration"))).over(w)
-    start = F.col("start_ts")
-    moved = lambda c: F.make_timestamp_ntz(F.lit(2001), F.month(c), F.least(F.dayofmonth(c), F.when(F.month(c) == 2, 28).otherwise(31)), F.hour(c), F.minute(c), F.second(c) + F.extract(F.lit("SECOND"), c) % 1)
-    direct = F.abs(_between(start, expected)) <= tolerance
-    but_year = F.abs(_between(moved(start), moved(expected))) <= tolerance
-    rows = clips.withColumn("_new", (~F.coalesce(direct | but_year, F.lit(False))).cast("int"))
-    rows = rows.withColumn("group_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    others = [c for c in clips.columns if c not in (camera, order)]
+    lists = clips.groupBy(camera).agg(F.sort_array(F.collect_list(F.struct(order, *others))).alias("_clips"))
+    stamp = "timestamp_ntz"
+    state = F.struct(F.lit(None).cast(stamp).alias("end"), F.array().cast(f"array<struct<new:int,start:{stamp},year:int>>").alias("out"))
+
+    def step(acc: Column, clip: Column) -> Column:
+        start, end = clip["start_ts"].cast(stamp), acc["end"]
+        near = lambda s: F.coalesce(F.abs(_between(s, end)) < tolerance, F.lit(False))
+        repaired = _with_year(start, F.year(end))
+        repair = ~near(start) & near(repaired)
+        new = F.when(near(start) | repair, 0).otherwise(1)
+        kept = F.when(repair, repaired).otherwise(start)
+        told = F.struct(new.alias("new"), kept.alias("start"), F.when(repair, F.year(end)).alias("year"))
+        return F.struct((kept + _seconds(clip["duration"])).alias("end"), F.concat(acc["out"], F.array(told)).alias("out"))
+
+    found = lists.select(camera, F.explode(F.arrays_zip(F.col("_clips").alias("clip"), F.aggregate("_clips", state, step)["out"].alias("told"))).alias("_z"))
+    rows = found.select(camera, "_z.clip.*", F.col("_z.told").alias("_told")).withColumn("start_ts", F.col("_told.start"))
+    if "end_ts" in clips.columns:
+        rows = rows.withColumn("end_ts", F.coalesce(F.when(F.col("_told.year").isNotNull(), _with_year(F.col("end_ts"), F.col("_told.year"))), F.col("end_ts")))
+    w = W.partitionBy(camera).orderBy(order, "start_ts").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("group_no", F.sum("_told.new").over(w).cast("int"))
     g = W.partitionBy(camera, "group_no").orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    years = F.first(F.year("start_ts")).over(g) - F.year("start_ts")
-    rows = rows.withColumn("start_ts", F.col("start_ts") + F.make_ym_interval(F.coalesce(years, F.lit(0)), F.lit(0)))
     stem = F.regexp_extract(F.first(order).over(g), r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return rows.withColumn("group_name", group_name(F.first("start_ts").over(g), stem)).drop("_new")
+    return rows.withColumn("group_name", group_name(F.first("start_ts").over(g), stem)).select(*clips.columns, "group_no", "group_name")
 
 
 def clock_ticks(frames: DataFrame, fps: float, key: str = "clip_id") -> DataFrame:

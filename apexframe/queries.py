@@ -416,7 +416,7 @@ def timestamp_vote(spark, sf):
 
 @query("""WITH c AS (SELECT user_id AS camera_id, event_id AS path, date_trunc('second', ts) AS st, round(value * 1000) AS duration FROM events),
 l AS (SELECT *, lag(st + to_seconds(duration::BIGINT)) OVER (PARTITION BY camera_id ORDER BY path) AS ex FROM c),
-g AS (SELECT *, sum(CASE WHEN abs(epoch_us(st) - epoch_us(ex)) / 1e6 <= 40000 THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY path)::INT AS group_no FROM l)
+g AS (SELECT *, sum(CASE WHEN abs(epoch_us(st) - epoch_us(ex)) / 1e6 < 40000 THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY path)::INT AS group_no FROM l)
 SELECT camera_id, path, group_no, strftime(first_value(st) OVER (PARTITION BY camera_id, group_no ORDER BY path), '%Y-%m-%d_%H-%M-%S') || '.mp4' AS group_name FROM g""")
 def clip_groups(spark, sf):
     clips = _read(spark, sf, "events").select(F.col("user_id").alias("camera_id"), F.col("event_id").alias("path"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("start_ts"), F.round(F.col("value") * 1000).alias("duration"))

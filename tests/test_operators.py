@@ -1,5 +1,6 @@
 """Operators on small hand-written fixtures: quirks and properties."""
 
+import datetime as dt
 import math
 import os
 import random
@@ -335,3 +336,54 @@ def test_a_track_of_100_000_pieces(spark):
     samples = points.where("pt_idx % 500 = 250").select(F.lit(1).alias("session_id"), F.col("pt_idx").alias("seq"), "track_id", (F.col("x") * 1.001).alias("x"), (F.col("y") * 1.001).alias("y"), F.hypot("x", "y").alias("r"))
     out = track.project(samples, track.track_pieces(points), ["session_id", "seq"]).collect()
     assert len(out) == 200 and all(abs(r["off"] - r["r"] * 0.001) < 2e-3 for r in out)
+
+
+def plain_groups(clips, tolerance=2.0):
+    """(group, start, end) by the rule, clip by clip."""
+    out, end, no = [], None, 0
+    for start, stop, duration in clips:
+        joined = False
+        if start is not None and end is not None:
+            if abs((start - end).total_seconds()) < tolerance:
+                joined = True
+            else:
+                try:
+                    moved = start.replace(year=end.year)
+                    if abs((moved - end).total_seconds()) < tolerance:
+                        joined, start = True, moved
+                        try:
+                            stop = stop and stop.replace(year=end.year)
+                        except ValueError:
+                            pass
+                except ValueError:
+                    pass
+        no += not joined
+        out.append((no, start, stop))
+        end = None if start is None else start + dt.timedelta(seconds=duration)
+    return out
+
+
+def test_clip_groups_over_new_year_leap_days_and_misread_years(spark):
+    at = dt.datetime
+    cameras = {
+        "new_year": [(at(2024, 12, 31, 23, 59), None, 60.0), (at(2025, 1, 1), None, 30.0), (at(2025, 1, 1, 0, 0, 30), None, 5.0)],
+        "misread": [(at(2025, 5, 1, 10), None, 60.0), (at(2026, 5, 1, 10, 1), at(2026, 5, 1, 10, 2), 60.0), (at(2035, 5, 1, 10, 2), None, 60.0), (at(2025, 5, 1, 10, 3), None, 60.0)],
+        "leap": [(at(2025, 2, 28, 23, 59), None, 60.0), (at(2024, 2, 29), None, 60.0), (at(2024, 2, 29, 0, 1), None, 60.0), (at(2023, 3, 1, 0, 0, 59), None, 9.0)],
+        "edge": [(at(2025, 1, 1), None, 10.0), (at(2025, 1, 1, 0, 0, 12), None, 10.0), (at(2025, 1, 1, 0, 0, 23, 999999), None, 10.0), (None, None, 5.0), (at(2025, 1, 1, 0, 0, 34), None, 1.0)],
+        "year_end": [(at(2024, 12, 31, 23, 59, 59), None, 0.5), (at(2031, 1, 1), None, 4.0)],
+    }
+    rng = random.Random(4)
+    for k in range(6):
+        t, rows = at(2024, 12, 31, 22), []
+        for _ in range(30):
+            d = rng.choice([30.0, 600.0, 3600.0])
+            start = t + dt.timedelta(seconds=rng.choice([0, 1, 1.9, 2, 5000]))
+            year = start.year + rng.choice([0, 0, 0, 1, 7])
+            rows.append((start.replace(year=year), None, d))
+            t = start + dt.timedelta(seconds=d)
+        cameras[f"random{k}"] = rows
+    rows = [(c, f"{i:03}.mp4", s, e, d) for c, clips in cameras.items() for i, (s, e, d) in enumerate(clips)]
+    df = spark.createDataFrame(rows, "camera_id string, path string, start_ts timestamp_ntz, end_ts timestamp_ntz, duration double")
+    got = {(r["camera_id"], r["path"]): (r["group_no"], r["start_ts"], r["end_ts"]) for r in media.group_clips(df).collect()}
+    for c, clips in cameras.items():
+        assert [got[c, f"{i:03}.mp4"] for i in range(len(clips))] == plain_groups(clips), c
