@@ -32,7 +32,7 @@ from .tokens import byte_level, ragged, sentence_pieces, spread, units_of
 #: Counts of so many id pairs (17 bytes each) are sent to every task; beyond, documents' pairs are joined with them.
 BROADCAST_PAIRS = 2_000_000
 #: Linked pairs that a counting task holds before it hands on their sums.
-HELD_PAIRS = 1_000_000
+HELD_PAIRS = 500_000
 ENCODED = "a", "b", "tokens_a", "tokens_b"
 
 
@@ -44,7 +44,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         (memo_a, bytes_a), (memo_b, bytes_b) = byte_level(a_path), sentence_pieces(b_path)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             data, offsets = utf8_buffers(batch.column(1))
             full = np.diff(offsets) > 0
             spaced = np.insert(data, offsets[:-1][full], 0x20)
@@ -229,7 +229,7 @@ def pair_counts(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found, where = np.unique(pairs, return_inverse=True)
             return found, np.bincount(where, weights=n).astype(np.int64)
 
-        for batch in pieces(batches, "a"):
+        for batch in pieces(batches, "a", 1 << 20):
             held.append(np.unique(_Aligned(batch, *sizes).pairs()[1], return_counts=True))
             if sum(len(p) for p, _ in held) > HELD_PAIRS:
                 held[:] = [summed()]
@@ -263,7 +263,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
 
         def run(batches):
             sizes, (pairs, n, best) = _sizes(a_path, b_path), known.value
-            for batch in pieces(batches, "a"):
+            for batch in pieces(batches, "a", 1 << 20):
                 x = _Aligned(batch, *sizes)
                 text, pair, times = x.pairs()
                 at = np.searchsorted(pairs, pair)
@@ -278,12 +278,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
 
     def figures(batches):
         sizes = _sizes(a_path, b_path)
-        for batch in pieces(batches, "a"):
+        for batch in pieces(batches, "a", 1 << 20):
             yield pa.RecordBatch.from_pydict({"row": batch.column(batch.schema.get_field_index("row")), "doc_id": batch.column(0)} | _figures(_Aligned(batch, *sizes)))
 
     def links(batches):
         sizes = _sizes(a_path, b_path)
-        for batch in pieces(batches, "a"):
+        for batch in pieces(batches, "a", 1 << 20):
             text, pair, times = _Aligned(batch, *sizes).pairs()
             yield pa.RecordBatch.from_pydict({"owner": batch.column(batch.schema.get_field_index("row")).take(pa.array(text)), "pair": pa.array(pair), "times": pa.array(times)})
 

@@ -26,8 +26,9 @@ from .common import utf8_buffers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units that a worker remembers for a tokenizer, and the longest of them in bytes: about 100 MB.
-MEMO_UNITS, MEMO_BYTES = 500_000, 48
+#: Units that a worker remembers for a tokenizer (for each, where two are used together), and the longest of them in bytes:
+#: about 100 MB.
+MEMO_UNITS, PAIRED_UNITS, MEMO_BYTES = 500_000, 200_000, 48
 
 #: Bits of a byte: plain solid ASCII; lead of a character of two, three, four bytes that is no white space (0xC2 and 0xE1 to
 #: 0xE3 have some); later byte of a character; ASCII letter.
@@ -66,8 +67,8 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Memo:
     """Encodes columns of texts. encode: distinct units (bytes) to their ids, all below 65,536."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], limit: int = MEMO_UNITS):
+        self.encode, self.limit, self.known = encode, limit, {}
 
     def ids_of_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after the other, number of ids of each)."""
@@ -78,7 +79,7 @@ class Memo:
             part = fresh[lo : lo + 20_000]
             more.update((u, np.asarray(x, np.uint16).tobytes()) for u, x in zip(part, self.encode(part), strict=True))
         found = [known[u] if u in known else more[u] for u in units]
-        if len(known) < MEMO_UNITS:
+        if len(known) < self.limit:
             known.update((u, x) for u, x in more.items() if len(u) <= MEMO_BYTES)
         return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
 
@@ -161,7 +162,7 @@ def byte_level(path: str) -> tuple[Memo, list[bytes]]:
     tokenizer.encode_special_tokens = True
     value = {c: b for b, c in enumerate(_byte_alphabet())}
     decoded = [bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t in map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))]
-    return Memo(_encoder(tokenizer, folds=False)), decoded
+    return Memo(_encoder(tokenizer, folds=False), PAIRED_UNITS), decoded
 
 
 @lru_cache(maxsize=4)
@@ -181,4 +182,4 @@ def sentence_pieces(path: str) -> tuple[Memo, list[bytes]]:
         found = model.encode([u[1:].decode() if u[:1] == b" " else "\n" + u.decode() for u in units], num_threads=1)
         return [x if u[:1] == b" " else x[len(lead) :] for u, x in zip(units, found, strict=True)]
 
-    return Memo(encode), decoded
+    return Memo(encode, PAIRED_UNITS), decoded
