@@ -201,3 +201,30 @@ def test_fit_equals_the_counts_where_patterns_allow_it():
     for n, p in zip(fit, patterns, strict=True):
         np.add.at(got, p[p > 0], n)
     assert (fit >= 0).all() and np.abs(got - counts).max() < 1e-4
+
+
+def test_shared_folder_where_no_setting_names_one(spark):
+    """A session without spark.checkpoint.dir: the context's folder, set once on one machine; an error on a cluster."""
+    from apexframe.llm.common import shared_dir
+
+    class Unset:
+        def __init__(self, master, known):
+            self.master, self.known, self.sparkContext, self.conf = master, known, self, self
+            self._jvm, self._jsc = spark._jvm, spark.sparkContext._jsc
+            self._jsc = type("J", (), {"sc": lambda _: self, "hadoopConfiguration": lambda _: spark._jsc.hadoopConfiguration()})()
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            known = self.known
+            return type("O", (), {"isDefined": lambda _: known is not None, "get": lambda _: known})()
+
+        def setCheckpointDir(self, path):
+            self.known = path
+
+    assert shared_dir(Unset("yarn", "file:/tmp/given"), "x").startswith("file:/tmp/given/apexframe/x-")
+    local = Unset("local[2]", None)
+    assert "/apexframe-checkpoints-" in shared_dir(local, "x") and "/apexframe-checkpoints-" in local.known
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unset("yarn", None), "x")
