@@ -111,3 +111,40 @@ def page(rows: DataFrame, target: DataFrame, size: int, key: str = KEY, order: s
     rank = F.coalesce(F.max(F.when(F.col(order) == F.col("_at"), F.col("_rn"))).over(w), F.lit(1))
     first = F.greatest(F.lit(1), F.least(rank - size // 2, F.col("_n") - size + 1))
     return at.withColumn("_first", first).where((F.col("_rn") >= F.col("_first")) & (F.col("_rn") < F.col("_first") + size)).drop("_rn", "_n", "_at", "_first")
+
+
+def align_laps(computed: DataFrame, stated: DataFrame, tolerance: float = 1.0, key: str = KEY) -> DataFrame:
+    """Two lists of laps (session, lap, duration) side by side: (session, lap, stated_lap, duration, stated_s, diff, status).
+
+    The alignment keeps both orders and has the least cost: two laps cost the difference of their durations, which may be
+    tolerance at most, and a lap that only one list has costs tolerance. Of equal costs a pair comes first, then a lap that
+    only the computed list has. status: match, extra (computed only) or missing (stated only). Laps without a duration are
+    left out; a session of one list only has all its laps as extra or missing. A session's laps (tens) are one row, and the
+    table of costs is folded row by row.
+    """
+    listed = lambda df, name: df.where(F.col("duration").isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("lap").cast("int").alias("lap"), F.col("duration").cast("double").alias("s")))).alias(name))
+    empty = F.array().cast("array<struct<lap:int,s:double>>")
+    both = listed(computed, "_a").join(listed(stated, "_b"), key, "full").select(key, F.coalesce("_a", empty).alias("_a"), F.coalesce("_b", empty).alias("_b"))
+    lap = "struct<lap:int,s:double>"
+    none, gap = F.lit(None).cast(lap), F.lit(float(tolerance))
+    start = F.struct(F.lit(0.0).alias("cost"), F.array().cast(f"array<struct<a:{lap},b:{lap}>>").alias("path"))
+
+    def then(cell, cost, a, b):
+        return F.struct((cell["cost"] + cost).alias("cost"), F.concat(cell["path"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("path"))
+
+    first = F.aggregate("_b", F.array(start), lambda row, b: F.concat(row, F.array(then(F.element_at(row, -1), gap, none, b))))
+
+    def next_row(above, a):
+        def cell(row, b):
+            at = F.size(row)  # of the stated laps before b
+            off = F.abs(a["s"] - b["s"])
+            pair, extra, missing = then(F.element_at(above, at), off, a, b), then(F.element_at(above, at + 1), gap, a, none), then(F.element_at(row, -1), gap, none, b)
+            fits = (off <= gap) & (pair["cost"] <= extra["cost"]) & (pair["cost"] <= missing["cost"])
+            return F.concat(row, F.array(F.when(fits, pair).when(extra["cost"] <= missing["cost"], extra).otherwise(missing)))
+
+        return F.aggregate("_b", F.array(then(F.element_at(above, 1), gap, a, none)), cell)
+
+    path = F.element_at(F.aggregate("_a", first, next_row), -1)["path"]
+    rows = both.select(key, F.explode(path).alias("_p"))
+    status = F.when(F.col("_p.b").isNull(), "extra").when(F.col("_p.a").isNull(), "missing").otherwise("match")
+    return rows.select(key, F.col("_p.a.lap").alias("lap"), F.col("_p.b.lap").alias("stated_lap"), F.col("_p.a.s").alias("duration"), F.col("_p.b.s").alias("stated_s"), (F.col("_p.a.s") - F.col("_p.b.s")).alias("diff"), status.alias("status"))

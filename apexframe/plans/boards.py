@@ -55,3 +55,21 @@ def beacon_report(beacons: DataFrame, details: DataFrame) -> DataFrame:
     agrees = (F.col("total_laps") == F.col("_n")) & (F.col("fastest_lap") == F.col("_k")) & (F.abs(cut - F.col("_s")) < 1e-6)
     return found.join(stated, "path", "left").select("path", "total_laps", "fastest_lap", "fastest_s", agrees.alias("agrees"))
 
+
+
+def session_report(durations: DataFrame, stated: DataFrame, tolerance: float = 1.0, key: str = "session_id") -> tuple[DataFrame, DataFrame]:
+    """Computed laps against a device's own (beacons or its lap summary): laps with their status, and a row a session.
+
+    durations: laps.lap_durations; stated: (session, lap, duration). The session's row: numbers of matched, extra and missing
+    laps, the computed and the stated best lap, and whether both lists agree (all laps matched and the best ones paired).
+    """
+    lined = laps.align_laps(durations.where("completed"), stated, tolerance, key)
+    count = lambda kind: F.count_if(F.col("status") == kind).cast("int").alias(kind)
+    told = lined.groupBy(key).agg(
+        count("match"), count("extra"), count("missing"), F.min(F.struct(F.col("duration").isNull(), "duration", "lap")).alias("_c"),
+        F.min(F.struct(F.col("stated_s").isNull(), "stated_s", "stated_lap")).alias("_s"), F.max(F.abs("diff")).alias("max_diff"))
+    best = lined.where("status = 'match'").select(key, F.col("lap").alias("_lap"), F.col("stated_lap").alias("_stated"), F.lit(True).alias("_paired"))
+    told = told.select(key, "match", "extra", "missing", F.col("_c.lap").alias("best_lap"), F.col("_c.duration").alias("best_s"), F.col("_s.stated_lap").alias("stated_best_lap"), F.col("_s.stated_s").alias("stated_best_s"), "max_diff")
+    joined = told.join(best.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("best_lap") == F.col("_lap")) & (F.col("stated_best_lap") == F.col("_stated")), "left")
+    agrees = (F.col("extra") == 0) & (F.col("missing") == 0) & F.coalesce("_paired", F.lit(False))
+    return lined, joined.withColumn("agrees", agrees).drop("_k", "_lap", "_stated", "_paired")

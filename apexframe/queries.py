@@ -640,3 +640,15 @@ def frame_table(spark, sf):
         "session_id", "frame", F.round("t", 6).alias("t"), "lap", "lap_label", F.round("lap_time", 2).alias("lap_time"), F.round("delta", 1).alias("delta"),
         F.when(F.abs("delta") <= 0.005, "even").otherwise(F.col("delta_class")).alias("delta_class"), F.round("gps_speed", 3).alias("gps_speed"), F.round("rpm", 3).alias("rpm"),
         F.round("speed_ratio", 4).alias("speed_ratio"), "speed_zone", F.round("nx", 4).alias("nx"), F.round("ny", 4).alias("ny"))
+
+
+@query(f"""WITH {LAPPED} SELECT session_id, lap, CASE WHEN lap % 7 <> 3 THEN lap ELSE -1 END::INT AS stated_lap, round(duration, 2) AS duration, CASE WHEN lap % 7 = 3 THEN 'extra' ELSE 'match' END AS status FROM ld WHERE completed
+UNION ALL SELECT DISTINCT session_id, -1, 9999, NULL, 'missing' FROM ld WHERE completed""")
+def lap_reconciliation(spark, sf):
+    """Laps against a device's list that lacks every seventh lap, states times a millisecond short and has a lap of its own."""
+    durations = laps.lap_durations(*_crossed(spark, sf))
+    done = durations.where("completed")
+    stated = done.where("lap % 7 <> 3").select("session_id", "lap", (F.col("duration") - 0.001).alias("duration"))
+    stated = stated.unionByName(done.select("session_id", F.lit(9999).alias("lap"), F.lit(1e7).alias("duration")).distinct())
+    of = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return boards.session_report(durations, stated, 0.5)[0].select("session_id", of("lap"), of("stated_lap"), F.round("duration", 2).alias("duration"), "status")

@@ -387,3 +387,36 @@ def test_clip_groups_over_new_year_leap_days_and_misread_years(spark):
     got = {(r["camera_id"], r["path"]): (r["group_no"], r["start_ts"], r["end_ts"]) for r in media.group_clips(df).collect()}
     for c, clips in cameras.items():
         assert [got[c, f"{i:03}.mp4"] for i in range(len(clips))] == plain_groups(clips), c
+
+
+def plain_alignment(a, b, tolerance):
+    """Least cost by the recurrence over all prefixes."""
+    cost = [[(i + j) * tolerance if not i or not j else None for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            off = abs(a[i - 1] - b[j - 1])
+            cost[i][j] = min([cost[i - 1][j] + tolerance, cost[i][j - 1] + tolerance, *([cost[i - 1][j - 1] + off] if off <= tolerance else [])])
+    return cost[-1][-1]
+
+
+def test_lap_lists_side_by_side(spark):
+    rng = random.Random(8)
+    lists = {0: ([60.1, 55.2, 58.3, 57.0], [60.1, 58.31, 57.0]), 1: ([61.0], []), 2: ([], [62.0, 63.0]), 3: ([50.0, 51.0], [50.0, 49.0, 51.0]), 4: ([60.0, 60.0], [60.0, 60.0])}
+    for k in range(5, 17):
+        a = [round(rng.uniform(50, 54), 2) for _ in range(rng.randrange(1, 9))]
+        b = [x + rng.choice([0, 0, 0.01, -0.3]) for x in a if rng.random() > 0.2]
+        lists[k] = a, b + ([rng.uniform(50, 54)] if rng.random() > 0.5 else [])
+    frame = lambda side: spark.createDataFrame([(k, i + 1, x) for k, v in lists.items() for i, x in enumerate(v[side])] + [(99, 1, None)], "session_id long, lap int, duration double")
+    lined, report = boards.session_report(frame(0).withColumn("completed", F.lit(True)), frame(1))
+    rows = {}
+    for r in lined.collect():
+        rows.setdefault(r["session_id"], []).append(r)
+    assert set(rows) == set(lists)
+    for k, (a, b) in lists.items():
+        assert sorted(r["lap"] for r in rows[k] if r["lap"]) == list(range(1, len(a) + 1)) and sorted(r["stated_lap"] for r in rows[k] if r["stated_lap"]) == list(range(1, len(b) + 1))
+        pairs = sorted((r["lap"], r["stated_lap"]) for r in rows[k] if r["status"] == "match")
+        assert pairs == sorted(pairs, key=lambda p: p[1]) and all(abs(a[i - 1] - b[j - 1]) <= 1 for i, j in pairs)
+        assert sum(abs(r["diff"]) if r["status"] == "match" else 1.0 for r in rows[k]) == pytest.approx(plain_alignment(a, b, 1.0))
+    told = {r["session_id"]: r for r in report.collect()}
+    assert (told[0]["match"], told[0]["extra"], told[0]["missing"], told[0]["best_lap"], told[0]["agrees"]) == (3, 1, 0, 2, False)  # a dropped beacon
+    assert (told[3]["missing"], told[3]["agrees"]) == (1, False) and told[4]["agrees"] and not told[1]["agrees"]
