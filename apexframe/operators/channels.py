@@ -58,15 +58,19 @@ TRANSFORMS = [
 
 
 def alias_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(raw_lower, standard_name, unit); from a user's JSON mapping (standard_channels) where path is given."""
+    """(raw_lower, standard_name, unit); from a user's JSON mapping (standard_channels) where path is given.
+
+    One row an alias, without case: where a mapping names an alias more than once, its last place counts.
+    """
     if path is None:
         rows = [(a.lower(), name, unit) for name, unit, aliases in CHANNELS for a in aliases]
         return spark.createDataFrame(rows, "raw_lower string, standard_name string, unit string").dropDuplicates(["raw_lower"])
     doc = spark.read.text(path, wholetext=True)
     channels = F.from_json(F.get_json_object("value", "$.standard_channels"), "map<string, struct<standard_name: string, unit: string, aliases: array<string>>>")
-    one = doc.select(F.explode(F.map_entries(channels)).alias("e")).select("e.value.*")
-    rows = one.select(F.explode("aliases").alias("raw"), "standard_name", F.coalesce("unit", F.lit("")).alias("unit"))
-    return rows.select(F.lower("raw").alias("raw_lower"), "standard_name", "unit")
+    one = doc.select(F.posexplode(F.map_entries(channels)).alias("place", "e")).select("place", "e.value.*")
+    rows = one.select("place", F.explode("aliases").alias("raw"), "standard_name", F.coalesce("unit", F.lit("")).alias("unit")).where("raw IS NOT NULL")
+    last = F.max_by(F.struct("standard_name", "unit"), "place").alias("s")
+    return rows.groupBy(F.lower("raw").alias("raw_lower")).agg(last).select("raw_lower", "s.*")
 
 
 def transform_table(spark: SparkSession, path: str | None = None) -> DataFrame:

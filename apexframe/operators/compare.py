@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .timebase import KEY, by_time, latest
@@ -60,6 +62,62 @@ def quadratic_fit(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame
     return s.select(*keys, "n", (F.col("_c0") - F.col("_c1") * m + F.col("_c2") * m * m).alias("c"), (F.col("_c1") - 2 * F.col("_c2") * m).alias("b"), F.col("_c2").alias("a"), (1 - F.try_divide(residual, total)).alias("r2"))
 
 
+def polynomial_fit(rows: DataFrame, x: str, y: str, keys: list[str], order: int = 2) -> DataFrame:
+    """Least squares of y on the powers of x up to order, per group (no keys: all rows as one).
+
+    (keys, n, coefs, centre, scale, scaled, r2): coefs by rising power of x; scaled by rising power of (x - centre) / scale,
+    which stays exact where x is large (engine speeds); r2 null where y is constant. All coefficients are null where the
+    x values are too few or too alike for the order. Null and non-finite rows are left out. A null key is a group.
+
+    Two aggregations that combine before their shuffles: centre and scale, then the power sums of the scaled values, whose
+    normal equations are solved by square-root-free Cholesky factors in columns.
+    """
+    if order < 1:
+        raise ValueError("order has to be at least 1")
+    keys, given = keys or ["_all"], keys
+    rows = rows if given else rows.withColumn("_all", F.lit(0))
+    finite = (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf"))
+    valid = rows.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(finite)
+    centres = valid.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.avg("_x").alias("_m"), F.avg("_y").alias("_w"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    reach = F.greatest(F.col("_hi") - F.col("_m"), F.col("_m") - F.col("_lo"))
+    centres = centres.withColumn("_h", F.when(reach > 0, reach).otherwise(1.0)).drop("_lo", "_hi")
+    same = [valid[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    u, v = (F.col("_x") - F.col("_m")) / F.col("_h"), F.col("_y") - F.col("_w")
+    powers = [F.lit(1.0)]
+    for _ in range(2 * order):
+        powers.append(powers[-1] * u)
+    s = valid.join(centres, same).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.first("_m").alias("_m"), F.first("_w").alias("_w"), F.first("_h").alias("_h"), F.sum(v * v).alias("_vv"),
+        *(F.sum(p).alias(f"_s{j}") for j, p in enumerate(powers)), *(F.sum(p * v).alias(f"_t{j}") for j, p in enumerate(powers[: order + 1])))
+
+    size = range(order + 1)
+    total = lambda terms: sum(terms, F.lit(0.0))
+    for j in size:  # factors: s = l d l'
+        pivot = F.col(f"_s{2 * j}") - total(F.col(f"_l{j}_{p}") ** 2 * F.col(f"_d{p}") for p in range(j))
+        s = s.withColumn(f"_d{j}", F.when(pivot > 1e-12 * F.col(f"_s{2 * j}"), pivot))
+        s = s.withColumns({f"_l{i}_{j}": (F.col(f"_s{i + j}") - total(F.col(f"_l{i}_{p}") * F.col(f"_l{j}_{p}") * F.col(f"_d{p}") for p in range(j))) / F.col(f"_d{j}") for i in size if i > j})
+    for j in size:
+        s = s.withColumn(f"_z{j}", F.col(f"_t{j}") - total(F.col(f"_l{j}_{p}") * F.col(f"_z{p}") for p in range(j)))
+    for j in reversed(size):
+        s = s.withColumn(f"_c{j}", F.col(f"_z{j}") / F.col(f"_d{j}") - total(F.col(f"_l{p}_{j}") * F.col(f"_c{p}") for p in size if p > j))
+    residual = F.col("_vv") - total(F.col(f"_z{j}") ** 2 / F.col(f"_d{j}") for j in size)
+    whole = F.col("_vv") - F.col("_t0") ** 2 / F.col("n")
+
+    # the factors hold null where a pivot vanishes: then no coefficient counts
+    solved = F.col(f"_d{order}").isNotNull()
+    scaled = [F.col(f"_c{j}") + (F.col("_w") if j == 0 else 0.0) for j in size]
+    shift = -F.col("_m") / F.col("_h")  # (x - m) / h = x / h + shift
+    plain = [total(scaled[j] * comb(j, i) * F.pow(shift, F.lit(j - i)) for j in size if j >= i) / F.pow("_h", F.lit(i)) for i in size]
+    out = s.select(*keys, "n", F.when(solved, F.array(*plain)).alias("coefs"), F.col("_m").alias("centre"), F.col("_h").alias("scale"),
+        F.when(solved, F.array(*scaled)).alias("scaled"), F.when(solved & (F.col("_vv") > 0), 1 - F.try_divide(residual, whole)).alias("r2"))
+    return out if given else out.drop("_all")
+
+
+def polynomial_value(coefs: Column, x: Column) -> Column:
+    """The polynomial with coefficients by rising power at x; null where either is."""
+    return F.when(coefs.isNotNull(), F.aggregate(F.reverse(coefs), F.lit(0.0), lambda a, c: a * x + c))
+
+
 def integrate(samples: DataFrame, value: str, keys: list[str], key: str = KEY) -> DataFrame:
     """(keys, integral): value times the time to the sample before, summed."""
     step = F.coalesce(F.col("t") - F.lag("t").over(by_time(key)), F.lit(0.0))

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .shapefile import ShapefileSource
 
 SCHEMA = "track_id string, layer string, part_id int, pt_idx int, x double, y double, crs string"
 
 
 def read_track_points(spark: SparkSession, paths: str, form: str = "csv") -> DataFrame:
-    """track_points from CSV (with header) or Parquet."""
+    """track_points from CSV (with header), Parquet or a folder of shapefiles (form "shapefile")."""
+    if form == "shapefile":
+        spark.dataSource.register(ShapefileSource)
+        return number_parts(spark.read.format("shapefile").load(paths))
     reader = spark.read.schema(SCHEMA)
     return reader.option("header", True).csv(paths) if form == "csv" else reader.parquet(paths)
 
 
+def number_parts(points: DataFrame) -> DataFrame:
+    """(track_id, layer, record, part, ...) to track_points: the parts of a layer count on through its records.
+
+    Only the first point of each part passes the window.
+    """
+    key = ["track_id", "layer", "record", "part"]
+    order = W.partitionBy("track_id", "layer").orderBy("record", "part")
+    ids = points.where("pt_idx = 0").select(*key, (F.row_number().over(order) - 1).alias("part_id"))
+    return points.join(ids, key).select("track_id", "layer", "part_id", "pt_idx", "x", "y", "crs")
+
+
 def parse_linestrings(rows: DataFrame) -> DataFrame:
     """(track_id, layer, crs, wkt) with LINESTRING or MULTILINESTRING text to track_points."""
     parts = rows.select("track_id", "layer", "crs", F.posexplode(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("part_id", "part"))

@@ -4,7 +4,9 @@ import datetime as dt
 import math
 import os
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,3 +422,120 @@ def test_lap_lists_side_by_side(spark):
     told = {r["session_id"]: r for r in report.collect()}
     assert (told[0]["match"], told[0]["extra"], told[0]["missing"], told[0]["best_lap"], told[0]["agrees"]) == (3, 1, 0, 2, False)  # a dropped beacon
     assert (told[3]["missing"], told[3]["agrees"]) == (1, False) and told[4]["agrees"] and not told[1]["agrees"]
+
+
+def test_polynomial_fit_of_orders_one_to_four_against_numpy(spark):
+    rng = random.Random(5)
+    rows = [(g, 15000 + rng.uniform(-800, 800), rng.gauss(0, 1)) for g in ("a", None) for _ in range(400)]
+    rows = [(g, x, 3 + 2e-3 * x - 4e-7 * (x - 15000) ** 2 + 1e-9 * (x - 15000) ** 3 + e) for g, x, e in rows]
+    junk = [("a", None, 1.0), ("a", 1.0, None), ("a", float("nan"), 1.0), ("a", 1.0, float("inf"))]
+    df = spark.createDataFrame(rows + junk, "g string, x double, y double")
+    for order in (1, 2, 3, 4):
+        fits = {r["g"]: r for r in compare.polynomial_fit(df, "x", "y", ["g"], order).collect()}
+        assert set(fits) == {"a", None}
+        for g, fit in fits.items():
+            x, y = (np.array(c) for c in zip(*((x, y) for k, x, y in rows if k == g), strict=True))
+            u = (x - fit["centre"]) / fit["scale"]
+            want = np.polynomial.polynomial.polyfit(u, y, order)
+            assert fit["n"] == 400 and fit["scaled"] == pytest.approx(want, rel=1e-8, abs=1e-9)
+            got = np.polynomial.polynomial.polyval(x, np.array(fit["coefs"]))
+            assert got == pytest.approx(np.polynomial.polynomial.polyval(u, want), abs=1e-4)
+            assert fit["r2"] == pytest.approx(1 - ((y - np.polynomial.polynomial.polyval(u, want)) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+
+
+def test_polynomial_fit_without_a_solution_keys_or_rows(spark):
+    df = spark.createDataFrame([("two", 1.0, 1.0), ("two", 2.0, 3.0), ("two", 2.0, 3.0), ("one", 5.0, 1.0), ("flat", 0.0, 2.0), ("flat", 1.0, 2.0)], "g string, x double, y double")
+    line = {r["g"]: r for r in compare.polynomial_fit(df, "x", "y", ["g"], 1).collect()}
+    assert line["two"]["coefs"] == pytest.approx([-1, 2]) and line["two"]["r2"] == pytest.approx(1)
+    assert line["one"]["coefs"] is None and line["one"]["r2"] is None and line["one"]["n"] == 1
+    assert line["flat"]["coefs"] == pytest.approx([2, 0]) and line["flat"]["r2"] is None
+    assert {r["coefs"] for r in compare.polynomial_fit(df, "x", "y", ["g"], 2).collect()} == {None}
+    whole = compare.polynomial_fit(df, "x", "y", [], 2)
+    assert whole.columns == ["n", "coefs", "centre", "scale", "scaled", "r2"] and whole.first()["n"] == 6
+    at = df.crossJoin(whole.select("coefs")).select(compare.polynomial_value(F.col("coefs"), F.col("x")).alias("v"))
+    want = np.polynomial.polynomial.polyfit([1, 2, 2, 5, 0, 1], [1, 3, 3, 1, 2, 2], 2)
+    assert sorted(r["v"] for r in at.collect()) == pytest.approx(sorted(np.polynomial.polynomial.polyval([1, 2, 2, 5, 0, 1], want)))
+    assert compare.polynomial_fit(df.where("false"), "x", "y", ["g"], 3).count() == 0
+    with pytest.raises(ValueError):
+        compare.polynomial_fit(df, "x", "y", ["g"], 0)
+
+
+def test_user_mapping_names_an_alias_once(spark, tmp_path):
+    (tmp_path / "map.json").write_text('''{"standard_channels": {
+        "a": {"standard_name": "Speed", "unit": "km/h", "aliases": ["V", "speed", null]}, "b": {"standard_name": "Pace", "aliases": ["SPEED", "speed"]}},
+        "transformations": {"alfano": {"V": {"scale": 0.5, "auto_center": true}, "bad": 3}}}''')
+    table = channels.alias_table(spark, str(tmp_path / "map.json"))
+    assert {tuple(r) for r in table.collect()} == {("v", "Speed", "km/h"), ("speed", "Pace", "")}
+    raw = spark.createDataFrame([("s", k, 0, "Speed", 1.0) for k in range(10)], "session_id string, seq long, col_idx int, channel string, value double")
+    assert channels.normalise_long(raw, table).count() == 10
+    assert [tuple(r) for r in channels.transform_table(spark, str(tmp_path / "map.json")).collect()] == [("alfano", "V", 0.5, 0.0, True)]
+
+
+GEO, WEB = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]', 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984"]]'
+
+
+def shapefile(folder, layer, records, prj=None, kind=3, index=True, order=None):
+    """Writes .shp and .shx byte by byte; records are lists of parts of points, None a null shape."""
+    folder.mkdir(parents=True, exist_ok=True)
+    shp, shx = b"", {}
+    for k in order or range(len(records)):
+        parts = records[k]
+        if parts is None:
+            content = struct.pack("<i", 0)
+        elif kind == 1:
+            content = struct.pack("<i2d", 1, *parts)
+        else:
+            pts = [p for part in parts for p in part]
+            starts = [sum(len(q) for q in parts[:i]) for i in range(len(parts))]
+            content = struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(parts), len(pts)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
+            if kind in (13, 23):
+                content += struct.pack(f"<{2 + len(pts)}d", *[7.0] * (2 + len(pts)))
+        shx[k] = struct.pack(">2i", (100 + len(shp)) // 2, len(content) // 2)
+        shp += struct.pack(">2i", k + 1, len(content) // 2) + content
+    head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, n // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8)
+    (folder / f"{layer}.shp").write_bytes(head(100 + len(shp)) + shp)
+    if index:
+        (folder / f"{layer}.shx").write_bytes(head(100 + 8 * len(shx)) + b"".join(shx[k] for k in range(len(records))))
+    if prj:
+        (folder / f"{layer}.prj").write_text(prj)
+
+
+def test_shapefiles_give_the_parts_of_all_records(spark, tmp_path):
+    lines = [[[(0, 0), (1, 0)], [(2, 2), (3, 3), (4, 5)]], None, [[(9, 9), (8, 8)], [], [(7, 7), (6, 6)]]]
+    shapefile(tmp_path / "Rim" / "centerline", "centerline", lines, WEB)
+    shapefile(tmp_path / "Rim" / "start-finish-line", "start-finish-line", [[[(44, 41), (44.5, 41)], [(1, 1), (2, 2)]], [[(3, 3), (4, 4)]]], GEO)
+    shapefile(tmp_path / "Bare", "centerline", lines, kind=13, index=False)
+    shapefile(tmp_path / "Rim" / "posts", "posts", [(1.0, 2.0)], GEO, kind=1)
+    pts = tracks.read_track_points(spark, str(tmp_path), "shapefile")
+    assert pts.columns == ["track_id", "layer", "part_id", "pt_idx", "x", "y", "crs"]
+    flat = [part for shape in lines if shape for part in shape if part]
+    for track_id, crs in (("Rim", "EPSG:3857"), ("Bare", None)):
+        got = pts.where(F.col("track_id").eqNullSafe(track_id) & (F.col("layer") == "centerline")).orderBy("part_id", "pt_idx").collect()
+        assert [(r["part_id"], r["pt_idx"], r["x"], r["y"], r["crs"]) for r in got] == [(i, j, *p, crs) for i, part in enumerate(flat) for j, p in enumerate(part)]
+    assert pts.where("layer = 'posts'").count() == 0
+    line = tracks.start_finish(tracks.to_mercator(pts)).orderBy("pt_idx").collect()
+    assert [r["x"] for r in line] == pytest.approx([44 * 6378137 * math.pi / 180, 44.5 * 6378137 * math.pi / 180])
+    one = tracks.read_track_points(spark, str(tmp_path / "Rim" / "centerline" / "centerline.shp"), "shapefile")
+    assert one.count() == 9 and one.select("layer").distinct().count() == 1
+
+
+def test_shapefiles_are_read_by_ranges_of_records(spark, tmp_path):
+    many = [[[(k, j) for j in range(20)]] for k in range(500)]
+    shapefile(tmp_path / "T", "centerline", many, GEO, order=[*range(1, 500, 2), *range(0, 500, 2)])
+    tracks.read_track_points(spark, str(tmp_path), "shapefile")
+    rows = spark.read.format("shapefile").option("pieceBytes", 20_000).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 8
+    assert {(r["record"], r["pt_idx"], r["x"], r["y"]) for r in rows.collect()} == {(k, j, float(k), float(j)) for k in range(500) for j in range(20)}
+
+
+def test_shapefiles_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert tracks.read_track_points(spark, str(tmp_path / "none"), "shapefile").count() == 0
+    shapefile(tmp_path / "utm", "centerline", [[[(0, 0), (1, 1)]]], 'PROJCS["WGS_1984_UTM_Zone_38N",GEOGCS["GCS_WGS_1984"]]')
+    with pytest.raises(Exception, match="UTM_Zone_38N"):
+        tracks.read_track_points(spark, str(tmp_path / "utm"), "shapefile").collect()
+    shapefile(tmp_path / "cut", "centerline", [[[(0, 0), (1, 1)]]])
+    whole = (tmp_path / "cut" / "centerline.shp").read_bytes()
+    (tmp_path / "cut" / "centerline.shp").write_bytes(whole[:-8])
+    with pytest.raises(Exception, match="record 0 ends beyond the file"):
+        tracks.read_track_points(spark, str(tmp_path / "cut"), "shapefile").collect()
