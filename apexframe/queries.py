@@ -367,12 +367,12 @@ w AS (SELECT u.*, p1 ** 2 - b0 - b1 * p1 AS p2 FROM u JOIN a2 USING (g)),
 a3 AS (SELECT g, avg(p1 ** 3) AS c0, sum(p1 ** 4) / sum(p1 ** 2) AS c1, sum(p1 ** 3 * p2) / sum(p2 ** 2) AS c2 FROM w GROUP BY 1),
 q AS (SELECT w.*, p1 ** 3 - c0 - c1 * p1 - c2 * p2 AS p3 FROM w JOIN a3 USING (g)),
 f AS (SELECT g, count(*) AS n, sum(v * v) AS vv, sum(v * p1) ** 2 / sum(p1 ** 2) AS e1, sum(v * p2) ** 2 / sum(p2 ** 2) AS e2, sum(v * p3) ** 2 / sum(p3 ** 2) AS e3, sum(v * p3) / sum(p3 ** 2) / any_value(sx) ** 3 AS top FROM q GROUP BY 1)
-SELECT g, n, round(e1 / vv, 6) AS r2_1, round((e1 + e2) / vv, 6) AS r2_2, round((e1 + e2 + e3) / vv, 6) AS r2_3, round(top * 1e12, 3) AS top FROM f""")
+SELECT g, n, round(e1 / vv, 6) AS r2_1, round((e1 + e2) / vv, 6) AS r2_2, round((e1 + e2 + e3) / vv, 6) AS r2_3, round(top * 1e18, 1) AS top FROM f""")
 def polynomial_orders(spark, sf):
     """How much of the quantity straight, quadratic and cubic fits on the price explain, per supplier."""
     rows = _read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), "l_extendedprice", "l_quantity")
     fits = [compare.polynomial_fit(rows, "l_extendedprice", "l_quantity", ["g"], k) for k in (1, 2, 3)]
-    one, two, three = (f.select("g", "n", F.round("r2", 6).alias(f"r2_{k}"), F.round(F.col("coefs")[k] * 1e12, 3).alias("top")) for k, f in enumerate(fits, 1))
+    one, two, three = (f.select("g", "n", F.round("r2", 6).alias(f"r2_{k}"), F.round(F.col("coefs")[k] * 1e18, 1).alias("top")) for k, f in enumerate(fits, 1))
     return three.join(one.select("g", "r2_1"), "g").join(two.select("g", "r2_2"), "g").select("g", "n", "r2_1", "r2_2", "r2_3", "top")
 
 
