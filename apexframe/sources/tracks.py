@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import ship
 from .shapefile import ShapefileSource
 
 SCHEMA = "track_id string, layer string, part_id int, pt_idx int, x double, y double, crs string"
@@ -15,6 +16,7 @@ SCHEMA = "track_id string, layer string, part_id int, pt_idx int, x double, y do
 def read_track_points(spark: SparkSession, paths: str, form: str = "csv") -> DataFrame:
     """track_points from CSV (with header), Parquet or a folder of shapefiles (form "shapefile")."""
     if form == "shapefile":
+        ship(spark)  # the tasks import the data source
         spark.dataSource.register(ShapefileSource)
         return number_parts(spark.read.format("shapefile").load(paths))
     reader = spark.read.schema(SCHEMA)
