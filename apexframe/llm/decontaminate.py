@@ -14,31 +14,38 @@ window of w shingles and an item of n reach 0.8 only if 4/9 (w + n) of the windo
 of an item's own length, at every position, that holds so many is verified as well. This bound drops nothing that reaches
 0.8, so the pairs and their best places are complete.
 
-Items go to the tasks in slices of at most SLICE_ITEMS items and SLICE_BYTES bytes, one pass over the documents for each,
-so what is broadcast has a bound whatever the benchmark's size.
+The index of the items is made in tasks and kept as Parquet in the shared folder, in slices of at most SLICE_ITEMS items and
+SLICE_BYTES bytes of text (or one longer item). Documents are read once: a task that holds a piece of them goes through the
+slices one after the other, so it holds one slice at a time and nothing is broadcast, whatever the benchmark's size.
 
 Defined results: null, empty and blank texts match nothing, on either side; texts with fewer than five words have one
-shingle, the whole sequence; repeated rows of either table give repeated rows; equal doc_ids are not merged; ties of
-places go to the first; empty tables give an empty result; other columns are not read.
+shingle, the whole sequence; repeated rows of either table give repeated rows (repeated items are indexed once, with their
+number); equal doc_ids are not merged; ties of places go to the first; items and documents may have any length; empty tables
+give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import pickle
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, pieces, shingle_hashes, table, word_hashes
+from .common import U64, pieces, shared_dir, shingle_hashes, table, word_hashes
+from .warc import _file_system
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, CLASS_RATIO, STEPS = 15, 4, 1.12, 8
 SLICE_ITEMS, SLICE_BYTES = 1024, 4 << 20
 SEGMENT = 1 << 15
+PIECE, PIECE_OF_MANY = 1 << 20, 4 << 20  # bytes of documents that meet the slices at once: of one slice, of several
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, words long"
+INDEX = "slice string, item_id long, copies long, shingles long, print long, values array<long>, counts array<long>"
 
 
 def shingle_runs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,24 +66,53 @@ def shingle_runs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    return np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(ones: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHashes of windows from how many of their shingles have each bit."""
+    return np.packbits(ones > (sizes // 2).astype(ones.dtype)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _long_simhashes(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHashes of few and long windows: running sums are kept at their borders only."""
+    borders = np.unique(np.concatenate((starts, ends)))
+    sums, total = np.zeros((len(borders), 64), np.int64), np.zeros(64, np.int64)
+    for lo in range(0, len(shingles), SEGMENT):
+        run = np.cumsum(_bits(shingles[lo : lo + SEGMENT]), axis=0, dtype=np.int64)
+        i, j = np.searchsorted(borders, (lo, lo + len(run)), side="right")
+        sums[i:j] = total + run[borders[i:j] - lo - 1]
+        total += run[-1]
+    return _majority(sums[np.searchsorted(borders, ends)] - sums[np.searchsorted(borders, starts)], ends - starts)
+
+
 def simhashes(shingles: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """SimHashes of lists of windows (starts, ends) of the shingle sequence, each list in order of its starts.
 
-    Running sums of the shingles' bits are built once for each segment of the sequence and serve all lists.
+    Running sums of the shingles' bits are built once for each segment of the sequence and serve all lists; windows longer
+    than a segment have a pass of their own.
     """
     out = [np.empty(len(starts), np.uint64) for starts, _ in windows]
-    reach = max((int((ends - starts).max()) for starts, ends in windows if len(starts)), default=0)
+    short = [np.flatnonzero(ends - starts <= SEGMENT) for starts, ends in windows]
+    brief = [(starts[at], ends[at]) for at, (starts, ends) in zip(short, windows, strict=True)]
+    reach = max((int((ends - starts).max()) for starts, ends in brief if len(starts)), default=0)
     wide = np.uint8 if reach < 256 else np.uint32  # sums may wrap: only differences count
     for lo in range(0, len(shingles), SEGMENT):
-        bits = np.unpackbits(shingles[lo : lo + SEGMENT + reach].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        parts = [np.searchsorted(starts, (lo, lo + SEGMENT)) for starts, _ in brief]
+        if all(i == j for i, j in parts):
+            continue
+        bits = _bits(shingles[lo : lo + SEGMENT + reach])
         sums = np.zeros((len(bits) + 1, 64), wide)
         np.cumsum(bits, axis=0, dtype=wide, out=sums[1:])
-        for prints, (starts, ends) in zip(out, windows, strict=True):
-            i, j = np.searchsorted(starts, (lo, lo + SEGMENT))
+        for prints, at, (starts, ends), (i, j) in zip(out, short, brief, parts, strict=True):
             ones = sums[ends[i:j] - lo]
             ones -= sums[starts[i:j] - lo]
-            half = ((ends[i:j] - starts[i:j]) // 2).astype(wide)
-            prints[i:j] = np.packbits(ones > half[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            prints[at[i:j]] = _majority(ones, ends[i:j] - starts[i:j])
+    for prints, (starts, ends) in zip(out, windows, strict=True):
+        at = np.flatnonzero(ends - starts > SEGMENT)
+        if len(at):
+            prints[at] = _long_simhashes(shingles, starts[at], ends[at])
     return out
 
 
@@ -90,16 +126,13 @@ class ItemClass:
     """Items of about one length, with their multi-index: tables of 64-bit masks, one bit an item, in groups of 64."""
 
     def __init__(self, length: int, items: list[tuple], prints: np.ndarray):
-        self.length, self.items, self.prints = length, items, prints  # items: (id, shingle values, counts, number of shingles)
+        self.length, self.items, self.prints = length, items, prints  # items: (id, copies, shingle values, counts, number of shingles)
         near = _near_values(16, RADIUS // BLOCKS)
         self.tables = np.zeros((-(-len(items) // 64), BLOCKS, 1 << 16), np.uint64)
         for i, p in enumerate(prints):
             for k in range(BLOCKS):
                 self.tables[i // 64, k, (int(p) >> (16 * k) & 0xFFFF) ^ near] |= U64(1 << (i % 64))
 
-    def __reduce__(self):
-        return ItemClass, (self.length, self.items, self.prints)  # a task builds its tables itself
-
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within RADIUS."""
         blocks = [((prints >> U64(16 * k)) & U64(0xFFFF)).astype(np.int64) for k in range(BLOCKS)]
@@ -118,26 +151,33 @@ class ItemClass:
         return (np.concatenate(windows), np.concatenate(found)) if windows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def item_classes(items: list[tuple[int, str]]) -> list[ItemClass]:
-    shingles, start = shingle_runs(pa.array([t for _, t in items], pa.string()), SHINGLE)
+def indexed(column: pa.Array):
+    """(number of shingles, SimHash, shingle values, counts) of each text."""
+    shingles, start = shingle_runs(column, SHINGLE)
     n = np.diff(start)
+    full = np.flatnonzero(n)
+    prints = np.zeros(len(n), np.uint64)
+    prints[full] = simhashes(shingles, [(start[full], start[full + 1])])[0]
+    for i in range(len(n)):
+        yield int(n[i]), prints[i], *np.unique(shingles[start[i] : start[i + 1]], return_counts=True)
+
+
+def classes_of(rows: list[tuple]) -> list[ItemClass]:
+    """Classes of items (id, copies, number of shingles, SimHash, shingle values, counts); items without shingles are left out."""
     out = []
-    order = [i for i in np.argsort(n, kind="stable") if n[i]]
-    while order:
-        shortest = n[order[0]]
-        part = [i for i in order if n[i] <= shortest * CLASS_RATIO]
-        order = order[len(part) :]
-        one = []
-        for i in part:
-            values, counts = np.unique(shingles[start[i] : start[i + 1]], return_counts=True)
-            one.append((items[i][0], values, counts, int(n[i])))
-        at = np.array(sorted(part))
-        prints = dict(zip(at.tolist(), simhashes(shingles, [(start[at], start[at + 1])])[0], strict=True))
-        prints = np.array([prints[i] for i in part], np.uint64)
-        out.append(ItemClass(int(round((shortest + n[part[-1]]) / 2)), one, prints))
+    rows = sorted((r for r in rows if r[2]), key=lambda r: r[2])
+    while rows:
+        part = [r for r in rows if r[2] <= rows[0][2] * CLASS_RATIO]
+        rows = rows[len(part) :]
+        items = [(i, copies, values, counts, n) for i, copies, n, _, values, counts in part]
+        out.append(ItemClass(int(round((part[0][2] + part[-1][2]) / 2)), items, np.array([r[3] for r in part], np.uint64)))
     return out
 
 
+def item_classes(items: list[tuple[int, str]]) -> list[ItemClass]:
+    return classes_of([(i, 1, *rest) for (i, _), rest in zip(items, indexed(pa.array([t for _, t in items], pa.string())), strict=True)])
+
+
 def class_windows(start: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of all windows of `length` shingles, whole documents where they are shorter."""
     n = np.diff(start)
@@ -149,19 +189,40 @@ def class_windows(start: np.ndarray, length: int, step: int) -> tuple[np.ndarray
     return docs, begin, np.minimum(begin + length, start[docs + 1])
 
 
-def weighted_jaccard(window: np.ndarray, values: np.ndarray, counts: np.ndarray) -> float:
-    """Of the shingle multiset of a window with that of an item."""
-    mine, mine_n = np.unique(window, return_counts=True)
-    _, a, b = np.intersect1d(mine, values, assume_unique=True, return_indices=True)
-    both = np.minimum(mine_n[a], counts[b]).sum()
-    return float(both / (mine_n.sum() + counts.sum() - both))
+def overlaps(shingles: np.ndarray, first: int, last: int, size: int, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For every window of `size` shingles that begins at first to last: the sum of the lower counts of it and of an item.
+
+    A place of a shingle that the item holds c times counts in the windows that hold the place and less than c earlier places
+    of that shingle: in one stretch of windows. So all windows cost one pass, whatever their length.
+    """
+    span = shingles[first : last + size]
+    at = np.minimum(np.searchsorted(values, span), len(values) - 1)
+    place = np.flatnonzero(values[at] == span)
+    which = at[place]
+    order = np.argsort(which, kind="stable")
+    place, which = place[order], which[order]
+    back = np.arange(len(place)) - counts[which]
+    held = np.maximum(back, 0)
+    after = np.where((back >= 0) & (which[held] == which), place[held] + 1, 0)
+    begin, stop = np.maximum(after, place - size + 1), np.minimum(place, last - first) + 1
+    real = begin < stop
+    n = last - first + 2
+    return np.cumsum(np.bincount(begin[real], minlength=n) - np.bincount(stop[real], minlength=n))[: n - 1]
+
+
+def best_place(shingles: np.ndarray, first: int, last: int, size: int, item: tuple) -> tuple[float, int]:
+    """(weighted Jaccard similarity, begin) of the likest of the windows of `size` shingles that begin at first to last."""
+    _, _, values, counts, n = item
+    both = overlaps(shingles, first, last, size, values, counts)
+    at = int(np.argmax(both))  # the similarity grows with the overlap, as all these windows have one size
+    return float(both[at] / (size + n - both[at])), first + at
 
 
 class Postings:
     """The items that hold a shingle."""
 
     def __init__(self, classes: list[ItemClass]):
-        held = [(values, c, i) for c, cls in enumerate(classes) for i, (_, values, _, _) in enumerate(cls.items)]
+        held = [(values, c, i) for c, cls in enumerate(classes) for i, (_, _, values, _, _) in enumerate(cls.items)]
         values = np.concatenate([v for v, _, _ in held]) if held else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(held)), [len(v) for v, _, _ in held])
         order = np.argsort(values, kind="stable")
@@ -183,23 +244,19 @@ class Postings:
 
 
 def full_windows(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass], postings: Postings):
-    """(document, class, item, first, end) of all windows of an item's length with enough of its shingles to reach 0.8."""
+    """(document, class, item, first, last, shingles) of all stretches of windows of an item's length where some may hold
+    enough of its shingles to reach 0.8."""
     item, place = postings.places(shingles)
     doc = np.searchsorted(start, place, side="right") - 1
     cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(doc) != 0)) + 1
     edges = np.concatenate(([0], cuts, [len(item)])) if len(item) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         c, i = postings.items[item[a]]
-        d, n = int(doc[a]), classes[c].items[i][3]
+        d, n = int(doc[a]), classes[c].items[i][4]
         lo, hi = int(start[d]), int(start[d + 1])
         w = min(n, hi - lo)
-        need = -(-4 * (w + n) // 9)
-        if b - a < need:
-            continue
-        at = np.arange(max(lo, int(place[a]) - w + 1), min(hi - w, int(place[b - 1])) + 1)
-        held = np.searchsorted(place[a:b], at + w) - np.searchsorted(place[a:b], at)
-        for s in at[held >= need].tolist():
-            yield d, c, i, s, s + w
+        if b - a >= -(-4 * (w + n) // 9):
+            yield d, c, i, max(lo, int(place[a]) - w + 1), min(hi - w, int(place[b - 1])), w
 
 
 def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass], postings: Postings | None = None) -> dict[tuple[int, int, int], tuple[float, int, int]]:
@@ -208,89 +265,112 @@ def leaks_in(shingles: np.ndarray, start: np.ndarray, classes: list[ItemClass],
     steps = [max(1, cls.length // STEPS) for cls in classes]
     cut = [class_windows(start, cls.length, step) for cls, step in zip(classes, steps, strict=True)]
     prints = simhashes(shingles, [(begin, end) for _, begin, end in cut])
+
+    def verify(d: int, c: int, i: int, first: int, last: int, size: int) -> None:
+        sim, s = best_place(shingles, first, last, size, classes[c].items[i])
+        at = s - int(start[d])
+        old, seen = best.get((d, c, i), (0.0, 0, 0))[:2]
+        if sim >= SIMILARITY and (sim > old or sim == old and at < seen):
+            best[d, c, i] = (sim, at, size)
+
     for c, (cls, step, (docs, begin, end)) in enumerate(zip(classes, steps, cut, strict=True)):
         windows, found = cls.candidates(prints[c])
-        tried = set()
         for w, i in zip(windows.tolist(), found.tolist(), strict=True):
-            _, values, counts, n = cls.items[i]
+            _, _, values, _, n = cls.items[i]
             d = int(docs[w])
             lo, hi = int(start[d]), int(start[d + 1])
             if not np.isin(shingles[begin[w] : end[w]], values).any():
                 continue
-            slack = abs(n - cls.length) + step
-            for s in range(max(lo, int(begin[w]) - slack), min(int(begin[w]) + slack, max(lo, hi - n)) + 1):
-                if (d, i, s) in tried:
-                    continue
-                tried.add((d, i, s))
-                e = min(s + n, hi)
-                sim = weighted_jaccard(shingles[s:e], values, counts)
-                old, first = best.get((d, c, i), (0.0, 0, 0))[:2]
-                if sim >= SIMILARITY and (sim > old or sim == old and s - lo < first):
-                    best[d, c, i] = (sim, s - lo, e - s)
-    for d, c, i, s, e in full_windows(shingles, start, classes, postings or Postings(classes)):
-        old, first = best.get((d, c, i), (0.0, 0, 0))[:2]
-        at = s - int(start[d])
-        if old == 1 and first <= at:
-            continue
-        _, values, counts, _ = classes[c].items[i]
-        sim = weighted_jaccard(shingles[s:e], values, counts)
-        if sim >= SIMILARITY and (sim > old or sim == old and at < first):
-            best[d, c, i] = (sim, at, e - s)
+            slack, size = abs(n - cls.length) + step, min(n, hi - lo)
+            first = min(max(lo, int(begin[w]) - slack), hi - size)
+            verify(d, c, i, first, max(first, min(int(begin[w]) + slack, hi - size)), size)
+    for d, c, i, first, last, size in full_windows(shingles, start, classes, postings or Postings(classes)):
+        verify(d, c, i, first, last, size)
     return best
 
 
-def _scan(sent, batches):
-    classes = pickle.loads(sent.value)
-    postings = Postings(classes)
-    for b in pieces(batches, "text", 1 << 20):
-        shingles, start = shingle_runs(b.column("text"), SHINGLE)
-        found = sorted(leaks_in(shingles, start, classes, postings).items())
-        ids = b.column("doc_id")
+def _index(batches):
+    for b in pieces(batches, "text", PIECE):
+        n, prints, values, counts = zip(*indexed(b.column("text")), strict=True)
+        edges = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))), pa.int32())
+        lists = lambda parts: pa.ListArray.from_arrays(edges, pa.array(np.concatenate(parts).view(np.int64)))
         yield pa.RecordBatch.from_arrays([
-            ids.take(pa.array([d for (d, _, _), _ in found], pa.int64())), pa.array([classes[c].items[i][0] for (_, c, i), _ in found], pa.int64()),
-            pa.array([round(s, 6) for _, (s, _, _) in found], pa.float64()), pa.array([a for _, (_, a, _) in found], pa.int64()),
-            pa.array([n + SHINGLE - 1 for _, (_, _, n) in found], pa.int64()),
-        ], ["doc_id", "item_id", "similarity", "start_word", "words"])
+            b.column("slice"), b.column("item_id"), b.column("copies"), pa.array(n, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+            lists(values), lists([c.astype(np.int64) for c in counts]),
+        ], [name.split()[0] for name in INDEX.split(", ")])
 
 
-def _slices(spark: SparkSession, benchmark: DataFrame):
-    """The item classes of each slice of the benchmark, sent to the executors."""
+def write_index(benchmark: DataFrame) -> list[str]:
+    """Index the items in tasks, as Parquet in the shared folder; the addresses of its slices."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text IS NOT NULL")
-    sizes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    slices = 1 + int(2 * max(sizes[0] / SLICE_ITEMS, sizes[1] / max(1, SLICE_BYTES - sizes[2])))
-    for k in range(slices):
-        mine = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        classes = item_classes([(r[0], r[1]) for r in mine.orderBy("item_id", "text").toLocalIterator()])
-        yield spark.sparkContext.broadcast(pickle.dumps(classes))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = 1 + max(rows // SLICE_ITEMS, size // SLICE_BYTES)
+    once = items.groupBy("item_id", "text").agg(F.count("*").alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets)))
+    order = W.partitionBy("bucket").orderBy("item_id", "text")
+    before = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.floor(before / SLICE_BYTES) + F.floor((F.row_number().over(order) - 1) / SLICE_ITEMS)
+    sliced = once.select(F.concat_ws("-", "bucket", nth).alias("slice"), "item_id", "copies", "text")
+    folder = shared_dir(spark, "benchmark-index")
+    sliced.mapInArrow(_index, INDEX).write.option("compression", "zstd").partitionBy("slice").parquet(folder)
+    files, path = _file_system(folder)
+    return sorted(f"{folder}/{f.base_name}" for f in files.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("slice="))
+
+
+def read_slice(address: str) -> tuple[list[ItemClass], Postings]:
+    files, path = _file_system(address)
+    rows = []
+    for b in pq.read_table(path, filesystem=files, partitioning=None).to_batches():
+        lists = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in (b.column("values"), b.column("counts"))]
+        whole = [b.column(c).to_pylist() for c in ("item_id", "copies", "shingles")]
+        prints = b.column("print").to_numpy().view(np.uint64)
+        (values, edge), (counts, _) = lists
+        for k, (item, copies, n) in enumerate(zip(*whole, strict=True)):
+            rows.append((item, copies, n, prints[k], values[edge[k] : edge[k + 1]].view(np.uint64), counts[edge[k] : edge[k + 1]]))
+    classes = classes_of(rows)
+    return classes, Postings(classes)
+
+
+def _leaks(slices: list[str], batches):
+    """(piece of the documents, its leaks: (document, item, (similarity, first shingle, shingles)) in order)."""
+    only = read_slice(slices[0]) if len(slices) == 1 else None
+    for b in pieces(batches, "text", PIECE if only else PIECE_OF_MANY):
+        shingles, start = shingle_runs(b.column("text"), SHINGLE)
+        found = []
+        for address in slices:
+            classes, postings = only or read_slice(address)
+            found += [(d, classes[c].items[i][:2], x) for (d, c, i), x in leaks_in(shingles, start, classes, postings).items()]
+        yield b, sorted(found, key=lambda x: x[0])
+
+
+def _scan(slices: list[str], batches):
+    for b, found in _leaks(slices, batches):
+        ids = b.column("doc_id")
+        yield pa.RecordBatch.from_arrays([
+            ids.take(pa.array([d for d, _, _ in found], pa.int64())), pa.array([i for _, (i, _), _ in found], pa.int64()),
+            pa.array([round(s, 6) for _, _, (s, _, _) in found], pa.float64()), pa.array([a for _, _, (_, a, _) in found], pa.int64()),
+            pa.array([n + SHINGLE - 1 for _, _, (_, _, n) in found], pa.int64()), pa.array([c for _, (_, c), _ in found], pa.int64()),
+        ], ["doc_id", "item_id", "similarity", "start_word", "words", "copies"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, text) to (doc_id, item_id, similarity, start_word, words), one row a pair."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for sent in _slices(docs.sparkSession, benchmark):
-        part = texts.mapInArrow(partial(_scan, sent), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = texts.mapInArrow(partial(_scan, write_index(benchmark)), SCHEMA + ", copies long")
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
-def _clean(sent, batches):
-    classes = pickle.loads(sent.value)
-    postings = Postings(classes)
-    for b in pieces(batches, "text", 1 << 20):
-        shingles, start = shingle_runs(b.column("text"), SHINGLE)
+def _clean(slices: list[str], batches):
+    for b, found in _leaks(slices, batches):
         keep = np.ones(b.num_rows, bool)
-        keep[[d for d, _, _ in leaks_in(shingles, start, classes, postings)]] = False
+        keep[[d for d, _, _ in found]] = False
         yield b.filter(pa.array(keep))
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that hold no benchmark item. Each row goes or stays by its own text: null and repeated
     doc_ids take no other rows with them."""
-    out = docs
-    for sent in _slices(docs.sparkSession, benchmark):
-        out = out.mapInArrow(partial(_clean, sent), docs.schema)
-    return out
+    return docs.mapInArrow(partial(_clean, write_index(benchmark)), docs.schema)
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
