@@ -282,6 +282,53 @@ def test_near_copies_are_complete():
     assert got[1002, 1][1] == 0
 
 
+def test_overlaps_of_all_windows_by_counting():
+    rng = random.Random(15)
+    for _ in range(60):
+        shingles_ = np.array([rng.randrange(12) for _ in range(rng.randrange(1, 60))], np.uint64)
+        item = np.array([rng.randrange(12) for _ in range(rng.randrange(1, 20))], np.uint64)
+        size = rng.randrange(1, len(shingles_) + 1)
+        first = rng.randrange(len(shingles_) - size + 1)
+        last = rng.randrange(first, len(shingles_) - size + 1)
+        values, counts = np.unique(item, return_counts=True)
+        got = decontaminate.overlaps(shingles_, first, last, size, values, counts)
+        want = [sum((Counter(shingles_[s : s + size].tolist()) & Counter(item.tolist())).values()) for s in range(first, last + 1)]
+        assert got.tolist() == want
+
+
+def test_simhashes_of_windows_longer_than_a_segment():
+    rng = np.random.default_rng(16)
+    shingles_ = rng.integers(0, 1 << 63, 3 * decontaminate.SEGMENT + 77).astype(np.uint64)
+    starts = np.array([0, 5, 9, decontaminate.SEGMENT, 2 * decontaminate.SEGMENT + 3])
+    ends = np.array([len(shingles_), 12, decontaminate.SEGMENT + 9, 3 * decontaminate.SEGMENT, len(shingles_)])
+    got = decontaminate.simhashes(shingles_, [(starts, ends), (starts[:0], ends[:0])])
+    for p, a, b in zip(got[0], starts, ends, strict=True):
+        ones = np.unpackbits(shingles_[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        assert int(p) == sum(1 << k for k in range(64) if ones[k] > (b - a) // 2)
+    assert len(got[1]) == 0
+
+
+def test_items_of_any_length_and_number_in_one_pass(spark, docs):
+    rng = random.Random(17)
+    word = lambda: f"m{rng.randrange(900_000)}"
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(5000)]
+    long = [word() for _ in range(650_000)]
+    items += [(5000, " ".join(long)), (7, items[7][1]), (None, items[8][1])]
+    assert len(items[5000][1]) > 4 << 20
+    edited = [w if k % 400 else "edit" for k, w in enumerate(long)]
+    rows = [(i, " ".join([word(), *items[i][1].split(), word()])) for i in range(0, 5000, 50)] + [(7, items[7][1]), (8, items[8][1])]
+    rows += [(9001, " ".join([*(word() for _ in range(3000)), *edited, *(word() for _ in range(3000))])), (9002, " ".join(long[:400_000])), (9003, "clean text of some words that no item holds")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    leaks = decontaminate.find_leaks(docs(rows), benchmark)
+    plan = leaks._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1 and "Exchange" not in plan
+    got = Counter((r["doc_id"], r["item_id"]) for r in leaks.collect())
+    want = Counter({(i, i): 1 for i in range(0, 5000, 50)}) + Counter({(7, 7): 2, (8, 8): 1, (8, None): 1, (9001, 5000): 1})
+    assert got == want
+    kept = decontaminate.drop_leaking(docs(rows), benchmark)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [9002, 9003]
+
+
 def test_index_finds_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(4)
     items = rng.integers(0, 1 << 63, 70).astype(np.uint64) * np.uint64(2)
