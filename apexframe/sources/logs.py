@@ -42,10 +42,19 @@ def media_properties(probes: DataFrame) -> DataFrame:
     return p.select("path", F.col("_v.width").alias("width"), F.col("_v.height").alias("height"), rate(F.col("_v.r_frame_rate")).alias("fps"), F.coalesce(number(F.col("_p.format.duration")), F.lit(0.0)).alias("duration"))
 
 
-def _lines(spark: SparkSession, paths: str) -> DataFrame:
-    """(session_id, path, line_no from 0, line) of whole text files; files are the unit of parallelism."""
-    text = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
-    return text.select(folder_of(F.col("path")).alias("session_id"), "path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+def numbered_lines(spark: SparkSession, paths: str) -> DataFrame:
+    """(session_id, path, line_no from 0, line) of text files of any size, which many tasks read by blocks.
+
+    A task reads the rows of a block in order, so a row's place in its block is its id less the block's first id. Line counts
+    of blocks, a row a block, are summed up to where each block begins. Lines end at line feeds; carriage returns go.
+    """
+    raw = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    blocks = raw.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return raw.join(blocks, ["path", "block"]).select(
+        folder_of(F.col("path")).alias("session_id"), "path", (F.col("_id") + F.col("_shift")).alias("line_no"), F.regexp_replace("value", "\r", "").alias("line"))
 
 
 def _cells(line: Column, sep: str = ",") -> Column:
@@ -59,20 +68,20 @@ def read_aim(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
     """Samples in long form (session_id, seq, col_idx, channel, value) and metadata (session_id, meta map).
 
     The header is the first line that starts with Time and names GPS; a units row below it goes; metadata are the lines up
-    to the first blank one, without Format.
+    to the first blank one or the header, without Format. Files without a header have no samples.
     """
-    lines = _lines(spark, paths)
-    per_file = W.partitionBy("path")
+    lines = numbered_lines(spark, paths)
     is_header = F.ltrim(F.regexp_replace(F.trim("line"), '^"', "")).startswith("Time") & F.col("line").contains("GPS")
-    lines = lines.withColumns({"header_no": F.min(F.when(is_header, F.col("line_no"))).over(per_file), "blank_no": F.min(F.when(F.trim("line") == "", F.col("line_no"))).over(per_file)})
-    pair = _cells(F.col("line"))
-    info = lines.where(F.col("line_no") < F.coalesce("blank_no", "header_no")).select("session_id", pair.alias("c")).where("c[0] <> '' AND c[0] <> 'Format'")
+    marks = lines.groupBy("path").agg(
+        F.min(F.when(is_header, F.struct("line_no", "line"))).alias("_h"), F.min(F.when(F.trim("line") == "", F.col("line_no"))).alias("blank_no"))
+    marks = marks.select("path", F.col("_h.line_no").alias("header_no"), _cells(F.col("_h.line")).alias("names"), F.least("_h.line_no", "blank_no").alias("meta_end"))
+    lines = lines.join(marks, "path")
+    info = lines.where("meta_end IS NULL OR line_no < meta_end").select("session_id", _cells(F.col("line")).alias("c")).where("c[0] <> '' AND c[0] <> 'Format'")
     info = info.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c")[0], F.array_join(F.slice("c", F.lit(2), F.lit(1 << 20)), ",")))).alias("meta"))
-    header = lines.where("line_no = header_no").select("path", _cells(F.col("line")).alias("names"))
-    body = lines.where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != "")).select("session_id", "path", "line_no", "header_no", _cells(F.col("line")).alias("cells"))
+    body = lines.where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != "")).select("session_id", "names", "line_no", "header_no", _cells(F.col("line")).alias("cells"))
     digits = F.regexp_replace(F.col("cells")[0], r"[.\-]", "")
     body = body.where(~((F.col("line_no") == F.col("header_no") + 1) & ~digits.rlike(r"^\d+$")))
-    rows = body.join(header, "path").select("session_id", (F.col("line_no") - F.col("header_no")).cast("long").alias("seq"), F.posexplode(F.arrays_zip("names", "cells")).alias("col_idx", "c"))
+    rows = body.select("session_id", (F.col("line_no") - F.col("header_no")).cast("long").alias("seq"), F.posexplode(F.arrays_zip("names", "cells")).alias("col_idx", "c"))
     return rows.select("session_id", "seq", "col_idx", F.col("c.names").alias("channel"), F.col("c.cells").alias("value")), info
 
 
@@ -81,7 +90,7 @@ def read_lap_logs(spark: SparkSession, paths: str) -> DataFrame:
 
     Every file has its own header: columns are matched by name, and those that a file lacks are null there.
     """
-    lines = _lines(spark, paths)
+    lines = numbered_lines(spark, paths)
     header = lines.where("line_no = 0").select("path", _cells(F.col("line")).alias("names"))
     places = header.select(F.posexplode("names").alias("place", "name")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
     names = [r["name"] for r in places.orderBy("place", "name").collect()]  # as many as devices have channels
@@ -93,7 +102,7 @@ def read_lap_logs(spark: SparkSession, paths: str) -> DataFrame:
 
 def read_excel_export(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
     """Samples in long form of the first Excel_* file of each folder, and (session_id, utc_clock) from its first line."""
-    lines = _lines(spark, paths)
+    lines = numbered_lines(spark, paths)
     first = lines.groupBy("session_id").agg(F.min("path").alias("_p"))
     lines = lines.join(first, "session_id").where("path = _p").drop("_p")
     top = lines.where("line_no = 0").select("session_id", F.transform(F.split("line", ";"), clock.clean_header).alias("names"), F.get(F.filter(F.split("line", ";"), lambda c: c.contains("UTC")), F.lit(0)).alias("utc"))
@@ -117,7 +126,7 @@ def read_beacons(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]
 def read_lap_summary(spark: SparkSession, paths: str) -> DataFrame:
     """(session_id, lap, time_s, min/max rpm, min/max speed km/h) of device lap summaries (line 1 metadata, line 2 names)."""
     c = _cells(F.col("line"))
-    rows = _lines(spark, paths).where("line_no >= 2 AND trim(line) <> ''").select("session_id", c.alias("c"))
+    rows = numbered_lines(spark, paths).where("line_no >= 2 AND trim(line) <> ''").select("session_id", c.alias("c"))
     v = lambda i: number(F.get("c", F.lit(i)))
     return rows.select("session_id", v(0).cast("int").alias("lap"), (v(1) / 1000).alias("time_s"), v(8).alias("min_rpm"), v(9).alias("max_rpm"), (v(10) / 10).alias("min_speed"), (v(11) / 10).alias("max_speed"))
 

@@ -195,6 +195,65 @@ def test_lap_log_and_summary(spark, tmp_path):
     assert rows.agg(F.avg("gps_accel_lat")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
+def whole_lines(files):
+    """Lines of text files by number, as a reader of whole files has them (without what follows the last line feed if empty)."""
+    return {(f.name, i): line for f in files for i, line in enumerate(f.read_bytes().decode().replace("\r", "").removesuffix("\n").split("\n")) if f.stat().st_size}
+
+
+def test_line_numbers_of_splittable_logs(spark, tmp_path):
+    rng = random.Random(3)
+    texts = {
+        "a.csv": "".join(f"{i}," + "x" * rng.randrange(90) + rng.choice(["\n", "\r\n"]) for i in range(4000)), "b.csv": "one\n\n\ntwo", "c.csv": "", "d.csv": "\n",
+        "e.csv": "short\n" + "long " * 9000 + "\nlast\n", "f.csv": "\u00e9" * 700 + "\n" + "\n" * 3000 + "end",
+    }
+    files = []
+    for name, text in texts.items():
+        files.append(tmp_path / "s" / name)
+        files[-1].parent.mkdir(exist_ok=True)
+        files[-1].write_bytes(text.encode())
+    settings = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "16"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = logs.numbered_lines(spark, str(tmp_path / "s"))
+        assert spark.read.text(str(tmp_path / "s" / "a.csv"), lineSep="\n").rdd.getNumPartitions() > 20
+        got = lines.collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert {(r["path"].rsplit("/", 1)[1], r["line_no"]): r["line"] for r in got} == whole_lines(files)
+    assert len(got) == len(whole_lines(files)) and {r["session_id"] for r in got} == {"s"}
+
+
+def test_layouts_read_alike_however_files_are_split(spark, tmp_path):
+    rows = "".join(f'"{i / 20}","{30 + i % 40}","{i % 7}"\n' for i in range(3000))
+    for k, head in enumerate(['"Format","x"\n"Racer","A, B"\n"Time","2:05 PM"\n\n', '"Racer","C"\n', "\n"]):
+        (tmp_path / f"s{k}").mkdir()
+        (tmp_path / f"s{k}" / "aim.csv").write_text(head + '"Time","GPS Speed","T1"\n"s","km/h","C"\n' + rows)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "Excel_1.csv").write_text("Time;Lap;Speed GPS: km/h;UTC time : 170203\n" + "".join(f"{t};1;36;\n" for t in range(3000)))
+    (tmp_path / "x" / "LAP_1_q.csv").write_text("Partiel,RPM,Speed GPS\n" + "".join(f"1,{t},360\n" for t in range(3000)))
+
+    def read():
+        long, meta = logs.read_aim(spark, f"{tmp_path}/s*/aim.csv")
+        export, clocks = logs.read_excel_export(spark, f"{tmp_path}/x/Excel_*.csv")
+        return [sorted(map(tuple, df.collect()), key=str) for df in (long, meta, export, clocks, logs.read_lap_logs(spark, f"{tmp_path}/x/LAP_*.csv"))]
+
+    whole = read()
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "16"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert read() == whole
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    long, meta, export, _, laps_ = whole
+    assert len(long) == 3 * 3000 * 3 and {r[0]: r[1] for r in meta} == {"s0": {"Racer": "A, B", "Time": "2:05 PM"}, "s1": {"Racer": "C"}}
+    assert len(export) == 3000 * 3 and len(laps_) == 3000
+    assert min(r[1] for r in long) == 2  # seq counts from the header; the units row is 1
+
+
 def test_conversion_of_all_layouts(spark, tmp_path):
     aim = tmp_path / "2025-11-08-mychron5-Rim-Rotax-Ivan-01"
     aim.mkdir()
