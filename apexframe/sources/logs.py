@@ -16,6 +16,11 @@ def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
+def plain_path(address: Column) -> Column:
+    """A file's path as list_files has it, from an address in which blanks and other characters are escaped."""
+    return F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified) of all files below root; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
@@ -42,14 +47,14 @@ def media_properties(probes: DataFrame) -> DataFrame:
     return p.select("path", F.col("_v.width").alias("width"), F.col("_v.height").alias("height"), rate(F.col("_v.r_frame_rate")).alias("fps"), F.coalesce(number(F.col("_p.format.duration")), F.lit(0.0)).alias("duration"))
 
 
-def numbered_lines(spark: SparkSession, paths: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(session_id, path, line_no from 0, line) of text files of any size, which many tasks read by blocks.
 
     A task reads the rows of a block in order, so a row's place in its block is its id less the block's first id. Line counts
     of blocks, a row a block, are summed up to where each block begins. Lines end at line feeds; carriage returns go.
     """
     raw = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    raw = raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
     blocks = raw.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select("path", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
@@ -64,7 +69,7 @@ def _cells(line: Column, sep: str = ",") -> Column:
     return F.zip_with(quoted, bare, lambda q, b: F.trim(F.when(q != "", q).otherwise(b)))
 
 
-def read_aim(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
+def read_aim(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Samples in long form (session_id, seq, col_idx, channel, value) and metadata (session_id, meta map).
 
     The header is the first line that starts with Time and names GPS; a units row below it goes; metadata are the lines up
@@ -85,7 +90,7 @@ def read_aim(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("session_id", "seq", "col_idx", F.col("c.names").alias("channel"), F.col("c.cells").alias("value")), info
 
 
-def read_lap_logs(spark: SparkSession, paths: str) -> DataFrame:
+def read_lap_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Wide samples of LAP_* files (all text) with session_id, file_lap and row; laps order by number.
 
     Every file has its own header: columns are matched by name, and those that a file lacks are null there.
@@ -100,7 +105,7 @@ def read_lap_logs(spark: SparkSession, paths: str) -> DataFrame:
     return rows.select(*columns, "session_id", F.regexp_extract("path", r"LAP_(\d+)_[^/]*$", 1).try_cast("int").alias("file_lap"), "row")
 
 
-def read_excel_export(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
+def read_excel_export(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Samples in long form of the first Excel_* file of each folder, and (session_id, utc_clock) from its first line."""
     lines = numbered_lines(spark, paths)
     first = lines.groupBy("session_id").agg(F.min("path").alias("_p"))

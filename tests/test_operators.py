@@ -5,6 +5,7 @@ import math
 import os
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,6 +255,49 @@ def test_layouts_read_alike_however_files_are_split(spark, tmp_path):
     assert min(r[1] for r in long) == 2  # seq counts from the header; the units row is 1
 
 
+def test_reruns_convert_only_what_changed(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+
+    def lap_log(session, n, speed):
+        (root / session).mkdir(parents=True, exist_ok=True)
+        (root / session / "LAP_1_x.csv").write_text("Partiel,RPM,Speed GPS\n" + f"1,5000,{speed}\n" * n)
+
+    def aim(session, n):
+        (root / session).mkdir(parents=True, exist_ok=True)
+        (root / session / "aim.csv").write_text('"Racer","R"\n\n"Time","GPS Speed"\n"s","km/h"\n' + "".join(f'"{i / 10}","36"\n' for i in range(n)))
+
+    rows = lambda df: Counter((r["session_id"], r["seq"], r["t"], r["gps_speed"], r["device"]) for r in df.collect())
+    names = lambda df: sorted(r["session_id"] for r in df.collect())
+    read, numbered = [], logs.numbered_lines
+    monkeypatch.setattr(logs, "numbered_lines", lambda spark, paths: read.append(paths) or numbered(spark, paths))
+    assert convert.read_converted(spark, out).count() == 0
+    lap_log("a [1] b+c d", 5, 360)
+    lap_log("two", 4, 720)
+    aim("three", 6)
+    assert names(convert.convert_changed(spark, str(root), out)) == ["a [1] b+c d", "three", "two"]
+    first = rows(convert.read_converted(spark, out))
+    assert first == rows(convert.convert_all(spark, str(root))) and sum(first.values()) == 15
+    read.clear()
+    assert names(convert.convert_changed(spark, str(root), out)) == [] and read == []
+    lap_log("two", 7, 720)
+    aim("four", 3)
+    (root / "three" / "aim.csv").unlink()
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(convert, "canonical", die)
+        with pytest.raises(RuntimeError):
+            convert.convert_changed(spark, str(root), out)
+    assert rows(convert.read_converted(spark, out)) == first
+    assert names(convert.convert_changed(spark, str(root), out)) == ["four", "two"]
+    assert {p.rsplit("/", 2)[1] for paths in read for p in paths} == {"two", "four"}
+    assert rows(convert.read_converted(spark, out)) == rows(convert.convert_all(spark, str(root)))
+    more = channels.alias_table(spark).union(spark.createDataFrame([("nonesuch", "None Such", "")], channels.alias_table(spark).schema))
+    assert names(convert.convert_changed(spark, str(root), out, aliases=more)) == ["a [1] b+c d", "four", "two"]
+
+
 def test_conversion_of_all_layouts(spark, tmp_path):
     aim = tmp_path / "2025-11-08-mychron5-Rim-Rotax-Ivan-01"
     aim.mkdir()
