@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import clock, geo, values
 from .operators import channels, clean, compare, laps, media, timebase, track
-from .plans import boards, frames
+from .plans import boards, convert, frames
+from .session import shared_dir
 from .sources import logs
 
 LINE = (50.0, -1.0, 50.0, 101.0)
@@ -668,3 +669,25 @@ def lap_reconciliation(spark, sf):
     stated = stated.unionByName(done.select("session_id", F.lit(9999).alias("lap"), F.lit(1e7).alias("duration")).distinct())
     of = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
     return boards.session_report(durations, stated, 0.5)[0].select("session_id", of("lap"), of("stated_lap"), F.round("duration", 2).alias("duration"), "status")
+
+
+def _write_logs(spark: SparkSession, sf: str) -> str:
+    """Every session of events as a log file in a folder of its own, in the layout with metadata and units; the folder of all."""
+    samples, quoted = ev(spark, sf), lambda *c: F.concat(F.lit('"'), F.concat_ws('","', *(F.coalesce(x.cast("string"), F.lit("")) for x in c)), F.lit('"'))
+    data = samples.select(F.col("session_id").alias("session"), "t", "seq", quoted(F.col("t"), F.col("x"), F.col("y")).alias("value"))
+    top = ['"Format","log"', None, '"Venue","Rim, north"', "", '"Time","GPS Speed","RPM"', '"s","km/h","rpm"']
+    head = samples.select(F.col("session_id").alias("session")).distinct()
+    lines = F.array(*(F.concat(F.lit('"Racer","driver '), F.col("session").cast("string"), F.lit('"')) if line is None else F.lit(line) for line in top))
+    head = head.select("session", F.lit(float("-inf")).alias("t"), F.posexplode(lines).alias("seq", "value"))
+    folder = shared_dir(spark, "logs")
+    rows = data.unionByName(head.withColumn("seq", F.col("seq").cast("long"))).repartition("session").sortWithinPartitions("session", "t", "seq")
+    rows.select("session", "value").write.partitionBy("session").text(folder)
+    return folder
+
+
+@query(f"""WITH {EV} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, seq) + 1 AS seq, t, x AS gps_speed, y AS rpm, 'driver ' || session_id AS driver, 'Rim, north' AS venue FROM ev""")
+def logs_read_back(spark, sf):
+    """Sessions written as log files, read by blocks and converted to canonical samples, with two of their metadata."""
+    samples, meta = convert.convert_aim(spark, f"{_write_logs(spark, sf)}/*/*", channels.alias_table(spark))
+    session = F.regexp_extract("session_id", r"session=(\d+)$", 1).cast("long").alias("session_id")
+    return samples.join(meta, "session_id").select(session, "seq", "t", "gps_speed", "rpm", F.col("meta")["Racer"].alias("driver"), F.col("meta")["Venue"].alias("venue"))
