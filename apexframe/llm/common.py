@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
+
 U64 = np.uint64
 
 
@@ -17,26 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor can reach.
-
-    Where a session names none, the context's checkpoint folder is used. On one machine (tests) a folder of our own is set
-    there; on a cluster, where a local folder would be lost to the others, an error names the setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        known = context._jsc.sc().getCheckpointDir()
-        if not known.isDefined():
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(f"file:///tmp/apexframe-checkpoints-{os.getuid()}")
-            known = context._jsc.sc().getCheckpointDir()
-        base = known.get()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/apexframe/{label}-{uuid.uuid4().hex}")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString()
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, label)
