@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import shared_dir
 
 TRACK, POINT = "track_id", "pt_idx"
 #: A side of a join is sent to all executors only up to this many rows; Spark picks another join beyond.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -18,6 +19,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read back: it is used many times, and made once."""
+    folder = shared_dir(df.sparkSession, "track")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def track_pieces(points: DataFrame) -> DataFrame:
     """Points to pieces between neighbours: (track, seg_idx, x0, y0, dx, dy, len, cum_dist)."""
     w = W.partitionBy(TRACK).orderBy(POINT)
@@ -77,12 +85,14 @@ def segments(classed: DataFrame) -> DataFrame:
 #: Samples meet all pieces of their track where no track has more than so many; beyond, only those that a grid finds near.
 DIRECT_PIECES = 256
 #: Grids have 2^level cells a side, at most this level; a piece is kept in about so many cells at the finest at most.
-MAX_LEVEL, CELLS_PER_PIECE = 14, 32
+MAX_LEVEL, CELLS_PER_PIECE = 14, 8
+#: A place looks at most about so many cells far along the longer side of what its bound reaches.
+CELLS_LONG = 16
 _CELL = ("_level", "_cx", "_cy")
 
 
 def _grids(side: DataFrame) -> DataFrame:
-    """(track, _gx, _gy, _gs, _gl): lower corner, side and finest level of a square grid around each track's pieces.
+    """(track, _gx, _gy, _x1, _y1, _gs, _gl): bounds of each track's pieces, side and finest level of a square grid from the lower corner.
 
     The finest cells are about as many as the pieces on a side of their square, but not much finer than the pieces are long.
     """
@@ -92,7 +102,7 @@ def _grids(side: DataFrame) -> DataFrame:
         F.count("*").alias("_n"), F.avg(F.hypot("dx", "dy")).alias("_len"))
     wide = F.greatest(F.col("_x1") - F.col("_gx"), F.col("_y1") - F.col("_gy"))
     level = F.least(F.log2(2 * F.sqrt("_n")), F.log2(F.try_divide(CELLS_PER_PIECE * F.col("_gs"), F.col("_len"))), F.lit(float(MAX_LEVEL)))
-    return g.withColumn("_gs", F.when(wide > 0, wide * (1 + 1e-9)).otherwise(1.0)).select(TRACK, "_gx", "_gy", "_gs", F.greatest(F.lit(0), F.ceil(level).cast("int")).alias("_gl"))
+    return g.withColumn("_gs", F.when(wide > 0, wide * (1 + 1e-9)).otherwise(1.0)).select(TRACK, "_gx", "_gy", "_x1", "_y1", "_gs", F.greatest(F.lit(0), F.ceil(level).cast("int")).alias("_gl"))
 
 
 def _cells_of(low: Column, high: Column, level: Column, origin: str) -> Column:
@@ -113,46 +123,71 @@ def _index(side: DataFrame, grids: DataFrame) -> DataFrame:
     ya = F.when(F.abs("dx") > edge, F.col("y0") + share(left) * F.col("dy")).otherwise(F.col("y0"))
     yb = F.when(F.abs("dx") > edge, F.col("y0") + share(right) * F.col("dy")).otherwise(y1)
     rows = rows.withColumn("_cy", F.explode(_cells_of(F.least(ya, yb) - edge, F.greatest(ya, yb) + edge, F.col("_level"), "_gy")))
-    return rows.drop("_gx", "_gy", "_gs", "_gl")
+    return rows.drop("_gx", "_gy", "_x1", "_y1", "_gs", "_gl")
+
 
+def _distinct(side: DataFrame, first: str) -> DataFrame:
+    """Pieces with one row for all that lie on each other exactly: that with the lowest value of `first`."""
+    place = [TRACK, "x0", "y0", "dx", "dy"]
+    rest = [c for c in side.columns if c not in place]
+    if rest == [first]:
+        return side.groupBy(*place).agg(F.min(first).alias(first))
+    return side.groupBy(*place).agg(F.min_by(F.struct(*rest), first).alias("_rest")).select(*place, "_rest.*")
 
-def _closest(samples: DataFrame, side: DataFrame, square: Column, keys: list[str], **picks: Column) -> DataFrame:
+
+def _closest(samples: DataFrame, side: DataFrame, square: Column, first: str, **picks: Column) -> DataFrame:
     """samples with aggregates over the pieces of side (x0, y0, dx, dy, more) at the least squared distance, exactly.
 
-    Pieces are indexed by the cells of a pyramid of grids. The cells that hold a sample, from coarse to fine, each name one
-    piece, and the nearest of these bounds the distance; then only pieces in the few cells of the level whose cells are as
-    wide as the bound can be nearer. All joins are by (track, level, cell). Tracks of few pieces need no index. Samples without
+    On ties picks take the lowest value of `first`, so pieces that lie on each other are one (`_distinct`), and samples at one
+    place of a track are looked up once. Pieces are indexed by the cells of a pyramid of grids. The cells that hold a place,
+    from coarse to fine, each name a few pieces, and the nearest of these bounds the distance; then only pieces in the few
+    cells that the bound reaches can be nearer. All joins are by (track, level, cell) or (track, x, y). Samples without
     a position or a track get nulls. Counts the pieces when it is called.
     """
     spark = samples.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    whole, samples = samples, samples.select(*keys, TRACK, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()).repartition(n, *keys)
+    keys = [TRACK, "x", "y"]
+    places = samples.select(*keys).where(F.col(TRACK).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).repartition(n, *keys).distinct()
+    side = _distinct(side, first)
     most = side.groupBy(TRACK).count().agg(F.max("count")).first()[0] or 0
-    rows, pieces, on = (samples, small(side), [TRACK]) if most <= DIRECT_PIECES else _near(samples, side, square, keys)
+    rows, pieces, on = (places, small(side), [TRACK]) if most <= DIRECT_PIECES else _near(places, side, square, keys)
     # pairs never leave their task: first the least distance, then what lies at it
     least = rows.join(pieces, on).groupBy(*keys).agg(F.min(square).alias("_m"))
     at_least = rows.join(least, keys).join(pieces, on).where(square == F.col("_m"))
-    return whole.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys, "left")
+    return samples.join(at_least.groupBy(*keys).agg(*(c.alias(k) for k, c in picks.items())), keys, "left").select(*samples.columns, *picks)
 
 
-def _near(samples: DataFrame, side: DataFrame, square: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Samples by the cells in which their nearest piece can lie, pieces by cells, and the columns that join them."""
+def _near(places: DataFrame, side: DataFrame, square: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Places by the cells in which their nearest piece can lie, pieces by cells, and the columns that join them."""
+    side = _kept(side)
     grids = small(_grids(side))
-    located = samples.join(grids, TRACK)
-    index = _index(side, grids)
+    located = places.join(grids, TRACK)
+    index = _kept(_index(side, grids))
     cell = [TRACK, *_CELL]
-    fields = [F.col(c) for c in side.columns if c != TRACK]
-    named = small(index.groupBy(*cell).agg(F.any_value(F.struct(*fields)).alias("_piece")))
+    piece = F.struct(*(F.col(c) for c in side.columns if c != TRACK))
+    x1, y1 = F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy")
+    ends = (F.min_by(piece, F.least("x0", x1)), F.max_by(piece, F.greatest("x0", x1)), F.min_by(piece, F.least("y0", y1)), F.max_by(piece, F.greatest("y0", y1)))
+    named = small(_kept(index.groupBy(*cell).agg(F.array(*ends).alias("_pieces"))))
     own = located.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_gl"))))
     own = own.withColumn("_cx", _cells_of(F.col("x"), F.col("x"), F.col("_level"), "_gx")[0]).withColumn("_cy", _cells_of(F.col("y"), F.col("y"), F.col("_level"), "_gy")[0])
-    bounds = own.join(named, cell).select(*keys, "x", "y", "_piece.*").groupBy(*keys).agg(F.min(square).alias("_bound"))
-    near = located.join(bounds, keys)
-    reach = F.sqrt("_bound") * (1 + 1e-9) + F.col("_gs") * 1e-9
-    level = F.greatest(F.lit(0), F.least(F.col("_gl"), F.floor(F.log2(F.col("_gs") / F.col("_reach"))).cast("int")))
-    near = near.withColumn("_reach", reach).withColumn("_level", level)
+    bounds = own.join(named, cell).select(*keys, F.explode("_pieces").alias("_piece")).select(*keys, "_piece.*").groupBy(*keys).agg(F.min(square).alias("_bound"))
+    near = located.join(bounds, keys).withColumn("_reach", F.sqrt("_bound") * (1 + 1e-9) + F.col("_gs") * 1e-9)
+    # the part of the circle within the pieces' bounds: for a place far outside it is thin, and its cells are small
+    off = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
+    half = lambda d: F.sqrt(F.greatest(F.lit(0.0), (F.col("_reach") - d) * (F.col("_reach") + d)))
+    for c, v, low, high, across in (("x", "x", "_gx", "_x1", off("y", "_gy", "_y1")), ("y", "y", "_gy", "_y1", off("x", "_gx", "_x1"))):
+        inside = lambda e: F.greatest(F.col(low), F.least(F.col(high), e))  # noqa: B023, E731
+        near = near.withColumn(f"_a{c}", inside(F.col(v) - half(across))).withColumn(f"_b{c}", inside(F.col(v) + half(across)))
+    wide, high = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
+    width = F.greatest(F.sqrt(wide * high) / 3, wide / CELLS_LONG, high / CELLS_LONG)
+    level = F.least(F.col("_gl"), F.floor(F.log2(F.col("_gs") / width)).cast("int"))
+    near = near.withColumn("_level", F.when(width > 0, F.greatest(F.lit(0), level)).otherwise(F.col("_gl"))).withColumn("_w", F.col("_gs") / F.pow(F.lit(2.0), "_level"))
+    edge = F.col("_gs") * 1e-9
+    gap = lambda v, c, origin: F.greatest(F.col(origin) + F.col(c) * F.col("_w") - edge - F.col(v), F.col(v) - F.col(origin) - (F.col(c) + 1) * F.col("_w") - edge, F.lit(0.0))
     for c, v, origin in (("_cx", "x", "_gx"), ("_cy", "y", "_gy")):
-        near = near.withColumn(c, F.explode(_cells_of(F.col(v) - F.col("_reach"), F.col(v) + F.col("_reach"), F.col("_level"), origin)))
-    return near.select(*keys, "x", "y", *cell), small(index), cell
+        near = near.withColumn(c, F.explode(_cells_of(F.col(f"_a{v}") - edge, F.col(f"_b{v}") + edge, F.col("_level"), origin)))
+    near = near.where(F.hypot(gap("x", "_cx", "_gx"), gap("y", "_cy", "_gy")) <= F.col("_reach"))
+    return near.select(*keys, *cell[1:]), small(index), cell
 
 
 def nearest_segment(samples: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,7 +195,7 @@ def nearest_segment(samples: DataFrame, points: DataFrame, keys: list[str]) -> D
     placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     near = placed.select(TRACK, F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "segment")
     square = (F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2
-    return _closest(samples, near, square, keys, segment=F.min("segment"))
+    return _closest(samples, near, square, "segment", segment=F.min("segment"))
 
 
 def project(samples: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +205,7 @@ def project(samples: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame
     share = F.when(length > 0, ((F.col("x") - F.col("x0")) * F.col("dx") + (F.col("y") - F.col("y0")) * F.col("dy")) / length).otherwise(0.0)
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
     square = (F.col("x0") + share * F.col("dx") - F.col("x")) ** 2 + (F.col("y0") + share * F.col("dy") - F.col("y")) ** 2
-    return _closest(samples, pieces, square, keys, along=F.min_by(F.col("cum_dist") + share * F.col("len"), "seg_idx"), off=F.sqrt(F.min(square)))
+    return _closest(samples, pieces, square, "seg_idx", along=F.min_by(F.col("cum_dist") + share * F.col("len"), "seg_idx"), off=F.sqrt(F.min(square)))
 
 
 def segment_stats(placed: DataFrame, speed: str = "gps_speed", key: str = "session_id") -> DataFrame:

@@ -642,3 +642,35 @@ def test_shapefiles_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "cut" / "centerline.shp").write_bytes(whole[:-8])
     with pytest.raises(Exception, match="record 0 ends beyond the file"):
         tracks.read_track_points(spark, str(tmp_path / "cut"), "shapefile").collect()
+
+
+def test_pieces_that_lie_on_each_other_are_one(spark, monkeypatch):
+    """3 places of a track 200 times each are 3 pieces, which need no index; ties go to the lowest segment and piece."""
+    monkeypatch.setattr(track, "_near", lambda *a: pytest.fail("600 copies of 3 points met an index"))
+    points = spark.range(600).selectExpr("'t' track_id", "id pt_idx", "double(id % 3) x", "0.0D y", "500 - id % 300 segment")
+    samples = spark.createDataFrame([(1, i, "t", x, 1.0) for i, x in enumerate((-5.0, 1.1, 1.1, 7.0))], "session_id long, seq long, track_id string, x double, y double")
+    near = {r["seq"]: r["segment"] for r in track.nearest_segment(samples, points, ["session_id", "seq"]).collect()}
+    want = {i: min(500 - k % 300 for k in range(600) if k % 3 == p) for i, p in enumerate((0, 1, 1, 2))}
+    assert near == want
+    along = {r["seq"]: r["along"] for r in track.project(samples, track.track_pieces(points), ["session_id", "seq"]).collect()}
+    assert along == pytest.approx({0: 0.0, 1: 1.1, 2: 1.1, 3: 2.0})
+
+
+def test_samples_far_from_a_track_meet_few_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    pts = [(900 + i % 100, rng.uniform(0, 50)) for i in range(3000)]
+    points = spark.createDataFrame([("a", i, float(x), y) for i, (x, y) in enumerate(pts)], "track_id string, pt_idx long, x double, y double")
+    where = [(rng.uniform(-3000, 6000), rng.uniform(-400, 400)) for _ in range(60)]
+    samples = spark.createDataFrame([(1, i, "a", x, y) for i, (x, y) in enumerate(where)], "session_id long, seq long, track_id string, x double, y double")
+    met, near = [], track._near
+    monkeypatch.setattr(track, "_near", lambda *a: met.append(near(*a)) or met[-1])
+    got = {r["seq"]: r["off"] for r in track.project(samples, track.track_pieces(points), ["session_id", "seq"]).collect()}
+    best = [brute_distance(p, pts) for p in where]
+    assert [got[i] for i in range(len(where))] == pytest.approx(best, abs=1e-9)
+    rows, pieces, on = met[0]
+    assert rows.join(pieces, on).count() < 60 * 300  # of 60 * 2,999
+
+
+def brute_distance(p, pts):
+    pieces = [(a[0], a[1], b[0] - a[0], b[1] - a[1]) for a, b in zip(pts, pts[1:])]
+    return brute_nearest(p, pieces)
