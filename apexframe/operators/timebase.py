@@ -106,21 +106,35 @@ def resample(samples: DataFrame, columns: list[str], fps: float = 10.0, duration
 
     Frame i shows telemetry time clip_start + time_shift + i / fps, held within the session's extent. Without a duration
     the grid covers the session. rates (session, hz) sets a rate for each session in place of fps. Columns are interpolated linearly; `lap`, a step channel, takes the value before.
+    Frames come out of the samples, so only samples are shuffled and sorted.
     """
-    rows = one_per_time(samples.select(key, *ORDER, *columns, *([lap] if lap else [])), key)
-    extent = rows.groupBy(key).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    rows = samples.select(key, *ORDER, *columns, *([lap] if lap else [])).where(F.col("t").isNotNull())
+    rows = rows.withColumn("_before", F.lag("t").over(by_time(key))).where("_before IS NULL OR _before <> t")
     if rates is not None:
-        extent = extent.join(rates.select(key, F.col("hz").alias("_hz")), key)
+        rows = rows.join(rates.select(key, F.col("hz").alias("_hz")), key)
     else:
-        extent = extent.withColumn("_hz", F.lit(float(fps)))
+        rows = rows.withColumn("_hz", F.lit(float(fps)))
+    w, back, whole = W.partitionBy(key).orderBy("t"), W.partitionBy(key).orderBy(F.desc("t")), W.partitionBy(key)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("a"), F.col(c).cast("double").alias("v"))) for c in columns}
+    rows = rows.withColumns({f"_next_{c}": F.last(k, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)) for c, k in known.items()})
+    rows = rows.withColumns({f"_last_{c}": latest(k, key, ["t"]) for c, k in known.items()} | {"_t1": F.max("t").over(whole), "_t0": F.min("t").over(whole), "_until": F.lead("t").over(w)})
+    if lap:
+        rows = rows.withColumn(lap, F.coalesce(latest(F.col(lap), key, ["t"]), F.lit(0)))
     length = F.lit(float(duration)) if duration is not None else F.col("_t1") - F.col("_t0")
     origin = F.lit(clip_start + time_shift) if duration is not None else F.col("_t0") + clip_start + time_shift
-    frames = extent.select(key, "_hz", "_t0", "_t1", origin.alias("_o"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(length * F.col("_hz")).cast("int")) - 1)).alias("frame"))
+    rows = rows.withColumns({"_o": origin, "_n": F.greatest(F.lit(1), F.ceil(length * F.col("_hz")).cast("int"))})
+    # each sample gives the frames up to the next one: about which they are, then exactly
+    at = lambda t, off: F.greatest(F.lit(0.0), F.least(F.col("_n") - F.lit(1.0), F.floor((t - F.col("_o")) * F.col("_hz")) + off)).cast("int")
+    first = F.when(F.col("t") == F.col("_t0"), 0).otherwise(at(F.col("t"), F.lit(-1)))
+    last = F.when(F.col("_until").isNull(), F.col("_n") - 1).otherwise(at(F.col("_until"), F.lit(1)))
+    out = rows.withColumn("frame", F.explode(F.sequence(first, last)))
     video_time = F.col("frame") / F.col("_hz")
-    grid = frames.select(key, "frame", (video_time + clip_start).alias("video_time"), F.least(F.greatest(F.col("_o") + video_time, F.col("_t0")), F.col("_t1")).alias("t"))
-    both = rows.withColumn("_src", F.lit(0)).unionByName(grid.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    order = ["t", "_src", "frame"]
-    out = both.withColumns({c: _between(c, "t", key, order) for c in columns})
-    if lap:
-        out = out.withColumn(lap, F.coalesce(latest(F.col(lap), key, order), F.lit(0)))
-    return out.where("_src = 1").select(key, "frame", "video_time", "t", *columns, *([lap] if lap else []))
+    shown = F.least(F.greatest(F.col("_o") + video_time, F.col("_t0")), F.col("_t1"))
+    out = out.withColumns({"_from": F.col("t"), "t": shown, "video_time": video_time + clip_start}).where("t >= _from AND (_until IS NULL OR t < _until)")
+
+    def mixed(c: str) -> Column:
+        before, after = F.col(f"_last_{c}"), F.col(f"_next_{c}")
+        span = after["a"] - before["a"]
+        return F.coalesce(F.when(span > 0, before["v"] + (after["v"] - before["v"]) * (F.col("t") - before["a"]) / span), before["v"], after["v"]).alias(c)
+
+    return out.select(key, "frame", "video_time", "t", *(mixed(c) for c in columns), *([lap] if lap else []))

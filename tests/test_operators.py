@@ -674,3 +674,20 @@ def test_samples_far_from_a_track_meet_few_pieces(spark, monkeypatch):
 def brute_distance(p, pts):
     pieces = [(a[0], a[1], b[0] - a[0], b[1] - a[1]) for a, b in zip(pts, pts[1:])]
     return brute_nearest(p, pieces)
+
+
+def test_resampled_frames_are_not_sorted(spark):
+    """A session of ten hours at 10 frames a second: frames are made after the last exchange and sort."""
+    samples = spark.createDataFrame([(1, 0, 0.0, 1.0, 7), (1, 1, 18000.0, None, None), (1, 2, 18000.0, 99.0, 9), (1, 3, 36000.0, 3.0, 8), (1, 4, None, 5.0, 5)], "session_id long, seq long, t double, x double, lap int")
+    out = timebase.resample(samples, ["x"], 10.0, lap="lap")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan[: plan.index("Generate")] and "Sort" not in plan[: plan.index("Generate")]
+    told = out.agg(F.count("*").alias("n"), F.count_distinct("frame").alias("d"), F.max(F.abs(F.col("x") - (1 + F.col("t") / 18000))).alias("off"), F.sum("lap").alias("lap")).first()
+    assert (told["n"], told["d"], told["lap"]) == (360_000, 360_000, 7 * 360_000) and told["off"] < 1e-9
+
+
+def test_resampled_frames_beyond_a_sessions_ends(spark):
+    samples = spark.createDataFrame([(1, 0, 10.0, 1.0), (1, 1, 20.0, 3.0), (2, 0, 5.0, None), (2, 1, 6.0, 4.0), (2, 2, 7.0, None)], "session_id long, seq long, t double, x double")
+    got = {(r["session_id"], r["frame"]): (r["t"], r["x"]) for r in timebase.resample(samples, ["x"], 0.5, duration=30.0).collect()}
+    assert [got[1, i] for i in range(15)] == [(min(20.0, max(10.0, 2.0 * i)), min(3.0, max(1.0, 1 + (2 * i - 10) / 5))) for i in range(15)]
+    assert [got[2, i] for i in range(15)] == [(min(7.0, max(5.0, 2.0 * i)), 4.0) for i in range(15)] and len(got) == 30
