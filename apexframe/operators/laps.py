@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,32 +122,52 @@ def align_laps(computed: DataFrame, stated: DataFrame, tolerance: float = 1.0, k
     The alignment keeps both orders and has the least cost: two laps cost the difference of their durations, which may be
     tolerance at most, and a lap that only one list has costs tolerance. Of equal costs a pair comes first, then a lap that
     only the computed list has. status: match, extra (computed only) or missing (stated only). Laps without a duration are
-    left out; a session of one list only has all its laps as extra or missing. A session's laps (tens) are one row, and the
-    table of costs is folded row by row.
+    left out; a session of one list only has all its laps as extra or missing. A session's laps (tens) are one row; tasks go
+    through a session's table of costs row by row (`align_seconds`).
     """
     listed = lambda df, name: df.where(F.col("duration").isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("lap").cast("int").alias("lap"), F.col("duration").cast("double").alias("s")))).alias(name))
     empty = F.array().cast("array<struct<lap:int,s:double>>")
     both = listed(computed, "_a").join(listed(stated, "_b"), key, "full").select(key, F.coalesce("_a", empty).alias("_a"), F.coalesce("_b", empty).alias("_b"))
-    lap = "struct<lap:int,s:double>"
-    none, gap = F.lit(None).cast(lap), F.lit(float(tolerance))
-    start = F.struct(F.lit(0.0).alias("cost"), F.array().cast(f"array<struct<a:{lap},b:{lap}>>").alias("path"))
-
-    def then(cell, cost, a, b):
-        return F.struct((cell["cost"] + cost).alias("cost"), F.concat(cell["path"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("path"))
-
-    first = F.aggregate("_b", F.array(start), lambda row, b: F.concat(row, F.array(then(F.element_at(row, -1), gap, none, b))))
-
-    def next_row(above, a):
-        def cell(row, b):
-            at = F.size(row)  # of the stated laps before b
-            off = F.abs(a["s"] - b["s"])
-            pair, extra, missing = then(F.element_at(above, at), off, a, b), then(F.element_at(above, at + 1), gap, a, none), then(F.element_at(row, -1), gap, none, b)
-            fits = (off <= gap) & (pair["cost"] <= extra["cost"]) & (pair["cost"] <= missing["cost"])
-            return F.concat(row, F.array(F.when(fits, pair).when(extra["cost"] <= missing["cost"], extra).otherwise(missing)))
-
-        return F.aggregate("_b", F.array(then(F.element_at(above, 1), gap, a, none)), cell)
-
-    path = F.element_at(F.aggregate("_a", first, next_row), -1)["path"]
-    rows = both.select(key, F.explode(path).alias("_p"))
-    status = F.when(F.col("_p.b").isNull(), "extra").when(F.col("_p.a").isNull(), "missing").otherwise("match")
-    return rows.select(key, F.col("_p.a.lap").alias("lap"), F.col("_p.b.lap").alias("stated_lap"), F.col("_p.a.s").alias("duration"), F.col("_p.b.s").alias("stated_s"), (F.col("_p.a.s") - F.col("_p.b.s")).alias("diff"), status.alias("status"))
+    seconds = both.select(key, "_a", "_b", F.col("_a.s").alias("_as"), F.col("_b.s").alias("_bs"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields) + ", _path array<struct<a:int,b:int>>"
+    rows = seconds.mapInArrow(partial(_aligned, float(tolerance)), schema).select(key, "_a", "_b", F.explode("_path").alias("_p"))
+    rows = rows.select(key, F.get("_a", F.col("_p.a")).alias("_a"), F.get("_b", F.col("_p.b")).alias("_b"))
+    status = F.when(F.col("_b").isNull(), "extra").when(F.col("_a").isNull(), "missing").otherwise("match")
+    return rows.select(key, F.col("_a.lap").alias("lap"), F.col("_b.lap").alias("stated_lap"), F.col("_a.s").alias("duration"), F.col("_b.s").alias("stated_s"), (F.col("_a.s") - F.col("_b.s")).alias("diff"), status.alias("status"))
+
+
+def _aligned(gap: float, batches):
+    """Batches with _as and _bs (seconds) as they are without these, and _path."""
+    for batch in batches:
+        paths = [align_seconds(a, b, gap) for a, b in zip(batch.column("_as").to_pylist(), batch.column("_bs").to_pylist(), strict=True)]
+        path = pa.array([[{"a": i, "b": j} for i, j in p] for p in paths], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        kept = [c for c in batch.schema.names if c not in ("_as", "_bs")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), path], [*kept, "_path"])
+
+
+def align_seconds(a: list[float], b: list[float], gap: float) -> list[tuple[int | None, int | None]]:
+    """Places (in a, in b) of the alignment of least cost, see align_laps; a byte for each two laps."""
+    above, moves = [0.0], []
+    for _ in b:
+        above.append(above[-1] + gap)
+    for x in a:
+        row, taken = [above[0] + gap], bytearray(len(b))  # 0 extra, 1 pair, 2 missing
+        for j, y in enumerate(b):
+            off, extra, missing = abs(x - y), above[j + 1] + gap, row[j] + gap
+            pair = above[j] + off
+            if off <= gap and pair <= extra and pair <= missing:
+                taken[j] = 1
+                row.append(pair)
+            elif extra <= missing:
+                row.append(extra)
+            else:
+                taken[j] = 2
+                row.append(missing)
+        above = row
+        moves.append(taken)
+    i, j, path = len(a), len(b), []
+    while i or j:
+        move = 2 if not i else 0 if not j else moves[i - 1][j - 1]
+        i, j = i - (move != 2), j - (move != 0)
+        path.append((None if move == 2 else i, None if move == 0 else j))
+    return path[::-1]

@@ -691,3 +691,20 @@ def test_resampled_frames_beyond_a_sessions_ends(spark):
     got = {(r["session_id"], r["frame"]): (r["t"], r["x"]) for r in timebase.resample(samples, ["x"], 0.5, duration=30.0).collect()}
     assert [got[1, i] for i in range(15)] == [(min(20.0, max(10.0, 2.0 * i)), min(3.0, max(1.0, 1 + (2 * i - 10) / 5))) for i in range(15)]
     assert [got[2, i] for i in range(15)] == [(min(7.0, max(5.0, 2.0 * i)), 4.0) for i in range(15)] and len(got) == 30
+
+
+def test_lap_lists_line_up_at_least_cost():
+    """Against all alignments of short lists; a long list takes a byte a cell and no path a cell."""
+    def least(a, b, gap):
+        if not a or not b:
+            return gap * (len(a) + len(b))
+        off = abs(a[0] - b[0])
+        return min(least(a[1:], b, gap) + gap, least(a, b[1:], gap) + gap, *([least(a[1:], b[1:], gap) + off] if off <= gap else []))
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([float(rng.randrange(6)) for _ in range(rng.randrange(5))] for _ in range(2))
+        path = laps.align_seconds(a, b, 2.0)
+        assert [i for i, _ in path if i is not None] == list(range(len(a))) and [j for _, j in path if j is not None] == list(range(len(b)))
+        assert sum(2.0 if i is None or j is None else abs(a[i] - b[j]) for i, j in path) == least(a, b, 2.0)
+    assert laps.align_seconds([1.0] * 1500, [1.0] * 1500, 0.5) == [(i, i) for i in range(1500)]
