@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import shared_dir
+from ..session import kept
 
 TRACK, POINT = "track_id", "pt_idx"
 #: A side of a join is sent to all executors only up to this many rows; Spark picks another join beyond.
@@ -19,13 +19,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written below the shared folder and read back: it is used many times, and made once."""
-    folder = shared_dir(df.sparkSession, "track")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def track_pieces(points: DataFrame) -> DataFrame:
     """Points to pieces between neighbours: (track, seg_idx, x0, y0, dx, dy, len, cum_dist)."""
     w = W.partitionBy(TRACK).orderBy(POINT)
@@ -159,15 +152,15 @@ def _closest(samples: DataFrame, side: DataFrame, square: Column, first: str, **
 
 def _near(places: DataFrame, side: DataFrame, square: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Places by the cells in which their nearest piece can lie, pieces by cells, and the columns that join them."""
-    side = _kept(side)
+    side = kept(side, "track")
     grids = small(_grids(side))
     located = places.join(grids, TRACK)
-    index = _kept(_index(side, grids))
+    index = kept(_index(side, grids), "track")
     cell = [TRACK, *_CELL]
     piece = F.struct(*(F.col(c) for c in side.columns if c != TRACK))
     x1, y1 = F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy")
     ends = (F.min_by(piece, F.least("x0", x1)), F.max_by(piece, F.greatest("x0", x1)), F.min_by(piece, F.least("y0", y1)), F.max_by(piece, F.greatest("y0", y1)))
-    named = small(_kept(index.groupBy(*cell).agg(F.array(*ends).alias("_pieces"))))
+    named = small(kept(index.groupBy(*cell).agg(F.array(*ends).alias("_pieces")), "track"))
     own = located.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_gl"))))
     own = own.withColumn("_cx", _cells_of(F.col("x"), F.col("x"), F.col("_level"), "_gx")[0]).withColumn("_cy", _cells_of(F.col("y"), F.col("y"), F.col("_level"), "_gy")[0])
     bounds = own.join(named, cell).select(*keys, F.explode("_pieces").alias("_piece")).select(*keys, "_piece.*").groupBy(*keys).agg(F.min(square).alias("_bound"))

@@ -680,7 +680,8 @@ def _write_logs(spark: SparkSession, sf: str) -> str:
     lines = F.array(*(F.concat(F.lit('"Racer","driver '), F.col("session").cast("string"), F.lit('"')) if line is None else F.lit(line) for line in top))
     head = head.select("session", F.lit(float("-inf")).alias("t"), F.posexplode(lines).alias("seq", "value"))
     folder = shared_dir(spark, "logs")
-    rows = data.unionByName(head.withColumn("seq", F.col("seq").cast("long"))).repartition("session").sortWithinPartitions("session", "t", "seq")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # files, not bytes, take the time
+    rows = data.unionByName(head.withColumn("seq", F.col("seq").cast("long"))).repartition(n, "session").sortWithinPartitions("session", "t", "seq")
     rows.select("session", "value").write.partitionBy("session").text(folder)
     return folder
 
@@ -688,6 +689,6 @@ def _write_logs(spark: SparkSession, sf: str) -> str:
 @query(f"""WITH {EV} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, seq) + 1 AS seq, t, x AS gps_speed, y AS rpm, 'driver ' || session_id AS driver, 'Rim, north' AS venue FROM ev""")
 def logs_read_back(spark, sf):
     """Sessions written as log files, read by blocks and converted to canonical samples, with two of their metadata."""
-    samples, meta = convert.convert_aim(spark, f"{_write_logs(spark, sf)}/*/*", channels.alias_table(spark))
+    samples, meta = convert.convert_aim(spark, _write_logs(spark, sf), channels.alias_table(spark))
     session = F.regexp_extract("session_id", r"session=(\d+)$", 1).cast("long").alias("session_id")
     return samples.join(meta, "session_id").select(session, "seq", "t", "gps_speed", "rpm", F.col("meta")["Racer"].alias("driver"), F.col("meta")["Venue"].alias("venue"))

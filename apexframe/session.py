@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString()
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written below the shared folder and read back: what is used many times is made once."""
+    folder = shared_dir(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def local_session(cores: int = 8, memory: str = "12g", name: str = "apexframe") -> SparkSession:
     """A session on one machine, as tests and the benchmark use it."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.values import number, rate
+from ..session import kept
 
 MEDIA_EXTENSIONS = ("mp4", "mov", "avi", "mkv", "m4v")
 
@@ -52,9 +53,11 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A task reads the rows of a block in order, so a row's place in its block is its id less the block's first id. Line counts
     of blocks, a row a block, are summed up to where each block begins. Lines end at line feeds; carriage returns go.
+    Files are listed and read once, when this is called: lines are kept as Parquet, as readers go over them many times.
     """
     raw = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True)
     raw = raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    raw = kept(raw, "lines")
     blocks = raw.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select("path", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))

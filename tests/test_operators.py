@@ -708,3 +708,13 @@ def test_lap_lists_line_up_at_least_cost():
         assert [i for i, _ in path if i is not None] == list(range(len(a))) and [j for _, j in path if j is not None] == list(range(len(b)))
         assert sum(2.0 if i is None or j is None else abs(a[i] - b[j]) for i, j in path) == least(a, b, 2.0)
     assert laps.align_seconds([1.0] * 1500, [1.0] * 1500, 0.5) == [(i, i) for i in range(1500)]
+
+
+def test_log_files_are_read_once(spark, tmp_path):
+    (tmp_path / "S1").mkdir()
+    file = tmp_path / "S1" / "aim.csv"
+    file.write_text('"Racer","A"\n\n"Time","GPS Speed"\n"s","km/h"\n"0.0","10"\n"0.1","20"\n')
+    samples, meta = logs.read_aim(spark, str(tmp_path))
+    file.unlink()
+    assert [(r["seq"], r["value"]) for r in samples.where("channel = 'GPS Speed'").orderBy("seq").collect()] == [(2, "10"), (3, "20")]
+    assert meta.first()["meta"] == {"Racer": "A"}
