@@ -6,13 +6,14 @@
    time: a quote that is never closed makes the rest of the page's tags end at their first ">".
 2. Host suffix array. The token streams of all blocks of all pages of a host are one string with a border after each page.
    Its suffixes are sorted by prefix doubling (only ties are sorted on), the longest common prefix of neighbours follows from
-   the ranks of each doubling, and neighbours that share RUN tokens or more are one repeated substring. A host of more than
-   PART_PAGES pages is parted by the pages' words; each part is a string of its own. Pages of equal words count once, so
-   copies don't make each other boilerplate.
+   the ranks of each doubling, and neighbours that share RUN tokens or more are one repeated substring. Pages of equal words
+   count once, so copies don't make each other boilerplate. A host of more than PART_PAGES pages is parted by the pages' words
+   and each part is a string of its own. What a share of the host's pages repeat, that share of some part's pages repeat: the
+   runs that the arrays of the parts find are counted again on all parts, so counts and shares are those of the whole host.
 3. Text, the same way for every page: the runs that the array leaves, less what tags tell to be no text. An `open` block (where
    the page has no main region) loses the repeated substrings at its ends, and goes if they cover all of it: repeated on
-   LEAST_PAGES pages and one in SHARE of the part's. What repeats inside a block (a quotation) stays. A `main` block goes if it
-   is repeated as a whole on LEAST_PAGES pages and half of the part's, while its neighbours in the region are not repeated:
+   LEAST_PAGES pages and one in SHARE of the host's. What repeats inside a block (a quotation) stays. A `main` block goes if it
+   is repeated as a whole on LEAST_PAGES pages and half of the host's, while its neighbours in the region are not repeated:
    pages share article text (copies, quotations), and such text goes on beyond a block, a notice or a line to subscribe does not.
    `chrome` blocks go, repeated or not: a host with a single page repeats nothing.
 
@@ -23,6 +24,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from functools import partial
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pieces, table, word_hashes
+from .common import U64, mix64, pieces, shingle_hashes, table, word_hashes
 
 RUN = 8  # tokens
 LEAST_PAGES, SHARE, MAIN_SHARE = 3, 20, 2
@@ -209,10 +211,20 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 def _parse(batches):
     for b in pieces(batches, "html"):
         found = [blocks_of(x or "") for x in b.column("html").to_pylist()]
+        words, _, begin = _words_of([[t for _, t in x] for x in found])
+        content = [hashlib.blake2b(words[lo:hi].tobytes(), digest_size=8).digest() for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([
-            b.column("host"), b.column("pages"), b.column("page_id"), b.column("url"),
+            b.column("host"), b.column("parts"), pa.array(np.frombuffer(b"".join(content), np.int64)), b.column("page_id"), b.column("url"),
             pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string())),
-        ], ["host", "pages", "page_id", "url", "places", "blocks"])
+        ], ["host", "parts", "content", "page_id", "url", "places", "blocks"])
+
+
+def _words_of(blocks: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of all words, of every page the first word of each block and the end of the last, and of every page the first
+    word (one more than pages)."""
+    words, first = word_hashes(pa.array([x for one in blocks for x in one], pa.string()))
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in blocks], dtype=np.int64)))
+    return words, [first[lo : hi + 1] for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], first[edges]
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,65 +284,50 @@ def _covered(starts: np.ndarray, run: int, n: int) -> np.ndarray:
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def texts_of(host: np.ndarray, places: list[list[int]], blocks: list[list[str]], run: int) -> list[str]:
-    """The text of every page; all pages of the hosts (or parts) that occur."""
-    streams = [[" ".join(x.split()) for x in one] for one in blocks]
-    flat = [x for one in streams for x in one]
-    words, first = word_hashes(pa.array(flat, pa.string()))
-    of_block = np.repeat(np.arange(len(streams)), [len(x) for x in streams])
-    edges = np.searchsorted(of_block, np.arange(len(streams) + 1))  # blocks of a page
-    begin = first[edges]  # words of a page
-    content: dict = {}
-    known: dict = {}
-    string, owner, whose, same = [], [], [], []
-    for i, (lo, hi) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-        mine = words[lo:hi]
-        page = content.setdefault((int(host[i]), mine.tobytes()), len(content))
-        layout = (page, tuple(places[i]), tuple(np.diff(first[edges[i] : edges[i + 1] + 1]).tolist()))
-        same.append(known.setdefault(layout, len(known)))
-        if same[-1] == len(whose):  # the first page with these words and blocks
-            whose.append(i)
-            string += [mix64(mine ^ U64(int(host[i]) & 0xFFFFFFFFFFFFFFFF)), mix64(np.array([i], np.uint64) + U64(0xA5A5A5A5A5A5))]
-            owner.append(np.full(hi - lo + 1, page))
-    string, owner = np.concatenate(string) if string else words[:0], np.concatenate(owner) if owner else begin[:0]
-    times = repeated_on(string, owner, run)
-    hosts, pages = np.unique(np.array([h for h, _ in content], np.int64), return_counts=True)
-    total = dict(zip(hosts.tolist(), pages.tolist(), strict=True))
-    out, at = [], 0
-    for i in whose:
-        size = int(begin[i + 1] - begin[i])
-        n, mine = total[int(host[i])], times[at : at + size]
-        at += size + 1
-        cut = first[edges[i] : edges[i + 1] + 1] - begin[i]
-        block = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        hit = np.flatnonzero((mine >= LEAST_PAGES) & (mine * SHARE >= n))
-        hit = hit[hit + run <= size]
-        anywhere, within = _covered(hit, run, size), _covered(hit[block[hit] == block[np.minimum(hit + run - 1, size - 1)]], run, size)
-        often = _covered(hit[mine[hit] * MAIN_SHARE >= n], run, size)
-        is_main = [p == MAIN for p in places[i]]
-        full = [bool(m) and bool(often[x:y].all()) for m, x, y in zip(is_main, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        some = [bool(m) and bool(anywhere[x:y].any()) for m, x, y in zip(is_main, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        mains, kept = [k for k, m in enumerate(is_main) if m], []
-        for nth, k in enumerate(mains):
-            beside = mains[max(0, nth - 1) : nth] + mains[nth + 1 : nth + 2]
-            if not full[k] or not beside or any(some[x] for x in beside):
-                kept.append(streams[i][k])
-        if not mains:
-            for k, (p, x, y) in enumerate(zip(places[i], cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                if p == OPEN and not anywhere[x:y].all():
-                    own = np.flatnonzero(~within[x:y])
-                    kept += [" ".join(_SPLIT.split(streams[i][k])[own[0] : own[-1] + 1])] if len(own) else []
-        out.append("\n".join(kept))
-    return [out[k] for k in same]
-
-
-def _unique_runs(run: int, batches):
-    """Rows come sorted by (host, part): whole parts are taken together."""
-
-    def told(rows: pa.Table):
-        text = texts_of(rows.column("group").to_numpy(), rows.column("places").to_pylist(), rows.column("blocks").to_pylist(), run)
-        return pa.RecordBatch.from_arrays([rows.column("page_id").combine_chunks(), rows.column("url").combine_chunks(), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
+def _kept(places: list[int], blocks: list[str], cut: np.ndarray, hit: np.ndarray, half: np.ndarray, run: int) -> str:
+    """The text of a page. cut: first word of each block and the end; hit, half: where runs start that repeat, and those on
+    half of the host's pages."""
+    size = int(cut[-1]) if len(cut) else 0
+    block = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    anywhere, within = _covered(hit, run, size), _covered(hit[block[hit] == block[hit + run - 1]], run, size)
+    often = _covered(half, run, size)
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    mains, kept = [k for k, p in enumerate(places) if p == MAIN], []
+    full, some = [bool(often[x:y].all()) for x, y in spans], [bool(anywhere[x:y].any()) for x, y in spans]
+    for nth, k in enumerate(mains):
+        beside = mains[max(0, nth - 1) : nth] + mains[nth + 1 : nth + 2]
+        if not full[k] or not beside or any(some[x] for x in beside):
+            kept.append(blocks[k])
+    if not mains:
+        for k, (p, (x, y)) in enumerate(zip(places, spans, strict=True)):
+            if p == OPEN and not anywhere[x:y].all():
+                own = np.flatnonzero(~within[x:y])
+                kept += [" ".join(_SPLIT.split(blocks[k])[own[0] : own[-1] + 1])] if len(own) else []
+    return "\n".join(kept)
+
+
+def _counted(group: np.ndarray, content: np.ndarray, blocks: list[list[str]], run: int):
+    """(page, hashes of its words, number of pages of its group that hold the run from each word) of one page of each content,
+    and of every group its number of contents; all pages of the groups that occur."""
+    _, whose = np.unique(np.stack((group, content)), axis=1, return_index=True)
+    words, _, begin = _words_of([blocks[i] for i in whose])
+    string, owner = [], np.repeat(np.arange(len(whose)), np.diff(begin) + 1)
+    for k, i in enumerate(whose.tolist()):
+        string += [mix64(words[begin[k] : begin[k + 1]] ^ U64(int(group[i]) & 0xFFFFFFFFFFFFFFFF)), mix64(np.array([k], np.uint64) + U64(0xA5A5A5A5A5A5))]
+    times = repeated_on(np.concatenate(string) if string else words[:0], owner, run)
+    total = dict(zip(*(x.tolist() for x in np.unique(group[whose], return_counts=True)), strict=True))
+    return [(i, words[begin[k] : begin[k + 1]], times[begin[k] + k : begin[k + 1] + k]) for k, i in enumerate(whose.tolist())], total
+
+
+def _repeating(times: np.ndarray, n: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs start that repeat on enough of n pages, and those on half of them."""
+    hit = np.flatnonzero((times >= LEAST_PAGES) & (times * SHARE >= n))
+    hit = hit[hit + run <= len(times)]
+    return hit, hit[times[hit] * MAIN_SHARE >= n]
+
+
+def _whole_groups(batches):
+    """Tables of whole groups; rows come sorted by group."""
     held = None
     for b in batches:
         for lo in range(0, b.num_rows, 256):
@@ -339,25 +336,110 @@ def _unique_runs(run: int, batches):
             group = rows.column("group").to_numpy()
             cut = int(np.searchsorted(group, group[-1]))
             if cut:
-                yield told(rows.slice(0, cut))
+                yield rows.slice(0, cut)
             held = rows.slice(cut)
     if held is not None and held.num_rows:
-        yield told(held)
+        yield held
+
+
+def _texts(rows: pa.Table, text: list[str]) -> list[pa.Array]:
+    return [rows.column("page_id").combine_chunks(), rows.column("url").combine_chunks(), pa.array(text, pa.string())]
+
+
+def _unique_runs(run: int, batches):
+    """Texts of hosts of one part."""
+    for rows in _whole_groups(batches):
+        group, content = rows.column("group").to_numpy(), rows.column("content").to_numpy()
+        places, blocks = rows.column("places").to_pylist(), rows.column("blocks").to_pylist()
+        pages, total = _counted(group, content, blocks, run)
+        runs = {(int(group[i]), int(content[i])): _repeating(times, total[int(group[i])], run) for i, _, times in pages}
+        cuts = [x - x[0] for x in _words_of(blocks)[1]]
+        text = [_kept(*page, *runs[g, c], run) for *page, g, c in zip(places, blocks, cuts, group.tolist(), content.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(_texts(rows, text), ["page_id", "url", "text"])
+
+
+def _candidates(run: int, batches):
+    """Of every part: one row without key, with its number of pages, and the runs that repeat on one in SHARE of them; rest is
+    the most pages of the part that a run can be on without being among these."""
+    for rows in _whole_groups(batches):
+        group, host = rows.column("group").to_numpy(), rows.column("host").to_numpy()
+        pages, total = _counted(group, rows.column("content").to_numpy(), rows.column("blocks").to_pylist(), run)
+        found = {g: (int(host[np.searchsorted(group, g)]), {}) for g in total}
+        for i, words, times in pages:
+            g = int(group[i])
+            at = np.flatnonzero(times[: max(0, len(words) - run + 1)] * SHARE >= total[g])
+            found[g][1].update(zip(shingle_hashes(words, run)[at].view(np.int64).tolist(), times[at].tolist(), strict=True))
+        out = [(h, g, key, n, (total[g] - 1) // SHARE) for g, (h, runs) in found.items() for key, n in [(None, total[g]), *runs.items()]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["host", "group", "key", "pages", "rest"])
+
+
+def _as_they_are(batches):
+    yield from batches
+
+
+def _count_again(run: int, rows: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Of a part: the number of its pages that hold each wanted run."""
+    counts = np.zeros(wanted.num_rows, np.int64)
+    keys = np.sort(wanted.column("key").to_numpy())
+    if len(keys):
+        _, whose = np.unique(rows.column("content").to_numpy(), return_index=True)
+        words, _, begin = _words_of(rows.column("blocks").take(pa.array(whose)).to_pylist())
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            own = np.unique(shingle_hashes(words[lo:hi], run).view(np.int64))
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            counts[at[keys[at] == own]] += 1
+    host = np.full(len(keys), rows.column("host")[0].as_py() if rows.num_rows else 0, np.int64)
+    return pa.table({"host": host, "key": keys, "pages": counts})
+
+
+def _unique_runs_of_part(run: int, rows: pa.Table, repeated: pa.Table) -> pa.Table:
+    """Texts of a part's pages, by the runs that repeat on its host."""
+    by = np.argsort(repeated.column("key").to_numpy())
+    keys, half = repeated.column("key").to_numpy()[by], repeated.column("half").to_numpy()[by]
+    blocks, text = rows.column("blocks").to_pylist(), []
+    words, firsts, begin = _words_of(blocks)
+    for places, own, first, lo, hi in zip(rows.column("places").to_pylist(), blocks, firsts, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        runs = shingle_hashes(words[lo:hi], run).view(np.int64)
+        at = np.minimum(np.searchsorted(keys, runs), max(0, len(keys) - 1))
+        hit = np.flatnonzero(keys[at] == runs) if len(keys) else np.zeros(0, np.int64)
+        text.append(_kept(places, own, first - first[0], hit, hit[half[at[hit]]] if len(hit) else hit, run))
+    return pa.Table.from_arrays(_texts(rows, text), ["page_id", "url", "text"])
+
+
+def _by_whole_host(pages: DataFrame, run: int) -> DataFrame:
+    """Texts of hosts of several parts. What can't be on enough pages of the host by the counts of its parts is not counted
+    again, so the runs to count are few however many parts there are."""
+    columns = "host long, group long, key long, pages long, rest long"
+    told = pages.sortWithinPartitions("group").mapInArrow(partial(_candidates, run), columns).repartition("host", "key")
+    told = told.mapInArrow(_as_they_are, columns)  # filters stay above the shuffle, so Spark makes it once for all its readers
+    groups = told.where("key IS NULL").select("host", "group", "pages", "rest")
+    hosts = groups.groupBy("host").agg(F.sum("pages").alias("n"), F.sum("rest").alias("rests"))
+    found = told.where("key IS NOT NULL").groupBy("host", "key").agg(F.sum("pages").alias("pages"), F.sum("rest").alias("rest")).join(hosts, "host")
+    most = F.col("pages") + F.col("rests") - F.col("rest")
+    wanted = found.where((most >= LEAST_PAGES) & (most * SHARE >= F.col("n"))).select("host", "key")
+    of_parts = lambda runs: runs.join(groups.select("host", "group"), "host").drop("host").groupBy("group")
+    counts = pages.groupBy("group").cogroup(of_parts(wanted)).applyInArrow(lambda a, b: _count_again(run, a, b), "host long, key long, pages long")
+    counts = counts.groupBy("host", "key").agg(F.sum("pages").alias("pages")).join(hosts, "host")
+    repeated = counts.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") * SHARE >= F.col("n"))).select("host", "key", (F.col("pages") * MAIN_SHARE >= F.col("n")).alias("half"))
+    return pages.groupBy("group").cogroup(of_parts(repeated)).applyInArrow(lambda a, b: _unique_runs_of_part(run, a, b), "page_id long, url string, text string")
 
 
 def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text)."""
     name = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)
     rows = pages.select(F.xxhash64(F.lower(name)).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    large = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > PART_PAGES)
+    large = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > PART_PAGES).select("host", F.ceil(F.col("pages") / PART_PAGES).alias("parts"))
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    rows = rows.join(large, "host", "left").select("host", "pages", "page_id", "url", "html")
-    parsed = rows.mapInArrow(_parse, "host long, pages long, page_id long, url string, places array<byte>, blocks array<string>")
-    part = F.pmod(F.xxhash64("blocks"), F.ceil(F.coalesce("pages", F.lit(1)) / PART_PAGES))
-    group = F.xxhash64("host", part).alias("group")
-    parts = parsed.select(group, "page_id", "url", "places", "blocks").repartition("group").sortWithinPartitions("group")
-    return parts.mapInArrow(partial(_unique_runs, run), "page_id long, url string, text string")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        parsed = rows.select("host", "parts", "page_id", "url", "html").mapInArrow(_parse, "host long, parts long, content long, page_id long, url string, places array<byte>, blocks array<string>")
+        group = F.xxhash64("host", F.pmod("content", "parts")).alias("group")
+        return parsed.select(group, "host", "content", "page_id", "url", "places", "blocks").repartition("group")
+
+    small = parted(rows.join(large, "host", "left_anti").withColumn("parts", F.lit(1).cast("long")))
+    texts = small.sortWithinPartitions("group").mapInArrow(partial(_unique_runs, run), "page_id long, url string, text string")
+    return texts.unionByName(_by_whole_host(parted(rows.join(large, "host")), run))
 
 
 def op9_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:

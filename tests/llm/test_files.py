@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -223,6 +224,29 @@ def test_a_large_host_is_parted_and_keeps_its_rule(spark, docs):
     assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == dict(enumerate(bodies))
 
 
+@pytest.mark.parametrize("size", [9, 40])
+def test_a_host_counts_as_a_whole_in_parts_of_any_size(spark, docs, monkeypatch, size):
+    """Lines on few, one in twenty and half of the pages, in and outside article, with copies that differ in case and blocks."""
+    docs([])
+    rng = random.Random(18)
+    words = lambda n: " ".join(f"k{rng.randrange(99_999)}" for _ in range(n))
+    lines = [(words(10), step) for step in (2, 3, 16, 19, 20, 21, 30, 120)]
+    rows = []
+    for i in range(320):
+        own = [x for x, step in lines if i % step == 0]
+        body = [words(12), *own, words(12)] if i % 5 else [*own, words(20), *own]
+        tag = "article" if i % 3 == 0 else "div"
+        rows.append((i, f"http://a.org/{i}", f"<{tag}>{''.join(f'<p>{x}</p>' for x in body)}</{tag}>"))
+        if i % 8 == 0:
+            rows += [(1000 + i, f"http://A.org/{i}", rows[-1][2].replace("k", "K")), (2000 + i, None, rows[-1][2]), (3000 + i, f"http://a.org/{i}", f"<div>{' '.join(body)}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    monkeypatch.setattr(html_text, "PART_PAGES", size)
+    parted = [(r["page_id"], r["text"]) for r in html_text.main_text(df).collect()]
+    assert len(parted) == len(rows) and dict(parted) == whole
+    assert lines[2][0] not in "".join(x for i, x in parted if i < 1000 and i % 3) and lines[6][0] in "".join(x for _, x in parted)
+
+
 def test_broken_pages_take_linear_time():
     for page in ('<a t="x' * 130_000, '<a t="x' * 130_000 + ">", "<p title='" * 90_000 + ">", "<!-- " * 200_000, "<script " * 120_000, "</script" * 120_000 + "<b", "<" * 1_000_000, "<!x" * 300_000, "&#" * 400_000):
         start = time.process_time()
