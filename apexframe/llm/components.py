@@ -1,8 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, all in Spark joins and aggregations."""
+"""Connected components by alternating large-star and small-star steps, all in Spark windows and aggregations: three shuffles a round."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -10,16 +10,16 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every u hands the smallest of itself and its neighbours to its larger neighbours. Edges are (a, b) with a > b."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).where("a <> b").distinct()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = edges.select(ends.alias("e")).select("e.u", "e.v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return both.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every u ties itself and its smaller neighbours to the smallest of these."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    """Every u ties itself and its smaller neighbours to the smallest of these. Edges may repeat; the result's don't."""
+    least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    tied = F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+    return least.select(tied.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Only nodes that have an edge to another node appear. Self-pairs and repeated pairs don't matter.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     seen = None
     for _ in range(max_rounds):
         edges = materialize(_small_star(_large_star(edges)), "components")

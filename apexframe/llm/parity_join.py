@@ -251,6 +251,11 @@ def _mixed(kept: DataFrame, components: DataFrame) -> DataFrame:
     return materialize(labelled.join(mixed.select("key"), "key").select("key", "node", "component"), "parity-mixed")
 
 
+def _joined(components: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) with further links: a component's star stands for all links found before."""
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def _with_pivots(mixed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of two sets of each key with those of other components: a set drawn by hash, and one of a component
     drawn by hash."""
@@ -300,12 +305,11 @@ def similarity_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         tried = tried.unionByName(again)
         if not more.take(1):
             break
-        links = links.unionByName(more)
-        comps = connected_components(links)
+        comps = _joined(comps, more)
         mixed = _mixed(mixed, comps)
     rest = materialize(_rest_of_groups(mixed, nodes, num, den).join(tried, ["a", "b"], "left_anti"), "parity-rest")
     if rest.take(1):
-        comps = connected_components(links.unionByName(materialize(_verify(rest, nodes, docs, *args), "parity-last")))
+        comps = _joined(comps, _verify(rest, nodes, docs, *args))
 
     reached = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))

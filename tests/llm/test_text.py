@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from oracle import SF, assert_same
 
-from apexframe.llm import common, compact_windows, decontaminate, parity_join, queries, toxicity
+from apexframe.llm import common, compact_windows, components, decontaminate, parity_join, queries, toxicity
 from apexframe.llm.common import word_hashes
 from apexframe.llm.components import connected_components
 
@@ -80,6 +80,20 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert out == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys((200, 201, 202), 200)}
 
 
+def test_a_round_of_components_takes_three_shuffles(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    plan = components._small_star(components._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_further_links_join_components(spark):
+    rng = random.Random(19)
+    first, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(60)] for _ in range(2))
+    frames = [spark.createDataFrame(x, "a long, b long") for x in (first, more)]
+    joined = parity_join._joined(connected_components(frames[0]), frames[1])
+    assert sorted(joined.collect()) == sorted(connected_components(frames[0].unionByName(frames[1])).collect())
+
+
 def test_bands_never_miss_a_pair_of_blocks():
     rng = np.random.default_rng(0)
     for num, den in ((85, 100), (80, 100)):
