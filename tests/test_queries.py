@@ -4,6 +4,7 @@ import pytest
 
 from oracle import SF, assert_same
 
+from apexframe.operators import track
 from apexframe.queries import QUERIES, SQL
 
 
@@ -31,6 +32,15 @@ def test_all_tracks_take_part(spark):
     assert len({s % 25 for s in sessions}) > 1
 
 
+def test_an_index_of_tracks_is_not_sent_through_the_driver(spark, monkeypatch):
+    """Brands of some pieces each by an index that is over the bound: it is merged, and the result stays that of the SQL."""
+    monkeypatch.setattr(track, "DIRECT_PIECES", 5)
+    monkeypatch.setattr(track, "BROADCAST_ROWS", 30)
+    out = QUERIES["project_to_polyline_by_track"](spark, SF)
+    assert out.count() > 0 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert_same(spark, SF, QUERIES["project_to_polyline_by_track"], SQL["project_to_polyline_by_track"])
+
+
 def test_entry(spark):
     import __spark_entry__
 
